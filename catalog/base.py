@@ -127,4 +127,4 @@ def embeddings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 EMB = ("emb AS (SELECT vec_id, CAST(label AS VARCHAR) AS label, "
-       "list_transform(embedding, x -> CAST(x AS DOUBLE)) AS v FROM embeddings)")
+       "list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings)")

@@ -27,19 +27,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def index_series(df: DataFrame, key: str, order: list[str], bucket: Column, out: str = "t") -> DataFrame:
+def index_series(df: DataFrame, key, order: list[str], bucket: Column, out: str = "t") -> DataFrame:
     """0-based position of each row in its series.
 
     ``bucket`` must grow with the first ordering column.  Rows are ranked inside
     (series, bucket); bucket sizes, pre-aggregated before their shuffle, give the
     offset.
     """
+    keys = [key] if isinstance(key, str) else list(key)
     rows = df.withColumn("_bucket", bucket)
-    sizes = rows.groupBy(key, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = W.partitionBy(key).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select(key, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    inside = W.partitionBy(key, "_bucket").orderBy(*order)
-    return (rows.join(offsets, [key, "_bucket"])
+    sizes = rows.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    inside = W.partitionBy(*keys, "_bucket").orderBy(*order)
+    return (rows.join(offsets, [*keys, "_bucket"])
             .withColumn(out, (F.col("_off") + F.row_number().over(inside) - 1).cast("int"))
             .drop("_bucket", "_off"))
 
