@@ -184,8 +184,8 @@ def _(spark, sf):
     return B.strongest(s, 4).select("series_id", "boundary", r6("score").alias("score"))
 
 
-@query("k06_onset_candidates", f"""WITH RECURSIVE {PTS}, cand AS (SELECT series_id, t+1 AS b, row_number() OVER (PARTITION BY series_id ORDER BY d DESC, t) AS rn FROM
- (SELECT series_id, t, abs(lead(value) OVER ({WS}) - value) AS d FROM pts) WHERE d IS NOT NULL),
+@query("k06_onset_candidates", f"""WITH RECURSIVE {PTS}, cand AS (SELECT series_id, t AS b, row_number() OVER (PARTITION BY series_id ORDER BY d DESC, t) AS rn FROM
+ (SELECT series_id, t, coalesce(abs(lead(value) OVER ({WS}) - value), abs(value - lag(value) OVER ({WS}))) AS d FROM pts)),
  gr AS (SELECT DISTINCT series_id, 0 AS i, []::BIGINT[] AS sel FROM cand UNION ALL SELECT g.series_id, g.i+1, CASE WHEN len(sel)<6 AND len(list_filter(sel, lambda x: abs(x-b)<4))=0 THEN list_append(sel, b) ELSE sel END
  FROM gr g JOIN cand c ON c.series_id=g.series_id AND c.rn=g.i+1),
  fin AS (SELECT series_id, unnest(arg_max(sel, i)) AS b FROM gr GROUP BY 1) SELECT series_id, CAST(b AS INT) AS t_ref FROM fin UNION SELECT series_id, min(t) FROM pts GROUP BY 1 UNION SELECT series_id, max(t) FROM pts GROUP BY 1""")

@@ -20,7 +20,7 @@ def vsum(v: Column) -> Column:
 
 
 def vmean(v: Column) -> Column:
-    return vsum(v) / F.size(v)
+    return F.try_divide(vsum(v), F.size(v))
 
 
 def _stats(v: Column) -> Column:
@@ -30,8 +30,8 @@ def _stats(v: Column) -> Column:
 
 def vvar(v: Column) -> Column:
     """Population variance, two passes."""
-    return let(_stats(v), lambda s: F.aggregate(
-        s["v"], F.lit(0.0), lambda a, x: a + (x - s["m"]) * (x - s["m"])) / s["n"])
+    return let(_stats(v), lambda s: F.try_divide(F.aggregate(
+        s["v"], F.lit(0.0), lambda a, x: a + (x - s["m"]) * (x - s["m"])), s["n"]))
 
 
 def vstd(v: Column) -> Column:

@@ -61,10 +61,11 @@ def strongest(cands: DataFrame, k: int, score: str = "score", pos: str = "bounda
 
 
 def onset_candidates(residual: DataFrame, top_k: int, min_spacing: int) -> DataFrame:
-    """Positions of the largest jumps, spaced, plus both ends of the series."""
-    p = framed(residual, 0, 1, {"_d": lambda w: F.abs(F.lead("value").over(w()) - F.col("value"))})
-    jumps = p.where("_d is not null").select("series_id", (F.col("t") + 1).alias("pos"), F.col("_d").alias("score"))
-    picked = spaced_top_k(jumps, top_k, min_spacing).select("series_id", F.col("pos").alias("t_ref"))
+    """Positions of the largest jumps, spaced, plus both ends of the series; the last point repeats the last jump."""
+    p = framed(residual, 1, 1, {"_n": lambda w: F.abs(F.lead("value").over(w()) - F.col("value")),
+                                "_p": lambda w: F.abs(F.col("value") - F.lag("value").over(w()))})
+    jumps = p.select("series_id", F.col("t").alias("pos"), F.coalesce("_n", "_p", F.lit(0.0)).alias("score"))
+    picked = spaced_top_k(jumps, top_k, max(1, min_spacing)).select("series_id", F.col("pos").alias("t_ref"))
     ends = residual.groupBy("series_id").agg(F.min("t").alias("a"), F.max("t").alias("b"))
     both = ends.select("series_id", F.explode(F.array(F.col("a").cast("int"), F.col("b").cast("int"))).alias("t_ref"))
     return picked.unionByName(both).distinct()

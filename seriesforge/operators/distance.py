@@ -49,6 +49,7 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, metric: str = "l2", rul
     if metric in ("l2", "l1"):
         q, b = _pruned(q, b, k, metric, rule, pivots, block)
     else:
+        block = min(block, 128) if metric == "dtw" else block
         n = b.agg(F.count(F.lit(1))).first()[0]
         m = q.agg(F.count(F.lit(1))).first()[0]
         nb, nq = max(1, math.ceil(n / block)), max(1, math.ceil(m / block))

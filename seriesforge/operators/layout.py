@@ -90,56 +90,61 @@ def running_sums(points: DataFrame, cols: dict[str, Column], keys=("series_id",)
     return out.drop("_c", *[f"_v_{n}" for n in cols], *[f"_o_{n}" for n in cols])
 
 
-def fold_capped_affine(points: DataFrame, a: Column, c: Column, cap: Column, start: Column | None = None,
-                       out: str = "y", key: str = "series_id", t: str = "t", levels: int = 2) -> DataFrame:
-    """Ordered recursion y_t = min(a*y_{t-1} + c_t, cap_t), in parallel inside one series.
-
-    Such maps (a >= 0) are closed under composition, so each chunk reduces to one
-    (a, c, cap) triple; chunk states follow from the triples, level by level, and
-    each chunk is then replayed from its known entry state.  The first row gives
-    ``start`` (default: its cap).
+def fold_clamped_affine(points: DataFrame, a: Column, c: Column, hi: Column | None = None, lo: Column | None = None,
+                        start: Column | None = None, out: str = "y", key: str = "series_id", t: str = "t",
+                        levels: int = 2) -> DataFrame:
+    """Ordered recursion y_t = clamp(a_t * y_{t-1} + c_t, lo_t, hi_t), in parallel inside one series.
+
+    Clamped affine maps (a >= 0) are closed under composition, so each chunk
+    reduces to one (a, c, lo, hi) record; chunk entry states follow from those
+    records, level by level, and each chunk is then replayed from its entry
+    state.  The first row gives ``start``.
     """
-    maps = points.withColumns({"_a": a.cast("double"), "_k": c.cast("double"), "_m": cap.cast("double")})
+    inf = float("inf")
     first = F.col(t) == 0
-    init = F.col("_m") if start is None else start.cast("double")
-    maps = maps.withColumns({
-        "_k": F.when(first, init).otherwise(F.col("_k")),
-        "_a": F.when(first, 0.0).otherwise(F.col("_a")),
-        "_m": F.when(first, init).otherwise(F.col("_m"))})
-    states = _affine_states(maps.select(key, F.col(t).cast("long").alias("_i"), "_a", "_k", "_m"), key, levels)
+    init = (F.lit(0.0) if start is None else start).cast("double")
+    put = lambda col, other: F.when(first, init).otherwise(col if col is not None else F.lit(other)).cast("double")
+    maps = points.select(key, F.col(t).cast("long").alias("_i"), F.when(first, 0.0).otherwise(a.cast("double")).alias("_a"),
+                         put(c, 0.0).alias("_k"), put(lo, -inf).alias("_l"), put(hi, inf).alias("_h"))
+    states = _affine_states(maps, key, levels)
     return points.join(states.select(key, F.col("_i").cast("int").alias(t), F.col("_y").alias(out)), [key, t])
 
 
+def _clamp(x, lo, hi):
+    return F.least(F.greatest(x, lo), hi)
+
+
 def _affine_states(maps: DataFrame, key: str, levels: int) -> DataFrame:
     """State after each map; columns (key, _i, _y)."""
     chunk = F.floor(F.col("_i") / FOLD) if levels else F.lit(0).cast("long")
-    item = F.struct("_i", "_a", "_k", "_m")
     packed = (maps.withColumn("_c", chunk).groupBy(key, "_c")
-              .agg(F.array_sort(F.collect_list(item)).alias("_items")))
+              .agg(F.array_sort(F.collect_list(F.struct("_i", "_a", "_k", "_l", "_h"))).alias("_items")))
     if levels:
-        identity = F.struct(F.lit(1.0).alias("_a"), F.lit(0.0).alias("_k"), F.lit(float("inf")).alias("_m"))
-        total = F.aggregate("_items", identity, lambda s, x: F.struct(
-            (x["_a"] * s["_a"]).alias("_a"), (x["_a"] * s["_k"] + x["_k"]).alias("_k"),
-            F.when(x["_a"] == 0, x["_m"]).otherwise(
-                F.least(x["_a"] * s["_m"] + x["_k"], x["_m"])).alias("_m")))
+        inf = float("inf")
+        identity = F.struct(F.lit(1.0).alias("_a"), F.lit(0.0).alias("_k"), F.lit(-inf).alias("_l"), F.lit(inf).alias("_h"))
+
+        def compose(s, x):
+            through = lambda v: F.when(x["_a"] == 0, x["_k"]).otherwise(x["_a"] * v + x["_k"])
+            return F.struct((x["_a"] * s["_a"]).alias("_a"), through(s["_k"]).alias("_k"),
+                            _clamp(through(s["_l"]), x["_l"], x["_h"]).alias("_l"),
+                            _clamp(through(s["_h"]), x["_l"], x["_h"]).alias("_h"))
+        total = F.aggregate("_items", identity, compose)
         heads = packed.select(key, F.col("_c").alias("_i"), total.alias("_t")).select(key, "_i", "_t.*")
         entry = _affine_states(heads, key, levels - 1).select(
             key, (F.col("_i") + 1).alias("_c"), F.col("_y").alias("_y0"))
         packed = packed.join(entry, [key, "_c"], "left")
     else:
         packed = packed.withColumn("_y0", F.lit(None).cast("double"))
+
+    def step(s, x):
+        y = _clamp(F.when(x["_a"] == 0, x["_k"]).otherwise(x["_a"] * s["y"] + x["_k"]), x["_l"], x["_h"])
+        return F.struct(y.alias("y"), F.concat(s["o"], F.array(F.struct(x["_i"].alias("_i"), y.alias("_y")))).alias("o"))
     replay = F.aggregate(
         "_items", F.struct(F.coalesce("_y0", F.lit(0.0)).alias("y"),
-                           F.array().cast("array<struct<_i:bigint,_y:double>>").alias("o")),
-        lambda s, x: _step(s, x), lambda s: s["o"])
+                           F.array().cast("array<struct<_i:bigint,_y:double>>").alias("o")), step, lambda s: s["o"])
     return packed.select(key, F.explode(replay).alias("_r")).select(key, "_r._i", "_r._y")
 
 
-def _step(s, x):
-    y = F.least(F.when(x["_a"] == 0, x["_k"]).otherwise(x["_a"] * s["y"] + x["_k"]), x["_m"])
-    return F.struct(y.alias("y"), F.concat(s["o"], F.array(F.struct(x["_i"].alias("_i"), y.alias("_y")))).alias("o"))
-
-
 def attach_segments(points: DataFrame, segments: DataFrame, pad: Column | int = 0, width: int = BUCKET,
                     keep=("segment_id", "start_index", "end_index", "label")) -> DataFrame:
     """Points ⋈ segments on start-pad <= t <= end+pad within a series.

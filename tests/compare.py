@@ -61,6 +61,7 @@ def compare(spark, con, sf, name, fn, sql):
     t1 = time.time()
     cur = con.execute(sql)
     cols = [d[0] for d in cur.description]
+    odd = [(d[0], str(d[1])) for d in cur.description if str(d[1]).startswith(("HUGEINT", "DECIMAL", "NUMBER"))]
     want = rows_of(cols, cur.fetchall())
     dq = time.time() - t1
     if sorted(cols) != sorted(df.columns):
@@ -68,7 +69,7 @@ def compare(spark, con, sf, name, fn, sql):
     key = lambda r: tuple((v is not None, str(type(v)), str(v)) for v in r)
     g, w = sorted(got, key=key), sorted(want, key=key)
     if g == w:
-        return ("OK" if g else "EMPTY"), len(g), dt, f"{dq:.1f}"
+        return ("TYPES" if odd else "OK" if g else "EMPTY"), len(g), dt, odd or f"{dq:.1f}"
     gs, ws = set(g), set(w)
     return "DIFF", (len(g), len(w)), dt, (sorted(df.columns), list(gs - ws)[:3], list(ws - gs)[:3], len(gs - ws), len(ws - gs))
 
