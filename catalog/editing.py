@@ -200,7 +200,7 @@ query("e40_whiten")(_spec("whiten"))
 @query("e40_recolour")
 def _(spark, sf):
     d = seg(spark, sf)
-    n = E.noise(F.col("v"), F.xxhash64("series_id", "segment_id"), "pink", V.vstd(F.col("v")))
+    n = E.noise(F.col("v"), F.xxhash64("series_id", "segment_id"), "pink", float("nan"))
     return E.explode_values(d.withColumn("edited", F.zip_with("v", n, lambda a, b: b)))
 
 
@@ -226,7 +226,7 @@ RULE_VALUES = ", ".join(f"('{s}','{o}','{p}','{v if isinstance(v, str) else v[0]
 RE = (f"{PTS}, {segs_sql(16, SHAPE_OF, 'g')}, ed AS (SELECT series_id || '-' || segment_id AS edit_id, series_id AS session_id, segment_id, CAST(segment_id % 3 AS INT) AS tier, label AS old_shape, "
       f"[{', '.join(repr(o) for o in OPS)}][CAST((series_id + segment_id) % {len(OPS)} + 1 AS INT)] AS op_name, CAST(series_id % 2 AS DOUBLE) AS alpha FROM g), rules(shape, op, pred, cls, tgt) AS (VALUES {RULE_VALUES}), "
       "mt AS (SELECT ed.*, r.cls, r.tgt, row_number() OVER (PARTITION BY edit_id ORDER BY CASE WHEN r.shape=old_shape AND pred<>'' THEN 1 WHEN r.shape='*' AND pred<>'' THEN 2 WHEN r.shape=old_shape THEN 3 ELSE 4 END) AS rn FROM ed LEFT JOIN rules r ON r.op=op_name AND r.shape IN (old_shape,'*') AND (pred='' OR (pred='alpha=0' AND alpha=0))), "
-      "rl AS (SELECT *, CASE WHEN cls='DETERMINISTIC' THEN tgt WHEN cls IS NOT NULL THEN old_shape END AS new_shape, CASE WHEN cls='RECLASSIFY_VIA_SEGMENTER' THEN 0.0 WHEN cls IS NOT NULL THEN 1.0 END AS confidence FROM mt WHERE rn=1)")
+      "rl AS (SELECT *, CASE WHEN cls='DETERMINISTIC' THEN tgt WHEN cls IS NOT NULL THEN old_shape END AS new_shape, CASE WHEN cls='RECLASSIFY_VIA_SEGMENTER' THEN 0.0 WHEN cls IS NOT NULL THEN 1.0 END::DOUBLE AS confidence FROM mt WHERE rn=1)")
 
 
 def edit_rows(spark, sf):

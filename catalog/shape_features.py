@@ -56,15 +56,15 @@ def _(spark, sf):
     return s.select("series_id", "segment_id", r6(H.dominant_period(F.col("v"))).alias("period"))
 
 
-@query("a13_dominant_period_list", f"""WITH {DAILY}, c AS (SELECT series_id, t, value-avg(value) OVER (PARTITION BY series_id) AS x, CAST(count(*) OVER (PARTITION BY series_id) AS INT) AS n FROM daily WHERE t < 400),
- p AS (SELECT series_id, n, k, power(sum(x*cos(2*pi()*k*t/n)),2)+power(sum(x*sin(2*pi()*k*t/n)),2) AS p FROM c, range(2, 201) r(k) WHERE n/k>=2 AND n/k<=n//2 GROUP BY 1,2,3), tp AS (SELECT *, max(p) OVER (PARTITION BY series_id) AS mx FROM p), cd AS (SELECT series_id, n, CAST(round_even(n/k, 0) AS INT) AS t, max(p) AS p FROM tp WHERE p>=0.1*mx GROUP BY 1,2,3),
+@query("a13_dominant_period_list", f"""WITH {DAILY}, c AS (SELECT series_id, t, value-avg(value) OVER (PARTITION BY series_id) AS x, CAST(count(*) OVER (PARTITION BY series_id) AS INT) AS n FROM daily),
+ p AS (SELECT series_id, n, k, power(sum(x*cos(2*pi()*k*t/n)),2)+power(sum(x*sin(2*pi()*k*t/n)),2) AS p FROM c, range(1, 2000) r(k) WHERE n/k>=2 AND n/k<=n//2 GROUP BY 1,2,3), tp AS (SELECT *, max(p) OVER (PARTITION BY series_id) AS mx FROM p), cd AS (SELECT series_id, n, CAST(round_even(n/k, 0) AS INT) AS t, max(p) AS p FROM tp WHERE p>=0.1*mx GROUP BY 1,2,3),
  rk AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY p DESC) AS rn FROM cd), tc AS (SELECT * FROM rk WHERE rn<=5), lg AS (SELECT series_id, least(max(n)//2, max(t)+10) AS ml FROM tc GROUP BY 1),
- ac AS (SELECT a.series_id, b.t-a.t AS lag, sum(a.x*b.x) AS c FROM c a JOIN c b ON a.series_id=b.series_id AND b.t>=a.t AND b.t-a.t<=200 GROUP BY 1,2), an AS (SELECT series_id, lag, c/max(CASE WHEN lag=0 THEN c END) OVER (PARTITION BY series_id) AS r FROM ac),
+ ac AS (SELECT a.series_id, b.t-a.t AS lag, sum(a.x*b.x) AS c FROM c a JOIN c b ON a.series_id=b.series_id AND b.t>=a.t AND b.t-a.t<=a.n//2 GROUP BY 1,2), an AS (SELECT series_id, lag, c/max(CASE WHEN lag=0 THEN c END) OVER (PARTITION BY series_id) AS r FROM ac),
  bs AS (SELECT tc.series_id, tc.t, arg_max(lag, r) AS b, max(r) AS r FROM tc JOIN lg USING (series_id) JOIN an ON an.series_id=tc.series_id AND lag BETWEEN greatest(2, tc.t-5) AND least(ml, tc.t+5) GROUP BY 1,2),
  ok AS (SELECT DISTINCT series_id, CAST(b AS INT) AS period FROM bs WHERE r>0.1) SELECT * FROM ok UNION SELECT series_id, t FROM tc WHERE rn=1 AND series_id NOT IN (SELECT series_id FROM ok)""")
 def _(spark, sf):
-    # The list is a segment feature: the first 400 days of each series are the segment.
-    d = daily(spark, sf).where("t < 400").withColumn("segment_id", F.lit(0))
+    # The list is a segment feature; here each daily series is one segment.
+    d = daily(spark, sf).withColumn("segment_id", F.lit(0))
     return ST.values(d).select("series_id", F.explode(H.dominant_periods(F.col("v"))).alias("period"))
 
 
@@ -240,12 +240,12 @@ def _(spark, sf):
     return m.select("grp", "n_pairs", *[r6(c).alias(c) for c in ("bandwidth", "mmd2", "std_err", "z_score")])
 
 
-@query("a35_mmd_quadratic", f"""WITH s0 AS (SELECT user_id%5 AS grp, CASE WHEN event_type IN ('click','view') THEN 'x' ELSE 'y' END AS side, value/50 AS value, row_number() OVER (PARTITION BY user_id%5, CASE WHEN event_type IN ('click','view') THEN 'x' ELSE 'y' END ORDER BY (event_id*1103515245+12345)%2147483648) AS rn FROM events), s AS (SELECT * , row_number() OVER (ORDER BY grp, side, rn) AS id FROM s0 WHERE rn<=200),
+@query("a35_mmd_quadratic", f"""WITH s0 AS (SELECT user_id%5 AS grp, CASE WHEN event_type IN ('click','view') THEN 'x' ELSE 'y' END AS side, value/50 AS value, row_number() OVER (PARTITION BY user_id%5, CASE WHEN event_type IN ('click','view') THEN 'x' ELSE 'y' END ORDER BY (event_id*1103515245+12345)%2147483648) AS rn FROM events), s AS (SELECT * , row_number() OVER (ORDER BY grp, side, rn) AS id FROM s0 WHERE rn<=500),
  bw AS (SELECT a.grp, median(abs(a.value-b.value)) AS s FROM s a JOIN s b ON a.grp=b.grp AND a.id<b.id GROUP BY 1), k AS (SELECT a.grp, s, avg(exp(-power(a.value-b.value,2)/(2*s*s))) FILTER (a.side='x' AND b.side='x') + avg(exp(-power(a.value-b.value,2)/(2*s*s))) FILTER (a.side='y' AND b.side='y') - 2*avg(exp(-power(a.value-b.value,2)/(2*s*s))) FILTER (a.side='x' AND b.side='y') AS m FROM s a JOIN s b ON a.grp=b.grp JOIN bw ON bw.grp=a.grp GROUP BY 1,2)
  SELECT grp, {q6('s')} AS bandwidth, {q6('m')} AS mmd2 FROM k""")
 def _(spark, sf):
     h = (F.col("event_id") * 1103515245 + 12345) % 2147483648
-    m = M.mmd_quadratic(two_samples(spark, sf), ["grp"], h, 200)
+    m = M.mmd_quadratic(two_samples(spark, sf), ["grp"], h)
     return m.select("grp", r6("bandwidth").alias("bandwidth"), r6("mmd2").alias("mmd2"))
 
 

@@ -41,7 +41,7 @@ FEAT = f"""{MISS}, r AS (SELECT series_id, t, coalesce(value, 0.0) AS raw, CASE
 
 
 @query("w03_feature_matrix", f"WITH {FEAT} SELECT series_id, t, {q6('raw')} AS raw, {q6('smooth')} AS smooth, {q6('delta')} AS delta, "
-       f"CASE WHEN t = 0 THEN 0.0 ELSE {q6('zscore')} END AS zscore, missing FROM fx")
+       f"CASE WHEN t = 0 THEN 0.0 ELSE {q6('zscore')} END AS zscore, missing::DOUBLE AS missing FROM fx")
 def _(spark, sf):
     return X.feature_columns(gappy(spark, sf)).select(
         "series_id", "t", r6("raw").alias("raw"), r6("smooth").alias("smooth"), r6("delta").alias("delta"),

@@ -277,3 +277,251 @@ def method_for(shape: Column, domain: Column) -> Column:
     table = {f"{s}|{d}": m for (s, d), m in DISPATCH.items()}
     return F.coalesce(lookup(table, F.concat_ws("|", shape, F.coalesce(domain, F.lit("")))),
                       lookup(table, F.concat(shape, F.lit("|"))))
+
+
+# --- breaks, trajectories, pursuit: bounded rounds over the fleet ----------------------------------
+
+def _moments(points: DataFrame, value: str, key: str, t: str = "t") -> DataFrame:
+    """Running sums of 1, t, x, t*x, t*t, x*x."""
+    from .layout import running_sums
+    x, u = F.col(value), F.col(t).cast("double")
+    return running_sums(points, {"m_n": F.lit(1.0), "m_t": u, "m_x": x, "m_tx": u * x, "m_tt": u * u, "m_xx": x * x}, (key,), t)
+
+
+def _rss(n, st, sx, stx, stt, sxx) -> Column:
+    """Residual sum of squares of a line from moment sums."""
+    vx, vt, c = sxx - sx * sx / n, stt - st * st / n, stx - st * sx / n
+    return F.greatest(F.when(vt > 1e-9, vx - c * c / vt).otherwise(vx), F.lit(0.0))
+
+
+MOM = ("m_n", "m_t", "m_x", "m_tx", "m_tt", "m_xx")
+
+
+def break_round(pre: DataFrame, intervals: DataFrame, h: float, key: str = "series_id") -> DataFrame:
+    """Best split of every open interval by residual sum of squares, with its F statistic.
+
+    ``pre`` carries prefix moments; ``intervals``: key, a, b (end exclusive), prefix moments at both ends
+    (a_*, b_*) and the least piece length h_min.
+    """
+    j = pre.join(intervals, key).where((F.col("t") + 1 >= F.col("a") + F.col("h_min")) & (F.col("t") + 1 <= F.col("b") - F.col("h_min")))
+    left = _rss(*[F.col(m) - F.col(f"a_{m}") for m in MOM])
+    right = _rss(*[F.col(f"b_{m}") - F.col(m) for m in MOM])
+    full = _rss(*[F.col(f"b_{m}") - F.col(f"a_{m}") for m in MOM])
+    best = j.groupBy(key, "a", "b").agg(F.min(F.struct((left + right).alias("rss"), (F.col("t") + 1).alias("k"), *MOM)).alias("_m"),
+                                        F.first(full).alias("_full"))
+    df = F.col("b") - F.col("a") - 4
+    f = (F.col("_full") - F.col("_m.rss")) / 2.0 / (F.col("_m.rss") / df)
+    return best.select(key, "a", "b", F.col("_m.k").cast("int").alias("k"), *[F.col(f"_m.{m}").alias(f"k_{m}") for m in MOM],
+                       F.when((df > 0) & (F.col("_m.rss") > 0), f).alias("f_stat"), df.alias("df"))
+
+
+def f_critical(df: Column) -> Column:
+    """5 % point of F(2, df): closed form (df / 2) (0.05 ** (-2 / df) - 1)."""
+    return df / 2.0 * (F.pow(F.lit(0.05), -2.0 / df) - 1.0)
+
+
+def trend_breaks(points: DataFrame, value: str = "value", h: float = 0.15, max_depth: int = 4, key: str = "series_id") -> DataFrame:
+    """Break positions by recursive best splits with an F test; depth bounds the rounds."""
+    from .layout import cut_lineage
+    pre = cut_lineage(_moments(points, value, key).select(key, "t", *MOM))
+    end = pre.groupBy(key).agg(F.max_by(F.struct(*MOM), "t").alias("_e"), (F.max("t") + 1).alias("b"))
+    open_ = end.select(key, F.lit(0).alias("a"), F.col("b").cast("int").alias("b"), *[F.lit(0.0).alias(f"a_{m}") for m in MOM],
+                       *[F.col(f"_e.{m}").alias(f"b_{m}") for m in MOM], F.greatest(F.lit(2), F.rint(h * F.col("b")).cast("int")).alias("h_min"))
+    found = None
+    for _ in range(max_depth):
+        r = break_round(pre, open_, h, key).where(F.col("f_stat") > f_critical(F.col("df")))
+        hit = cut_lineage(r.join(open_, [key, "a", "b"]))
+        b = hit.select(key, F.col("k").alias("break_at"))
+        found = b if found is None else found.unionByName(b)
+        lo = hit.select(key, "a", F.col("k").alias("b"), *[f"a_{m}" for m in MOM], *[F.col(f"k_{m}").alias(f"b_{m}") for m in MOM], "h_min")
+        hi = hit.select(key, F.col("k").alias("a"), "b", *[F.col(f"k_{m}").alias(f"a_{m}") for m in MOM], *[f"b_{m}" for m in MOM], "h_min")
+        open_ = lo.unionByName(hi)
+    return found
+
+
+def best_single_break(points: DataFrame, value: str = "value", h: float = 0.15, key: str = "series_id") -> DataFrame:
+    return trend_breaks(points, value, h, 1, key)
+
+
+def piecewise_trend(points: DataFrame, breaks: DataFrame, value: str = "value", key: str = "series_id") -> DataFrame:
+    """Line per piece between breaks; the piece of a point is an as-of lookup."""
+    from .layout import asof
+    starts = breaks.select(key, F.col("break_at").alias("t"), F.col("break_at").alias("piece"))
+    p = asof(points, starts, ["piece"], (key,)).withColumn("piece", F.coalesce("piece", F.lit(0)))
+    l = p.groupBy(key, "piece").agg(F.regr_slope(value, "t").alias("_b"), F.regr_intercept(value, "t").alias("_a"), F.avg(value).alias("_m"))
+    j = p.join(l, [key, "piece"])
+    return j.withColumn("trend", F.coalesce(F.col("_a") + F.col("_b") * F.col("t"), "_m")).drop("_a", "_b", "_m")
+
+
+def season_and_breaks(points: DataFrame, period: int = 12, h: float = 0.15, rounds: int = 3, harmonics: int | None = None,
+                      max_depth: int = 3, key: str = "series_id"):
+    """Seasonal harmonics and piecewise trend in turn; (components, breaks).  Each round is one harmonic regression and
+    one break search; ``rounds`` is at most ten, as in the published procedure."""
+    from .layout import cut_lineage
+    k = min(3, period // 2) if harmonics is None else harmonics
+    design = {}
+    for i in range(1, k + 1):
+        w = 2 * math.pi * i / period
+        design[f"c{i}"] = (lambda w: lambda t: F.cos(t * w))(w)
+        design[f"s{i}"] = (lambda w: lambda t: F.sin(t * w))(w)
+    cur = points.select(key, "t", "value").withColumns({"trend": F.lit(0.0)})
+    breaks = None
+    for _ in range(rounds):
+        work = cur.withColumn("_d", F.col("value") - F.col("trend"))
+        co = linear_coefficients(work, design, (key,), value="_d").drop("n")
+        t = F.col("t").cast("double")
+        seas = sum((F.coalesce(F.try_element_at("coefficients", F.lit(n)), F.lit(0.0)) * f(t) for n, f in design.items()), F.lit(0.0))
+        work = cut_lineage(work.join(co, key).select(key, "t", "value", seas.alias("seasonal")).withColumn("_y", F.col("value") - F.col("seasonal")))
+        breaks = trend_breaks(work, "_y", h, max_depth, key)
+        cur = cut_lineage(piecewise_trend(work, breaks, "_y", key).select(key, "t", "value", "seasonal", "trend"))
+    return cur.withColumn("residual", F.col("value") - F.col("trend") - F.col("seasonal")), breaks
+
+
+def vertex_fit(points: DataFrame, vertices: DataFrame, key="id") -> DataFrame:
+    """Least-squares heights of inner vertices of a piecewise-linear curve with fixed ends.
+
+    ``points``: key, t, value; ``vertices``: key, vx (sorted array of t), y0, y1.  Hat weights touch two vertices per
+    point; the normal equations are group sums, solved per key.
+    """
+    j = points.join(vertices, key)
+    i = F.greatest(F.lit(0), F.least(F.size(F.filter("vx", lambda x: x <= F.col("t"))) - 1, F.size("vx") - 2))
+    j = j.withColumn("_i", i)
+    a, b = F.get("vx", F.col("_i")), F.get("vx", F.col("_i") + 1)
+    w = (F.col("t") - a) / (b - a)
+    j = j.withColumn("_w", w)
+    last = F.size("vx") - 1
+    known = F.when(F.col("_i") == 0, (1 - F.col("_w")) * F.col("y0")).otherwise(0.0) + F.when(F.col("_i") + 1 == last, F.col("_w") * F.col("y1")).otherwise(0.0)
+    y = F.col("value") - known
+    return j.groupBy(key, "vx", "y0", "y1", "_i").agg(
+        F.sum((1 - F.col("_w")) * (1 - F.col("_w"))).alias("ll"), F.sum(F.col("_w") * F.col("_w")).alias("rr"), F.sum(F.col("_w") * (1 - F.col("_w"))).alias("lr"),
+        F.sum((1 - F.col("_w")) * y).alias("ly"), F.sum(F.col("_w") * y).alias("ry"), F.sum(y * y).alias("yy"))
+
+
+def solve_vertices(sums: DataFrame, key="id") -> DataFrame:
+    """Vertex heights and squared error from the per-piece sums."""
+    g = sums.groupBy(key, "vx", "y0", "y1").agg(F.array_sort(F.collect_list(F.struct("_i", "ll", "rr", "lr", "ly", "ry", "yy"))).alias("_s"))
+
+    def run(vx: pd.Series, y0: pd.Series, y1: pd.Series, s: pd.Series) -> pd.DataFrame:
+        import numpy as np
+        hs, es = [], []
+        for v, a, b, rows in zip(vx, y0, y1, s):
+            m = len(v)
+            A, r, yy = np.zeros((m, m)), np.zeros(m), 0.0
+            for q in rows:
+                i = q["_i"]
+                A[i, i] += q["ll"]
+                A[i + 1, i + 1] += q["rr"]
+                A[i, i + 1] += q["lr"]
+                A[i + 1, i] += q["lr"]
+                r[i] += q["ly"]
+                r[i + 1] += q["ry"]
+                yy += q["yy"]
+            inner = np.arange(1, m - 1)
+            h = np.linalg.pinv(A[np.ix_(inner, inner)]) @ r[inner] if m > 2 else np.zeros(0)
+            hs.append([a, *h.tolist(), b])
+            es.append(max(yy - 2 * float(h @ r[inner]) + float(h @ A[np.ix_(inner, inner)] @ h), 0.0) if m > 2 else yy)
+        return pd.DataFrame({"vy": hs, "sse": es})
+    u = F.pandas_udf(run, "vy array<double>, sse double")
+    return g.withColumn("_f", u("vx", "y0", "y1", "_s")).select(key, "vx", "y0", "y1", F.col("_f.vy").alias("vy"), F.col("_f.sse").alias("sse"))
+
+
+def trajectory(points: DataFrame, max_vertices: int = 6, penalty: float = 0.1, recovery: float = 0.25, key: str = "series_id") -> DataFrame:
+    """Piecewise-linear trajectory: grow vertices at the largest residual, prune by the least error rise, choose by
+    error + penalty * vertices; slopes and recovery flags.  Rounds are bounded by 4 * max_vertices."""
+    from .layout import cut_lineage
+    p = cut_lineage(points.select(F.col(key).alias("id"), F.col("t").cast("double").alias("t"), "value"))
+    v = p.groupBy("id").agg(F.min("t").alias("a"), F.max("t").alias("b"), F.min_by("value", "t").alias("y0"), F.max_by("value", "t").alias("y1"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    v = cut_lineage(v.select("id", F.array("a", "b").alias("vx"), "y0", "y1"))
+
+    def curve(d, fit):
+        j = d.join(fit, "id")
+        i = F.greatest(F.lit(0), F.least(F.size(F.filter("vx", lambda x: x <= F.col("t"))) - 1, F.size("vx") - 2))
+        j = j.withColumn("_i", i)
+        xa, xb, ya, yb = F.get("vx", F.col("_i")), F.get("vx", F.col("_i") + 1), F.get("vy", F.col("_i")), F.get("vy", F.col("_i") + 1)
+        return j.withColumn("fit", ya + (yb - ya) * (F.col("t") - xa) / (xb - xa))
+    for _ in range(2 * max_vertices - 2):
+        fit = solve_vertices(vertex_fit(p, v))
+        c = curve(p, fit).where(~F.array_contains("vx", F.col("t")))
+        worst = c.groupBy("id").agg(F.max(F.struct(F.abs(F.col("value") - F.col("fit")).alias("r"), (-F.col("t")).alias("m"))).alias("_m"))
+        j = v.join(worst, "id", "left")
+        grow = F.coalesce(F.col("_m.r") > 1e-12, F.lit(False))
+        v = cut_lineage(j.select("id", F.when(grow, F.array_sort(F.concat("vx", F.array(-F.col("_m.m"))))).otherwise(F.col("vx")).alias("vx"), "y0", "y1"))
+    history = cut_lineage(solve_vertices(vertex_fit(p, v)))
+    kept = history
+    cur = v
+    for _ in range(2 * max_vertices - 2):
+        trial = cur.where(F.size("vx") > 2).withColumn("drop", F.explode(F.sequence(F.lit(1), F.size("vx") - 2)))
+        trial = trial.select(F.struct("id", "drop").alias("k"), F.filter("vx", lambda x, i: i != F.col("drop")).alias("vx"), "y0", "y1", "id")
+        s = solve_vertices(vertex_fit(p.withColumnRenamed("id", "_pid").join(trial.select("k", F.col("id").alias("_pid")), "_pid").drop("_pid"), trial.drop("id"), "k"), "k")
+        s = s.select("k.id", "vx", "y0", "y1", "vy", "sse")
+        best = s.groupBy("id").agg(F.min(F.struct("sse", "vx", "vy", "y0", "y1")).alias("_b")).select("id", "_b.*")
+        best = cut_lineage(best)
+        kept = kept.unionByName(best.select("id", "vx", "y0", "y1", "vy", "sse"))
+        cur = best.select("id", "vx", "y0", "y1")
+    k = F.size("vx")
+    ok = kept.where((k <= max_vertices) | (k == 2))
+    pick = ok.groupBy("id").agg(F.min(F.struct((F.col("sse") + penalty * F.size("vx")).alias("c"), "vx", "vy", "sse")).alias("_b")).select("id", "_b.*")
+    slopes = F.transform(F.sequence(F.lit(0), F.size("vx") - 2), lambda i: (F.get("vy", i + 1) - F.get("vy", i)) / (F.get("vx", i + 1) - F.get("vx", i)))
+    pick = pick.withColumn("slopes", slopes)
+    rec = F.transform("slopes", lambda s, i: (i > 0) & (F.get("slopes", i - 1) < 0) & (s > 0) & (F.abs(F.get("vy", i) - F.get("vy", i - 1)) > recovery))
+    return pick.select(F.col("id").alias(key), "vx", "vy", "slopes", F.transform(rec, lambda b: F.coalesce(b, F.lit(False))).alias("recovery"), "sse")
+
+
+# Default decay grid of the pursuit, 1 .. 1000 in 20 log steps.
+TAU_GRID = [10 ** (3 * k / 19) for k in range(20)]
+
+
+def pursuit(points: DataFrame, max_features: int = 3, taus=TAU_GRID, top_k: int = 20, threshold: float = 0.05, key: str = "series_id") -> DataFrame:
+    """Greedy transient pursuit after a line: one dictionary pass per feature, joint refit at the end.
+
+    Every round scores the log, exp and step atoms at the candidate onsets of each series by group sums, so the
+    dictionary never leaves the tasks that hold the points.
+    """
+    from .boundaries import onset_candidates
+    from .component_edits import basis
+    from .layout import cut_lineage
+    line = points.groupBy(key).agg(F.regr_intercept("value", "t").alias("_a"), F.regr_slope("value", "t").alias("_b"), F.count(F.lit(1)).alias("n"))
+    base = cut_lineage(points.join(line, key).select(key, F.col("t").cast("int").alias("t"), "n", (F.col("value") - F.col("_a") - F.col("_b") * F.col("t")).alias("y")))
+    res = base.withColumn("value", F.col("y"))
+    empty = F.array().cast("array<struct<type:string,t_ref:double,tau:double,amplitude:double>>")
+    state = cut_lineage(base.groupBy(key).agg(F.max("n").alias("n")).withColumns({"features": empty, "done": F.lit(False)}))
+    atoms = F.array(*[F.struct(F.lit(k).alias("type"), F.lit(float(t)).alias("tau")) for k in ("log", "exp") for t in taus],
+                    F.struct(F.lit("step").alias("type"), F.lit(1.0).alias("tau")))
+    at = lambda f, t: f["amplitude"] * basis(f["type"], t, f["t_ref"], f["tau"])
+    for _ in range(max_features):
+        cand = onset_candidates(res.select(key, "t", "value"), top_k, 1)
+        dic = cand.withColumn("_k", F.explode(atoms)).select(key, F.col("t_ref").cast("double").alias("t_ref"), "_k.type", "_k.tau")
+        st = state.where("not done")
+        gap = F.greatest(F.lit(1.0), 0.05 * F.col("n"))
+        dup = F.exists("features", lambda f: (f["type"] == F.col("type")) & (F.abs(f["t_ref"] - F.col("t_ref")) <= gap) & (
+            (F.col("type") == "step") | (F.abs(F.col("tau") / f["tau"] - 1.0) <= 0.1)))
+        dic = dic.join(st, key).where(~dup).groupBy(key).agg(F.collect_list(F.struct("type", "t_ref", "tau")).alias("_d"))
+        # Atom sums as arrays per point batch: one exploded pass with map-side partial sums.
+        j = res.join(dic, key).select(key, "t", "value", F.explode("_d").alias("_f"))
+        b = basis(F.col("_f.type"), F.col("t").cast("double"), F.col("_f.t_ref"), F.col("_f.tau"))
+        s = j.groupBy(key, "_f").agg(F.sum(b * F.col("value")).alias("br"), F.sum(b * b).alias("bb"))
+        norm = res.groupBy(key).agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("_r"))
+        best = s.where("bb > 1e-12").groupBy(key).agg(F.max(F.struct((F.abs("br") / F.sqrt("bb")).alias("s"), (F.col("br") / F.col("bb")).alias("a"), "_f")).alias("_b"))
+        jj = state.join(best, key, "left").join(norm, key, "left")
+        go = ~F.col("done") & F.coalesce((F.col("_r") > 1e-12) & (F.col("_b.s") / F.col("_r") >= threshold), F.lit(False))
+        new = F.struct(F.col("_b._f.type").alias("type"), F.col("_b._f.t_ref").alias("t_ref"), F.col("_b._f.tau").alias("tau"), F.col("_b.a").alias("amplitude"))
+        state = cut_lineage(jj.select(key, "n", F.when(go, F.concat("features", F.array(new))).otherwise(F.col("features")).alias("features"), (~go).alias("done")))
+        cur = base.join(state.select(key, "features"), key)
+        res = cut_lineage(cur.select(key, "t", "n", "y", (F.col("y") - F.aggregate("features", F.lit(0.0), lambda a, f: a + at(f, F.col("t").cast("double")))).alias("value")))
+    # Joint refit: per pair sums of the chosen atoms.
+    f = base.join(state.select(key, "features"), key)
+    vec = F.transform("features", lambda x: basis(x["type"], F.col("t").cast("double"), x["t_ref"], x["tau"]))
+    f = f.withColumn("_v", vec)
+    pair = f.select(key, "y", F.posexplode("_v").alias("i", "bi"), "_v").select(key, "y", "i", "bi", F.posexplode("_v").alias("j", "bj"))
+    g = pair.where("j >= i").groupBy(key, "i", "j").agg(F.sum(F.col("bi") * F.col("bj")).alias("g"), F.sum(F.when(F.col("i") == F.col("j"), F.col("bi") * F.col("y"))).alias("r"))
+    g = g.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "j", "g", "r"))).alias("_g"))
+    gram = F.transform("_g", lambda e: e["g"])
+    rhs = F.transform(F.filter("_g", lambda e: e["i"] == e["j"]), lambda e: e["r"])
+    x = g.withColumn("_x", solve(gram, rhs)).select(key, "_x")
+    out = state.join(x, key, "left")
+    amp = F.transform("features", lambda q, i: F.struct(q["type"].alias("type"), q["t_ref"].alias("t_ref"), q["tau"].alias("tau"),
+                                                        F.coalesce(F.get("_x", i), q["amplitude"]).alias("amplitude")))
+    out = out.withColumn("features", amp).select(key, "features")
+    j = base.join(out, key).withColumn("_e", F.col("y") - F.aggregate("features", F.lit(0.0), lambda a, q: a + at(q, F.col("t").cast("double"))))
+    ex = j.groupBy(key).agg((1.0 - F.sqrt(F.sum(F.col("_e") * F.col("_e"))) / F.sqrt(F.sum(F.col("y") * F.col("y")))).alias("explained"))
+    return out.join(ex, key)

@@ -90,6 +90,36 @@ def running_sums(points: DataFrame, cols: dict[str, Column], keys=("series_id",)
     return out.drop("_c", *[f"_v_{n}" for n in cols], *[f"_o_{n}" for n in cols])
 
 
+def running_last(rows: DataFrame, cols: list[str], keys=("series_id",), t: str = "t", size: int = CHUNK,
+                 tie: str | None = None) -> DataFrame:
+    """Carry the latest non-null struct of ``cols`` forward (an as-of fill) by chunk carry plus local carry.
+
+    Adds ``last_<col>``; a row counts as set when its first column is not null.
+    """
+    item = F.when(F.col(cols[0]).isNotNull(), F.struct(*cols))
+    order = [t] + ([tie] if tie else [])
+    r = rows.withColumns({"_c": F.floor(F.col(t) / size), "_it": item})
+    edge = r.where("_it is not null").groupBy(*keys, "_c").agg(F.max_by("_it", F.struct(*order)).alias("_e"))
+    every = r.select(*keys, "_c").distinct().join(edge, [*keys, "_c"], "left")
+    before = W.partitionBy(*keys).orderBy("_c").rowsBetween(W.unboundedPreceding, -1)
+    every = every.select(*keys, "_c", F.last("_e", ignorenulls=True).over(before).alias("_carry"))
+    inside = W.partitionBy(*keys, "_c").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    r = r.withColumn("_here", F.last("_it", ignorenulls=True).over(inside)).join(every, [*keys, "_c"])
+    near = F.coalesce("_here", "_carry")
+    return r.withColumns({f"last_{c}": near[c] for c in cols}).drop("_c", "_it", "_here", "_carry")
+
+
+def asof(left: DataFrame, right: DataFrame, cols: list[str], keys=("series_id",), t: str = "t", size: int = CHUNK) -> DataFrame:
+    """Latest right row at or before each left row; right times come first on ties."""
+    types, lt = dict(right.dtypes), dict(left.dtypes)
+    extra = [c for c in left.columns if c not in keys and c != t]
+    l = left.select(*keys, t, *extra, *[F.lit(None).cast(types[c]).alias(f"_r_{c}") for c in cols], F.lit(1).alias("_side"))
+    r = right.select(*keys, F.col(t).cast(lt[t]).alias(t), *[F.lit(None).cast(lt[c]).alias(c) for c in extra],
+                     *[F.col(c).alias(f"_r_{c}") for c in cols], F.lit(0).alias("_side"))
+    f = running_last(l.unionByName(r), [f"_r_{c}" for c in cols], keys, t, size, "_side")
+    return f.where("_side = 1").select(*keys, t, *extra, *[F.col(f"last__r_{c}").alias(c) for c in cols])
+
+
 def fold_clamped_affine(points: DataFrame, a: Column, c: Column, hi: Column | None = None, lo: Column | None = None,
                         start: Column | None = None, out: str = "y", key: str = "series_id", t: str = "t",
                         levels: int = 2) -> DataFrame:

@@ -34,3 +34,447 @@ def percentile_rank(x: DataFrame, reference: DataFrame, keys: list[str], value:
     run = W.partitionBy(*keys, "_b").orderBy(value, "_q").rowsBetween(W.unboundedPreceding, 0)
     m = left.unionByName(right).withColumn("_c", F.sum(1 - F.col("_q")).over(run)).where("_q = 1")
     return m.select(*keys, *cols, value, ((F.col("_w") + F.col("_c")) / F.col("_total")).alias("pct"))
+
+
+# --- distance of an edit ----------------------------------------------------------------
+
+def edit_distance(pairs: DataFrame, nun: DataFrame | None = None, keys=("series_id", "segment_id"), metric: str = "l2",
+                  eps: float = 1e-6, sparsity_min: float = 0.7) -> DataFrame:
+    """Proximity and sparsity of edits (rows with value and edited), rank among unlike-neighbour distances, too-dense flag.
+
+    ``nun``: one column ``value`` of neighbour distances.
+    """
+    d = F.abs(F.col("value") - F.col("edited"))
+    prox = F.sqrt(F.sum(d * d)) if metric == "l2" else F.sum(d)
+    g = pairs.groupBy(*keys).agg(prox.alias("proximity"), F.avg((d < eps).cast("double")).alias("sparsity"))
+    if nun is None:
+        return g.withColumns({"proximity_pct": F.lit(None).cast("double"), "too_dense": F.lit(False)})
+    q90 = nun.agg(F.percentile("value", F.lit(0.9)).alias("q")).scalar()
+    r = percentile_rank(g.select(*keys, "sparsity", F.lit(1).alias("_k"), F.col("proximity").alias("value")), nun.select(F.lit(1).alias("_k"), "value"), ["_k"])
+    return r.withColumn("_q", q90).select(*keys, F.col("value").alias("proximity"), "sparsity", F.col("pct").alias("proximity_pct"),
+                                          ((F.col("sparsity") < sparsity_min) & (F.col("value") > F.col("_q"))).alias("too_dense"))
+
+
+# --- conformal bands ----------------------------------------------------------------------
+
+def calibrate_band(residuals: DataFrame, key: str = "series_id", alpha: float = 0.1) -> DataFrame:
+    """Half-width: the (1 - alpha) quantile of absolute residuals."""
+    return residuals.groupBy(key).agg(F.percentile(F.abs("residual"), F.lit(1.0 - alpha)).alias("q0"))
+
+
+def adaptive_band(residuals: DataFrame, q0: DataFrame, key: str = "series_id", alpha: float = 0.1, kp: float = 0.5,
+                  ki: float = 0.1, window: int = 10) -> DataFrame:
+    """Half-width after each update.  The state feeds back through a threshold, so rows stream in order through a
+    kernel holding one number and ten errors per key."""
+    from ..streaming.stateful import Band
+    j = residuals.join(q0, key).select(key, "t", F.abs("residual").alias("r"), "q0").repartition(key).sortWithinPartitions(key, "t")
+
+    def run(batches):
+        import pandas as pd
+        cur, band = None, None
+        for pdf in batches:
+            out = []
+            for s, r, q in zip(pdf[key], pdf["r"], pdf["q0"]):
+                if s != cur:
+                    cur, band = s, Band(q, alpha, kp, ki, window)
+                out.append(band.step(r))
+            yield pd.DataFrame({key: pdf[key], "t": pdf["t"], "q": out})
+    t = dict(residuals.dtypes)
+    return j.mapInPandas(run, f"{key} {t[key]}, t {t['t']}, q double")
+
+
+def band_check(edits: DataFrame, bands: DataFrame, key: str = "series_id") -> DataFrame:
+    """Verdict of |y_post - y_pre| against the latest half-width at or before the edit."""
+    from .layout import asof
+    a = asof(edits, bands, ["q"], (key,))
+    d = F.abs(F.col("y_post") - F.col("y_pre"))
+    v = F.when(d < F.col("q"), "within").when(d < 2.0 * F.col("q"), "exceeds_alpha=0.1").otherwise("exceeds_alpha=0.05")
+    return a.withColumns({"delta": d, "verdict": F.when(F.col("q").isNotNull(), v)})
+
+
+# --- invalidation under noise -----------------------------------------------------------------
+
+# Noise level by operation.
+SIGMA = {"raise_lower": 0.05, "amplitude_scale": 0.05, "invert": 0.05, "replace_with_trend": 0.05, "flatten": 0.1,
+         "change_slope": 0.05, "stretch_compress": 0.5, "shift_phase": 0.5}
+
+
+def invalidation_rate(edits: DataFrame, score: Column, gradient_norm: Column, op: Column, threshold: float = 0.0) -> DataFrame:
+    """Normal tail of margin over sigma times gradient norm for a locally linear score."""
+    from ..config import lookup
+    from ..functions.scores import normal_tail
+    sigma = F.coalesce(lookup(SIGMA, op), F.lit(0.1))
+    margin = F.abs(score - threshold)
+    sd = sigma * gradient_norm
+    return edits.withColumns({"sigma": sigma, "margin": margin, "invalidation_rate": F.when(sd > 0, normal_tail(margin / sd)).otherwise(0.0)})
+
+
+def uniform(*parts: Column) -> Column:
+    """Deterministic uniform in (0, 1) from a hash of keys; a recomputed task draws the same."""
+    return (F.pmod(F.xxhash64(*parts), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+
+
+def normal(*parts: Column) -> Column:
+    """Deterministic standard normal by the Box-Muller map."""
+    import math
+    return F.sqrt(-2.0 * F.ln(uniform(*parts, F.lit(1)))) * F.cos(2.0 * math.pi * uniform(*parts, F.lit(2)))
+
+
+def invalidation_monte_carlo(vectors: DataFrame, prototypes: DataFrame, sigma: float = 0.1, n: int = 50) -> DataFrame:
+    """Share of noisy copies whose nearest-prototype label differs from the original's."""
+    from .prototypes import classify
+    base = classify(vectors.select("id", "v"), prototypes, "neg_sq_l2").select("id", F.col("label").alias("_l"))
+    s = vectors.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n))))
+    noisy = s.select(F.struct("id", "rep").alias("k"), F.transform("v", lambda x, i: x + sigma * normal(F.col("id"), F.col("rep"), i)).alias("v"))
+    c = classify(noisy, prototypes, "neg_sq_l2", id_col="k").select(F.col("k.id").alias("id"), "label")
+    return c.join(base, "id").groupBy("id").agg(F.avg((F.col("label") != F.col("_l")).cast("double")).alias("invalidation_rate"))
+
+
+# --- bootstrap -----------------------------------------------------------------------------------
+
+LCG = 2147483648
+
+
+def arithmetic_hash(rep: Column, t: Column, seed: int) -> Column:
+    """Integer hash that other engines can repeat."""
+    x = (rep.cast("long") * 1103515245 + t.cast("long") * 12345 + seed) % LCG
+    return ((x * 22695477 + 1) % LCG)
+
+
+def stationary_bootstrap(points: DataFrame, block: Column | float, replicates: int, seed: int = 7, key: str = "series_id",
+                         value: str = "value") -> DataFrame:
+    """Resampled series (key, rep, t, value): geometric blocks with wrap-around.
+
+    Each grid row restarts by a hash; the latest restart is carried per chunk, and
+    the source value comes from one equi-join on the wrapped index.
+    """
+    from .layout import running_last
+    n = points.groupBy(key).agg((F.max("t") + 1).alias("_n"))
+    g = points.select(key, "t").join(n, key)
+    g = g.withColumn("_b", block if isinstance(block, Column) else F.lit(float(block)))
+    g = g.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    h1, h2 = arithmetic_hash(F.col("rep"), F.col("t"), seed), arithmetic_hash(F.col("rep"), F.col("t"), seed + 101)
+    restart = (F.col("t") == 0) | (h1 < LCG / F.col("_b"))
+    g = g.withColumns({"_s": F.when(restart, (F.floor(h2 / 64) % F.col("_n")).cast("long")), "_at": F.col("t")})
+    c = running_last(g, ["_s", "_at"], (key, "rep"))
+    src = F.pmod(F.col("last__s") + F.col("t") - F.col("last__at"), F.col("_n")).cast("int")
+    c = c.select(key, "rep", "t", src.alias("_src"))
+    return c.join(points.select(key, F.col("t").alias("_src"), F.col(value).alias("value")), [key, "_src"]).drop("_src")
+
+
+def bootstrap_ci(boot: DataFrame, statistic: Column, key: str = "series_id", alpha: float = 0.05) -> DataFrame:
+    """Percentile interval and two-sided p of a replicate statistic (an aggregate column over the replicate)."""
+    s = boot.groupBy(key, "rep").agg(statistic.alias("_s"))
+    pa, pb = F.avg((F.col("_s") >= 0).cast("double")), F.avg((F.col("_s") <= 0).cast("double"))
+    return s.groupBy(key).agg(F.percentile("_s", F.lit(alpha / 2)).alias("ci_lower"), F.percentile("_s", F.lit(1 - alpha / 2)).alias("ci_upper"),
+                              F.least(F.lit(1.0), 2.0 * F.least(pa, pb)).alias("p_value"), F.avg("_s").alias("boot_mean"),
+                              F.stddev_pop("_s").alias("boot_std"))
+
+
+def coefficient_ci(points: DataFrame, edited: DataFrame, replicates: int = 50, block: float = 5.0, threshold: float = 3.0,
+                   key: str = "series_id") -> DataFrame:
+    """Residual bootstrap of a line fit: refit every replicate, z of the edited coefficients, extreme flag.
+
+    ``edited``: key, x0, linear_rate.
+    """
+    line = points.groupBy(key).agg(F.regr_intercept("value", "t").alias("a"), F.regr_slope("value", "t").alias("b"))
+    r = points.join(line, key).withColumn("res", F.col("value") - F.col("a") - F.col("b") * F.col("t"))
+    boot = stationary_bootstrap(r, block, replicates, key=key, value="res").join(line, key)
+    y = F.col("a") + F.col("b") * F.col("t") + F.col("value")
+    c = boot.groupBy(key, "rep").agg(F.regr_intercept(y, F.col("t")).alias("x0"), F.regr_slope(y, F.col("t")).alias("linear_rate"))
+    c = c.unpivot([key, "rep"], ["x0", "linear_rate"], "name", "value")
+    s = c.groupBy(key, "name").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("sd"), F.percentile("value", F.lit(0.025)).alias("ci_lower"),
+                                   F.percentile("value", F.lit(0.975)).alias("ci_upper"))
+    e = edited.unpivot([key], ["x0", "linear_rate"], "name", "edited")
+    z = (F.col("edited") - F.col("m")) / F.greatest("sd", F.lit(1e-12))
+    return s.join(e, [key, "name"]).withColumns({"z": z, "is_extreme": F.abs(z) > threshold}).drop("m", "sd")
+
+
+# --- surrogates -----------------------------------------------------------------------------------
+
+def surrogate(v: Column, seed: Column, max_iter: int = 100, tol: float = 1e-6) -> Column:
+    """Surrogate with the same values and nearly the same spectrum (numpy FFT in Arrow batches)."""
+    import pandas as pd
+
+    def run(a, s):
+        import numpy as np
+        out = []
+        for row, h in zip(a, s):
+            x = np.asarray(row, float)
+            rank, amp = np.sort(x), np.abs(np.fft.rfft(x))
+            y = np.random.default_rng(abs(int(h))).permutation(x)
+            prev = np.inf
+            for _ in range(max_iter):
+                f = np.fft.rfft(y)
+                z = np.fft.irfft(amp * np.exp(1j * np.angle(f)), n=len(x))
+                new = rank[np.argsort(np.argsort(z))]
+                gap = float(np.mean((new - y) ** 2))
+                y = new
+                if abs(prev - gap) < tol:
+                    break
+                prev = gap
+            out.append(y.tolist())
+        return pd.Series(out)
+    run.__annotations__ = {"a": pd.Series, "s": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "array<double>")(v, seed)
+
+
+def ordinal_entropy(v: Column, m: int = 4) -> Column:
+    """Permutation entropy of an array."""
+    from ..functions import vectors as V
+    def ent(p):
+        u = F.array_distinct(p)
+        return V.let(F.struct(p.alias("p"), u.alias("u"), F.size(p).alias("n")), lambda s: F.aggregate(s["u"], F.lit(0.0), lambda a, x: a + V.let(
+            F.size(F.filter(s["p"], lambda y: y == x)) / s["n"], lambda q: -q * F.ln(q))))
+    def pats(s):
+        return F.transform(F.sequence(F.lit(0), s["n"] - m), lambda i: F.concat_ws(",", F.transform(F.array_sort(F.transform(
+            F.slice(s["v"], i + 1, m), lambda x, k: F.struct(x.alias("x"), k.alias("k")))), lambda e: e["k"].cast("string"))))
+    return F.when(F.size(v) >= m, V.let(V.let(F.struct(v.alias("v"), F.size(v).alias("n")), pats), ent)).otherwise(0.0)
+
+
+def surrogate_test(segments: DataFrame, n: int = 50, keys=("series_id", "segment_id"), statistic=ordinal_entropy, seed: int = 0) -> DataFrame:
+    """Statistic of the edited segment against surrogates of the original (columns v, edited); two-sided p.
+
+    Segments fan out over replicates and are spread by (segment, replicate).
+    """
+    f = segments.select(*keys, "v", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("rep")).repartition(*keys, "rep")
+    s = f.withColumn("_x", surrogate(F.col("v"), F.xxhash64(*keys, "rep", F.lit(seed)))).withColumn("q", statistic(F.col("_x"))).select(*keys, "q")
+    m = s.groupBy(*keys).agg(F.avg("q").alias("q_mean"), F.stddev_pop("q").alias("q_std"))
+    e = segments.select(*keys, statistic(F.col("edited")).alias("q_edit")).join(m, list(keys))
+    k = s.join(e, list(keys)).groupBy(*keys).agg(F.count_if(F.abs(F.col("q") - F.col("q_mean")) >= F.abs(F.col("q_edit") - F.col("q_mean"))).alias("_k"))
+    return e.join(k, list(keys)).withColumn("p_value", (1.0 + F.col("_k")) / (n + 1.0)).drop("_k")
+
+
+# --- stationarity --------------------------------------------------------------------------------
+
+# Published critical values, unit-root statistic with constant and level statistic.
+ADF_TABLE = [(-4.5, 0.0002), (-3.96, 0.0016), (-3.43, 0.01), (-3.12, 0.025), (-2.86, 0.05), (-2.57, 0.10), (-2.2, 0.2), (-1.57, 0.5), (-0.44, 0.9), (0.6, 0.99)]
+KPSS_TABLE = [(0.347, 0.10), (0.463, 0.05), (0.574, 0.025), (0.739, 0.01)]
+
+
+def interpolate(x: Column, table: list) -> Column:
+    """Piecewise-linear lookup in a constant table, ends held."""
+    out = F.when(x <= table[0][0], table[0][1])
+    for (a, p), (b, q) in zip(table, table[1:]):
+        out = out.when(x <= b, p + (x - a) / (b - a) * (q - p))
+    return out.otherwise(table[-1][1])
+
+
+def unit_root(points: DataFrame, lags: int = 1, key: str = "series_id") -> DataFrame:
+    """t statistic of the level in the lagged-difference regression and its interpolated p."""
+    import pandas as pd
+    from .fits import normal_sums
+    from .layout import framed
+    k = lags + 1
+    p = framed(points, k, 0, {f"_l{i}": lambda w, i=i: F.lag("value", i).over(w()) for i in range(1, k + 1)}, (key,)).where(F.col(f"_l{k}").isNotNull())
+    d = [F.col(f"_l{i}") - F.col(f"_l{i + 1}") for i in range(1, lags + 1)]
+    X = [F.lit(1.0), F.col("_l1"), *d]
+    y = F.col("value") - F.col("_l1")
+    g, b = normal_sums(X, y)
+    s = p.groupBy(key).agg(g.alias("g"), b.alias("b"), F.sum(y * y).alias("yy"), F.count(F.lit(1)).alias("n"))
+
+    def tstat(gs, bs, yy, ns):
+        import numpy as np
+        out = []
+        for gu, bb, q, n in zip(gs, bs, yy, ns):
+            m = len(bb)
+            A = np.zeros((m, m))
+            A[np.triu_indices(m)] = gu
+            A = A + np.triu(A, 1).T
+            inv = np.linalg.pinv(A)
+            c = inv @ np.asarray(bb, float)
+            s2 = max(q - float(c @ bb), 0.0) / max(n - m, 1)
+            se = (s2 * inv[1, 1]) ** 0.5 if inv[1, 1] > 0 else 0.0
+            out.append(float(c[1] / se) if se > 0 else float("nan"))
+        return pd.Series(out)
+    tstat.__annotations__ = {a: pd.Series for a in ("gs", "bs", "yy", "ns", "return")}
+    r = s.withColumn("adf_t", F.pandas_udf(tstat, "double")("g", "b", "yy", "n"))
+    return r.select(key, "adf_t", F.when(~F.isnan("adf_t"), interpolate(F.col("adf_t"), ADF_TABLE)).alias("adf_p"))
+
+
+def level_stationarity(points: DataFrame, lags: int = 4, key: str = "series_id") -> DataFrame:
+    """Level statistic: mean squared partial sums over the long-run variance (triangular weights)."""
+    from .layout import running_sums
+    from .metrics import lag_correlations
+    m = points.groupBy(key).agg(F.avg("value").alias("_m"), F.var_pop("value").alias("_v"), F.count(F.lit(1)).alias("_n"))
+    r = running_sums(points.join(m, key), {"_s": F.col("value") - F.col("_m")}, (key,))
+    e = r.groupBy(key, "_n", "_v").agg((F.sum(F.col("_s") * F.col("_s")) / (F.col("_n") * F.col("_n"))).alias("_e"))
+    rho = lag_correlations(points, lags, key).select(key, "rho")
+    w = F.aggregate(F.transform("rho", lambda x, i: 2.0 * (1.0 - (i + 1) / (lags + 1)) * x), F.lit(1.0), lambda a, x: a + x)
+    j = e.join(rho, key).withColumn("kpss", F.try_divide("_e", F.col("_v") * w))
+    return j.select(key, "kpss", interpolate(F.col("kpss"), KPSS_TABLE).alias("kpss_p"))
+
+
+def stationarity_verdict(pre: DataFrame, post: DataFrame, window: DataFrame | None = None, lags: int = 1, alpha: float = 0.05,
+                         tolerance: float = 0.2, key: str = "series_id") -> DataFrame:
+    """Unit-root and level tests before and after an edit, verdict, and whether the break of the edited series lies in
+    the edit window widened by ``tolerance`` (window: key, start, end)."""
+    both = lambda d, tag: unit_root(d, lags, key).join(level_stationarity(d, 4, key), key).select(
+        key, F.col("adf_p").alias(f"adf_{tag}"), F.col("kpss_p").alias(f"kpss_{tag}"))
+    j = both(pre, "pre").join(both(post, "post"), key)
+    st = lambda tag: (F.col(f"adf_{tag}") < alpha) & (F.col(f"kpss_{tag}") >= alpha)
+    j = j.withColumns({"_a": st("pre"), "_b": st("post")})
+    v = (F.when(F.col("_a").isNull() | F.col("_b").isNull(), "undetermined").when(F.col("_a") & ~F.col("_b"), "edit_introduced_nonstationarity")
+         .when(~F.col("_a") & F.col("_b"), "edit_reduced_nonstationarity").when(F.col("_a"), "stationary_preserved").otherwise("nonstationary_preserved"))
+    j = j.withColumn("verdict", v).drop("_a", "_b")
+    if window is None:
+        return j
+    from .fits import best_single_break
+    b = best_single_break(post, key=key).join(window, key)
+    slack = tolerance * (F.col("end") - F.col("start"))
+    b = b.select(key, "break_at", ((F.col("break_at") >= F.col("start") - slack) & (F.col("break_at") <= F.col("end") + slack)).alias("break_consistent"))
+    return j.join(b, key, "left")
+
+
+def detrend(points: DataFrame, key: str = "series_id") -> DataFrame:
+    line = points.groupBy(key).agg(F.regr_intercept("value", "t").alias("_a"), F.regr_slope("value", "t").alias("_b"))
+    return points.join(line, key).withColumn("value", F.col("value") - F.coalesce(F.col("_a") + F.col("_b") * F.col("t"), F.lit(0.0))).drop("_a", "_b")
+
+
+def whiten(points: DataFrame, order: int = 1, key: str = "series_id") -> DataFrame:
+    """Residual of an autoregression with constant, fitted by normal equations per series."""
+    from .fits import linear_coefficients
+    from .layout import framed
+    p = framed(points, order, 0, {f"_l{i}": lambda w, i=i: F.lag("value", i).over(w()) for i in range(1, order + 1)}, (key,)).where(F.col(f"_l{order}").isNotNull())
+    names = {"c": lambda t: t * 0.0 + 1.0, **{f"l{i}": (lambda i: lambda t: F.col(f"_l{i}"))(i) for i in range(1, order + 1)}}
+    co = linear_coefficients(p, names, (key,)).drop("n")
+    fit = F.element_at("coefficients", F.lit("c")) + sum(F.element_at("coefficients", F.lit(f"l{i}")) * F.col(f"_l{i}") for i in range(1, order + 1))
+    return p.join(co, key).select(key, "t", (F.col("value") - fit).alias("value"))
+
+
+# --- joint tests -------------------------------------------------------------------------------------
+
+def permutation_p(samples: DataFrame, keys: list[str], replicates: int = 100, cap: int = 100) -> DataFrame:
+    """Quadratic discrepancy of two bounded samples and its permutation p; labels are permuted by hash order.
+
+    ``samples``: keys, side, id, value.
+    """
+    from .metrics import bandwidth, capped_sample, kernel_mmd
+    s = capped_sample(samples, [*keys, "side"], F.xxhash64("id"), cap)
+    g = s.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("side", "value"))).alias("_r"))
+    pick = lambda side: F.transform(F.filter("_r", lambda e: e["side"] == side), lambda e: e["value"])
+    g = g.withColumns({"_x": pick("x"), "_y": pick("y")}).withColumn("_all", F.concat("_x", "_y"))
+    g = g.withColumn("bandwidth", bandwidth(F.col("_all"))).withColumn("mmd2", kernel_mmd(F.col("_x"), F.col("_y"), F.col("bandwidth")))
+    r = g.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).repartition(*keys, "rep")
+    mix = F.transform(F.array_sort(F.transform("_all", lambda v, i: F.struct(F.xxhash64(*keys, "rep", i).alias("h"), v.alias("v")))), lambda e: e["v"])
+    r = r.withColumn("_m", mix)
+    a, b = F.slice("_m", F.lit(1), F.size("_x")), F.slice("_m", F.size("_x") + 1, F.size("_y"))
+    r = r.withColumn("_d", kernel_mmd(a, b, F.col("bandwidth")))
+    return r.groupBy(*keys, "mmd2", "bandwidth").agg(((1 + F.count_if(F.col("_d") >= F.col("mmd2"))) / F.lit(1.0 + replicates)).alias("p_value"))
+
+
+def conservation_significance(pre: DataFrame, post: DataFrame, replicates: int = 50, permutations: int = 50, key: str = "series_id") -> DataFrame:
+    """Residual interval after, energy ratio test, and discrepancy of before against after, one row per key."""
+    from .metrics import variance_ratio
+    ci = bootstrap_ci(stationary_bootstrap(post, 5.0, replicates, key=key), F.avg("value"), key)
+    both = pre.select(key, F.lit("pre").alias("side"), "value").unionByName(post.select(key, F.lit("post").alias("side"), "value"))
+    vr = variance_ratio(both, [key]).select(key, "ratio", "f_statistic", F.col("p_value").alias("ratio_p"))
+    s = pre.select(key, F.lit("x").alias("side"), F.col("t").alias("id"), "value").unionByName(post.select(key, F.lit("y").alias("side"), F.col("t").alias("id"), "value"))
+    mm = permutation_p(s, [key], permutations).select(key, "mmd2", F.col("p_value").alias("mmd_p"))
+    return ci.join(vr, key).join(mm, key)
+
+
+def donor_shift(windows: DataFrame, context: DataFrame, replicates: int = 50, block: float = 3.0, key: str = "edit_id") -> DataFrame:
+    """Linear discrepancy of a donor window against its context with a block-bootstrap p.
+
+    Both: key, i (position), value.
+    """
+    from .metrics import mmd_linear
+    obs = mmd_linear(windows.withColumn("side", F.lit("x")).unionByName(context.withColumn("side", F.lit("y"))), [key])
+    nw = windows.groupBy(key).agg(F.count(F.lit(1)).alias("_w"))
+    pooled = windows.select(key, F.col("i").alias("t"), "value").unionByName(
+        context.join(nw, key).select(key, (F.col("i") + F.col("_w")).cast("int").alias("t"), "value"))
+    b = stationary_bootstrap(pooled, block, replicates, key=key).join(nw, key)
+    side = F.when(F.col("t") < F.col("_w"), "x").otherwise("y")
+    s = b.select(key, "rep", side.alias("side"), F.when(F.col("t") < F.col("_w"), F.col("t")).otherwise(F.col("t") - F.col("_w")).alias("i"), "value")
+    m = mmd_linear(s, [key, "rep"]).select(key, "rep", F.col("mmd2").alias("_m")).join(obs, key)
+    p = m.groupBy(key).agg(((1 + F.count_if(F.col("_m") >= F.col("mmd2"))) / F.lit(1.0 + replicates)).alias("p_value"))
+    return obs.join(p, key)
+
+
+# --- coefficient-space stability --------------------------------------------------------------------
+
+def coefficient_stability(fits: DataFrame, prototypes: DataFrame, target: Column, n: int = 40, kappa: float = 0.5, threshold: float = 0.5) -> DataFrame:
+    """Target-class probability under noise on the line coefficients: mean minus kappa deviations, flip share.
+
+    ``fits``: id, x0, rate, sigma_x0, sigma_rate, residual array.  Noise is drawn by hash; the signal is rebuilt from
+    the formula and scored against class prototypes.
+    """
+    from .prototypes import chunk_probabilities
+    labels = tuple(r["label"] for r in prototypes.select("label").orderBy("label").limit(4096).collect())
+    f = fits.withColumn("target", target)
+    s = f.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n))))
+    a = F.when(F.col("rep") == 0, F.col("x0")).otherwise(F.col("x0") + F.col("sigma_x0") * normal(F.col("id"), F.col("rep"), F.lit("a")))
+    b = F.when(F.col("rep") == 0, F.col("rate")).otherwise(F.col("rate") + F.col("sigma_rate") * normal(F.col("id"), F.col("rep"), F.lit("b")))
+    s = s.withColumns({"_a": a, "_b": b}).withColumn("v", F.transform("residual", lambda r, i: F.col("_a") + F.col("_b") * i + r))
+    s = s.select(F.struct("id", "rep", "target").alias("id"), "v")
+    c = chunk_probabilities(s, prototypes, labels).select("id.*", "label", F.col("probabilities").alias("_p"))
+    c = c.withColumn("p", F.element_at("_p", F.col("target")))
+    base = c.where("rep = 0").select("id", F.col("label").alias("_l"))
+    g = c.where("rep > 0").join(base, "id").groupBy("id").agg(F.avg("p").alias("mu"), F.stddev_pop("p").alias("sigma"),
+                                                          F.avg((F.col("label") != F.col("_l")).cast("double")).alias("invalidation_rate"))
+    return g.withColumn("cs", F.col("mu") - kappa * F.col("sigma")).withColumn("is_robust", F.col("cs") > threshold)
+
+
+def stability_bound(terms: DataFrame, margin: DataFrame, key: str = "id") -> DataFrame:
+    """Closed-form bound: normal mass of margin over the propagated deviation.
+
+    ``terms``: key, name, sigma, dp (derivative of the probability in that coefficient); ``margin``: key, margin.
+    """
+    from ..functions.scores import normal_tail
+    v = terms.where("sigma > 0").groupBy(key).agg(F.sum(F.col("sigma") * F.col("sigma") * F.col("dp") * F.col("dp")).alias("_v"))
+    j = margin.join(v, key, "left")
+    return j.select(key, F.when(F.coalesce("_v", F.lit(0.0)) <= 0, 1.0).otherwise(1.0 - normal_tail(
+        F.col("margin") / F.greatest(F.sqrt("_v"), F.lit(1e-6)))).alias("bound"))
+
+
+# --- diversity ------------------------------------------------------------------------------------------
+
+def diversity(accepted: DataFrame, kernel: str = "latent_euclidean", reg: float = 1e-6, key: str = "session_id") -> DataFrame:
+    """Log-determinant of the kernel of a session's accepted edits (key, seq, v); null under two.
+
+    The determinant needs the whole session matrix, so one session is one small numpy call.
+    """
+    import pandas as pd
+
+    def run(pdf):
+        import numpy as np
+        x = np.stack(pdf.sort_values("seq")["v"].to_numpy())
+        n = len(x)
+        if n < 2:
+            return pd.DataFrame({key: [pdf[key].iloc[0]], "n": [n], "log_det": [None], "bandwidth": [None]}).astype({"log_det": float, "bandwidth": float})
+        if kernel == "shapelet_edit":
+            sd = x.std(1, keepdims=True)
+            x = (x - x.mean(1, keepdims=True)) / np.where(sd < 1e-12, 1, sd)
+        if kernel == "dtw_rbf":
+            from ..functions.kernels import dtw
+            d = np.zeros((n, n))
+            i, j = np.triu_indices(n, 1)
+            d[i, j] = d[j, i] = dtw(x[i], x[j], max(1, round(0.1 * x.shape[1])))
+        else:
+            d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+        bw = np.median(d[np.triu_indices(n, 1)])
+        bw = bw if bw > 0 else 1.0
+        K = 1 / (1 + d) if kernel == "shapelet_edit" else np.exp(-d ** 2 / (2 * bw * bw))
+        sign, ld = np.linalg.slogdet(K + reg * np.eye(n))
+        return pd.DataFrame({key: [pdf[key].iloc[0]], "n": [n], "log_det": [ld if sign > 0 else -np.inf], "bandwidth": [bw]})
+    return accepted.select(key, "seq", "v").groupBy(key).applyInPandas(run, f"{key} {dict(accepted.dtypes)[key]}, n int, log_det double, bandwidth double")
+
+
+def incremental_diversity(accepted: DataFrame, reg: float = 1e-6, key: str = "session_id") -> DataFrame:
+    """Log-determinant after each accepted edit by rank-one updates; bandwidth frozen at the second edit."""
+    from ..streaming.stateful import LogDet
+    rows = accepted.select(key, "seq", "v").repartition(key).sortWithinPartitions(key, "seq")
+
+    def run(batches):
+        import pandas as pd
+        cur, st = None, None
+        for pdf in batches:
+            out = []
+            for s, q, v in zip(pdf[key], pdf["seq"], pdf["v"]):
+                if s != cur:
+                    cur, st = s, LogDet(reg)
+                out.append((s, q, st.add(v)))
+            yield pd.DataFrame(out, columns=[key, "seq", "log_det"])
+    t = dict(accepted.dtypes)
+    return rows.mapInPandas(run, f"{key} {t[key]}, seq {t['seq']}, log_det double")
