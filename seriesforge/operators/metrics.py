@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
@@ -173,14 +174,17 @@ def gini(counts: DataFrame, keys: list[str], value: str = "n") -> DataFrame:
 # --- two-sample discrepancy -------------------------------------------------------------------
 
 def bandwidth(sample: Column) -> Column:
-    """Median of pairwise distances of a bounded sample; 1 when it vanishes."""
-    def med(s):
-        d = F.array_sort(F.flatten(F.transform(s["v"], lambda x, i: F.transform(F.slice(s["v"], i + 2, F.greatest(s["n"] - i - 1, F.lit(0))),
-                                                                                 lambda y: F.abs(y - x)))))
-        return V.let(F.struct(d.alias("d"), F.size(d).alias("k")), lambda q: (
-            F.get(q["d"], F.floor((q["k"] - 1) / 2).cast("int")) + F.get(q["d"], F.floor(q["k"] / 2).cast("int"))) / 2)
-    m = V.let(F.struct(sample.alias("v"), F.size(sample).alias("n")), med)
-    return F.when(F.size(sample) < 2, 1.0).otherwise(V.let(m, lambda x: F.when(x > 0, x).otherwise(1.0)))
+    """Median of pairwise distances of a bounded sample; 1 when it vanishes (numpy, Arrow batches)."""
+    def run(v: pd.Series) -> pd.Series:
+        import numpy as np
+        out = []
+        for row in v:
+            x = np.asarray(row, float)
+            d = np.abs(x[:, None] - x[None])[np.triu_indices(len(x), 1)]
+            m = float(np.median(d)) if len(d) else 1.0
+            out.append(m if m > 0 else 1.0)
+        return pd.Series(out, dtype="float64")
+    return F.pandas_udf(run, "double")(sample)
 
 
 def mmd_linear(samples: DataFrame, keys: list[str], cap: int = 500) -> DataFrame:
@@ -224,16 +228,20 @@ def mmd_quadratic(samples: DataFrame, keys: list[str], order: Column, cap: int =
 
 
 def kernel_mmd(x: Column, y: Column, bw: Column) -> Column:
-    def mean_k(a, b):
-        return V.let(F.struct(a.alias("a"), b.alias("b"), bw.alias("s")), lambda q: V.vmean(F.transform(q["a"], lambda u: V.vmean(F.transform(
-            q["b"], lambda w: F.exp(-(u - w) * (u - w) / (2 * q["s"] * q["s"])))))))
-    return mean_k(x, x) + mean_k(y, y) - 2.0 * mean_k(x, y)
+    """Biased squared discrepancy of two bounded samples under a Gaussian kernel (numpy, Arrow batches)."""
+    def run(a: pd.Series, b: pd.Series, s: pd.Series) -> pd.Series:
+        import numpy as np
+        k = lambda u, w, h: np.exp(-(u[:, None] - w[None]) ** 2 / (2 * h * h)).mean()
+        out = []
+        for p, q, h in zip(a, b, s):
+            u, w = np.asarray(p, float), np.asarray(q, float)
+            out.append(k(u, u, h) + k(w, w, h) - 2 * k(u, w, h) if len(u) and len(w) else float("nan"))
+        return pd.Series(out, dtype="float64")
+    return F.pandas_udf(run, "double")(x, y, bw)
 
 
 def beta_tail(x: Column, a: Column, b: Column) -> Column:
     """1 - I_x(a, b), the regularised incomplete beta complement, continued fraction in Arrow batches."""
-    import pandas as pd
-
     def run(xs: "pd.Series", aa: "pd.Series", bb: "pd.Series") -> "pd.Series":
         out = []
         for x0, p, q in zip(xs, aa, bb):

@@ -12,8 +12,8 @@ def read_ts(spark: SparkSession, path: str, has_label: bool = True):
 
     Data lines hold one case: dimensions split by ':', values by ',', '?' for
     missing, the last field the class label.  Header lines start with '@'.  The
-    reader splits by line, so one file spreads over tasks; the case id is a hash
-    of file and line offset order within its partition is not needed.
+    reader splits by line, so one large file spreads over tasks; a case is known
+    by its file and a running line number.
     """
     raw = spark.read.text(path).select(F.trim("value").alias("line"), F.col("_metadata.file_path").alias("file"))
     lines = raw.where((F.length("line") > 0) & ~F.col("line").startswith("#"))
@@ -99,9 +99,9 @@ CASE = "fixtureId string, seriesId string, segmentationId string, seriesLength i
     "prediction struct<segments array<struct<segmentId string, startIndex int, endIndex int, label string>>>"
 
 
-def read_cases(spark: SparkSession, path: str):
+def read_cases(spark: SparkSession, path: str, multiline: bool = True):
     """(segments of both sides, drift values) of evaluation case files."""
-    c = spark.read.schema(CASE).option("multiLine", True).json(path)
+    c = spark.read.schema(CASE).option("multiLine", multiline).json(path)
 
     def side(col, tag):
         return c.select(F.col("fixtureId").alias("series_id"), F.lit(tag).alias("side"), F.explode(f"{col}.segments").alias("_s")).select(
