@@ -136,9 +136,9 @@ def _(spark, sf):
 @query("w13_percentile_rank", f"WITH {EMB}, {PAIR}, {NUNQ} SELECT vec_id AS id, {q6('(SELECT count(*) FROM nun WHERE distance <= list_sum(list_transform(v, lambda x: abs(x)))/6)/(SELECT count(*) FROM nun)')} AS pct FROM emb")
 def _(spark, sf):
     from seriesforge.operators.validation import percentile_rank
-    nun = D.unlike_neighbour(vecs(spark, sf)).select(F.lit(1).alias("k"), F.col("distance").alias("value"))
-    x = vecs(spark, sf).select("id", F.lit(1).alias("k"), (V.vsum(F.transform("v", lambda x: F.abs(x))) / 6).alias("value"))
-    return percentile_rank(x, nun, ["k"]).select("id", r6("pct").alias("pct"))
+    nun = D.unlike_neighbour(vecs(spark, sf)).select(F.col("distance").alias("value"))
+    x = vecs(spark, sf).select("id", (V.vsum(F.transform("v", lambda x: F.abs(x))) / 6).alias("value"))
+    return percentile_rank(x, nun, []).select("id", r6("pct").alias("pct"))
 
 
 KNN = "kn AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, nn_id) AS rn FROM d)"

@@ -186,7 +186,8 @@ def attach_segments(points: DataFrame, segments: DataFrame, pad: Column | int =
     s = segments.select("series_id", *keep, (F.greatest(F.col("start_index") - pad, F.lit(0))).alias("_lo"),
                         (F.col("end_index") + pad).alias("_hi"))
     s = s.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_lo") / width), F.floor(F.col("_hi") / width))))
-    p = points.withColumn("_b", F.floor(F.col("t") / width))
+    # Segment columns win over equally named point columns.
+    p = points.drop(*[c for c in keep if c in points.columns]).withColumn("_b", F.floor(F.col("t") / width))
     return (p.join(s, ["series_id", "_b"]).where(F.col("t").between(F.col("_lo"), F.col("_hi")))
             .drop("_b", "_lo", "_hi"))
 

@@ -15,26 +15,33 @@ def neighbour_thresholds(distances: DataFrame, key: str = "dataset", quantile: f
 def percentile_rank(x: DataFrame, reference: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """Share of reference values <= value, per key, without joining rows to rows.
 
-    Both sides are cut at 256 quantile edges of the reference; a value counts
-    whole bins below it from the bin table and compares only inside its own bin.
+    Both sides are first reduced to distinct values, then cut at 256 quantile
+    edges of the reference: a value counts whole bins below it from the bin table
+    and runs a cumulative count only inside its own bin.  Without keys the edges
+    and bins are scalar subqueries.
     """
-    edges = reference.groupBy(*keys).agg(
-        F.percentile_approx(value, [i / 256 for i in range(1, 256)], 10000).alias("_e"), F.count(F.lit(1)).alias("_total"))
+    marks = [i / 256 for i in range(1, 256)]
+    agg = (F.percentile_approx(value, marks, 10000).alias("_e"), F.count(F.lit(1)).alias("_total"))
+    ref = reference.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     bin_of = F.size(F.filter("_e", lambda e: e < F.col(value)))
-    r = reference.join(edges, keys).select(*keys, F.col(value), bin_of.alias("_b"))
-    bins = r.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    below = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    table = bins.select(*keys, F.struct("_b", "_n").alias("_s")).groupBy(*keys).agg(F.collect_list("_s").alias("_bins"))
-    xs = x.join(edges, keys).withColumn("_b", bin_of).drop("_e").join(table, keys)
+    if keys:
+        edges = reference.groupBy(*keys).agg(*agg)
+        add = lambda d: d.join(edges, keys)
+    else:
+        one = reference.agg(F.struct(*agg).alias("_s")).scalar()
+        add = lambda d: d.withColumn("_s", one).select(*d.columns, "_s._e", "_s._total")
+    r = add(ref).select(*keys, value, "_n", bin_of.alias("_b"))
+    bins = r.groupBy(*keys, "_b").agg(F.sum("_n").alias("_n"))
+    packed = F.collect_list(F.struct("_b", "_n")).alias("_bins")
+    xs = add(x.select(*keys, value).distinct()).withColumn("_b", bin_of).drop("_e")
+    xs = xs.join(bins.groupBy(*keys).agg(packed), keys) if keys else xs.withColumn("_bins", bins.agg(packed).scalar())
     whole = F.aggregate(F.filter("_bins", lambda s: s["_b"] < F.col("_b")), F.lit(0).cast("long"), lambda a, s: a + s["_n"])
-    # Inside one bin: running count over the merged, sorted rows; equal reference values come first.
-    cols = [c for c in x.columns if c not in keys and c != value]
-    left = xs.select(*keys, "_b", value, F.lit(1).alias("_q"), *cols, whole.alias("_w"), "_total")
-    nulls = [F.lit(None).cast(dict(x.dtypes)[c]).alias(c) for c in cols]
-    right = r.select(*keys, "_b", value, F.lit(0).alias("_q"), *nulls, F.lit(None).cast("long").alias("_w"), F.lit(None).cast("long").alias("_total"))
+    left = xs.select(*keys, "_b", value, F.lit(1).alias("_q"), F.lit(0).cast("long").alias("_n"), whole.alias("_w"), "_total")
+    none = F.lit(None).cast("long")
+    right = r.select(*keys, "_b", value, F.lit(0).alias("_q"), "_n", none.alias("_w"), none.alias("_total"))
     run = W.partitionBy(*keys, "_b").orderBy(value, "_q").rowsBetween(W.unboundedPreceding, 0)
-    m = left.unionByName(right).withColumn("_c", F.sum(1 - F.col("_q")).over(run)).where("_q = 1")
-    return m.select(*keys, *cols, value, ((F.col("_w") + F.col("_c")) / F.col("_total")).alias("pct"))
+    m = left.unionByName(right).withColumn("_c", F.sum("_n").over(run)).where("_q = 1")
+    return x.join(m.select(*keys, value, ((F.col("_w") + F.col("_c")) / F.col("_total")).alias("pct")), [*keys, value])
 
 
 # --- distance of an edit ----------------------------------------------------------------
@@ -51,7 +58,7 @@ def edit_distance(pairs: DataFrame, nun: DataFrame | None = None, keys=("series_
     if nun is None:
         return g.withColumns({"proximity_pct": F.lit(None).cast("double"), "too_dense": F.lit(False)})
     q90 = nun.agg(F.percentile("value", F.lit(0.9)).alias("q")).scalar()
-    r = percentile_rank(g.select(*keys, "sparsity", F.lit(1).alias("_k"), F.col("proximity").alias("value")), nun.select(F.lit(1).alias("_k"), "value"), ["_k"])
+    r = percentile_rank(g.select(*keys, "sparsity", F.col("proximity").alias("value")), nun.select("value"), [])
     return r.withColumn("_q", q90).select(*keys, F.col("value").alias("proximity"), "sparsity", F.col("pct").alias("proximity_pct"),
                                           ((F.col("sparsity") < sparsity_min) & (F.col("value") > F.col("_q"))).alias("too_dense"))
 
