@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from seriesforge import config as C
 from seriesforge.operators import chunks as K
 from seriesforge.operators import stats as S
+from seriesforge.operators.layout import cut_lineage
 
 from .base import (LENS, PTS, SEGS, SP, blocks, case_col, case_sql, points, q6, query, r6, seg_points,  # noqa: F401
                    CHUNK_OF)
@@ -277,8 +278,9 @@ def _(spark, sf):
        f"{q6('a.confidence')} AS confidence, {q6('stat.variance')} AS variance, CASE WHEN n_violations=0 THEN 'PASS' WHEN constraint_mode='hard' "
        "THEN 'FAIL' ELSE 'WARN' END AS status FROM asg a JOIN st USING (series_id) JOIN stat USING (series_id, segment_id)")
 def _(spark, sf):
+    # One row per segment feeds labels and constraints, so it is written once instead of computed three times.
     b = blocks(spark, sf)
-    s = S.segment_statistics(points(spark, sf), b)
+    s = cut_lineage(S.segment_statistics(points(spark, sf), b))
     a = K.assign(s).select("series_id", "segment_id", "assigned_label", r6("confidence").alias("confidence"),
                            r6("variance").alias("variance"))
     return a.join(K.status(b, K.evaluate(b, s)).select("series_id", "status"), "series_id")

@@ -206,23 +206,29 @@ def surrogate(v: Column, seed: Column, max_iter: int = 100, tol: float = 1e-6) -
 
     def run(a, s):
         import numpy as np
-        out = []
-        for row, h in zip(a, s):
-            x = np.asarray(row, float)
-            rank, amp = np.sort(x), np.abs(np.fft.rfft(x))
-            y = np.random.default_rng(abs(int(h))).permutation(x)
-            prev = np.inf
+        out = pd.Series([None] * len(a), dtype=object)
+        lengths = a.map(len).to_numpy()
+        for n in np.unique(lengths):
+            # All rows of one length advance together; a row leaves when its own step settles.
+            at = np.flatnonzero(lengths == n)
+            x = np.stack(a.iloc[at].to_numpy()).astype(float)
+            rank, amp = np.sort(x, 1), np.abs(np.fft.rfft(x, axis=1))
+            y = np.stack([np.random.default_rng(abs(int(h))).permutation(r) for r, h in zip(x, s.iloc[at])])
+            live, prev = np.arange(len(at)), np.full(len(at), np.inf)
             for _ in range(max_iter):
-                f = np.fft.rfft(y)
-                z = np.fft.irfft(amp * np.exp(1j * np.angle(f)), n=len(x))
-                new = rank[np.argsort(np.argsort(z))]
-                gap = float(np.mean((new - y) ** 2))
-                y = new
-                if abs(prev - gap) < tol:
+                f = np.fft.rfft(y[live], axis=1)
+                z = np.fft.irfft(amp[live] * np.exp(1j * np.angle(f)), n=int(n), axis=1)
+                new = np.take_along_axis(rank[live], np.argsort(np.argsort(z, 1), 1), 1)
+                gap = ((new - y[live]) ** 2).mean(1)
+                y[live] = new
+                go = np.abs(prev[live] - gap) >= tol
+                prev[live] = gap
+                live = live[go]
+                if not len(live):
                     break
-                prev = gap
-            out.append(y.tolist())
-        return pd.Series(out)
+            for i, row in zip(at, y):
+                out.iat[int(i)] = row.tolist()
+        return out
     run.__annotations__ = {"a": pd.Series, "s": pd.Series, "return": pd.Series}
     return F.pandas_udf(run, "array<double>")(v, seed)
 

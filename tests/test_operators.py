@@ -138,8 +138,29 @@ def test_breaks_changes_and_pursuit(spark):
     assert ((prob >= 0) & (prob <= 1)).all()
     tt = np.arange(120)
     y = 3 * np.log1p(np.maximum(0, (tt - 40) / 10.0))
-    q = T.pursuit(series(spark, y).drop("segment_id"), 8, [1.0, 3.0, 10.0, 30.0, 100.0], 10).first()
-    assert q["explained"] >= 0.95
+    taus = [1.0, 3.0, 10.0, 30.0, 100.0]
+    q = T.pursuit(series(spark, y).drop("segment_id"), 3, taus, 10).first()
+
+    def basis(k, r, tau):
+        pos = np.maximum(0, (tt - r) / tau)
+        return (tt >= r) * 1.0 if k == "step" else np.log1p(pos) if k == "log" else np.exp(-pos)
+    A = np.column_stack([np.ones(120), tt])
+    r0 = y - A @ np.linalg.lstsq(A, y, rcond=None)[0]
+    r, feats = r0.copy(), []
+    for _ in range(3):
+        jump = np.abs(np.diff(r))
+        onsets = set(np.argsort(-np.append(jump, jump[-1]), kind="stable")[:10].tolist()) | {0, 119}
+        atoms = [(k, t, u) for k in ("log", "exp", "step") for t in onsets for u in (taus if k != "step" else [1.0])
+                 if not any(f[0] == k and abs(f[1] - t) <= 6 and (k == "step" or abs(u / f[2] - 1) <= 0.1) for f in feats)]
+        best = max((a for a in atoms if basis(*a) @ basis(*a) > 1e-12), key=lambda a: abs(basis(*a) @ r) / np.linalg.norm(basis(*a)))
+        b = basis(*best)
+        r = r - (b @ r) / (b @ b) * b
+        feats.append(best)
+    D_ = np.stack([basis(*f) for f in feats], 1)
+    x = np.linalg.lstsq(D_, r0, rcond=None)[0]
+    assert [(f["type"], f["t_ref"], f["tau"]) for f in q["features"]] == [(k, float(t), u) for k, t, u in feats]
+    np.testing.assert_allclose([f["amplitude"] for f in q["features"]], x, rtol=1e-6)
+    assert q["explained"] == pytest.approx(1 - np.linalg.norm(r0 - D_ @ x) / np.linalg.norm(r0), rel=1e-6)
 
 
 def test_stationarity_verdict(spark):

@@ -38,7 +38,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["slice_segment_labels_and_status", "a01_variance", "w07_boundary_scores", "m01_macro_iou", "j04_positional_diff", "v19_shape_coverage",
+@pytest.mark.parametrize("name", ["a08_segment_statistics", "a01_variance", "w07_boundary_scores", "m01_macro_iou", "j04_positional_diff", "v19_shape_coverage",
                                   "w13_percentile_rank", "g01_shape_classifier"])
 def test_plan_stays_native_and_keyed(spark, name):
     p = plan(QUERIES[name](spark, SF))
