@@ -193,7 +193,7 @@ def _(spark, sf):
 
 
 @query("j14_discords", f"""WITH {PTS}, w AS (SELECT series_id, t, list(value) OVER (PARTITION BY series_id ORDER BY t ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS v FROM pts), z AS (SELECT series_id, t, list_transform(v, lambda x: (x-list_avg(v))/list_stddev_pop(v)) AS z FROM w WHERE len(v)=8),
- p AS (SELECT a.series_id, a.t, min(list_distance(a.z, b.z)) AS d FROM z a JOIN z b ON a.series_id=b.series_id AND abs(a.t-b.t)>2 GROUP BY 1,2) SELECT series_id, CAST(arg_max(t, d) AS INT) AS t, {q6('max(d)')} AS distance FROM p GROUP BY 1""")
+ p AS (SELECT a.series_id, a.t, min(list_distance(a.z, b.z)) AS d FROM z a JOIN z b ON a.series_id=b.series_id AND abs(a.t-b.t)>2 GROUP BY 1,2), k AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY round(d, 9) DESC, t) AS rn FROM p) SELECT series_id, CAST(t AS INT) AS t, {q6('round(d, 9)')} AS distance FROM k WHERE rn=1""")
 def _(spark, sf):
     return D.discords(points(spark, sf), 8).withColumn("distance", r6("distance"))
 

@@ -249,7 +249,8 @@ def discords(points: DataFrame, m: int, block: int = BLOCK) -> DataFrame:
     keys = ["series_id", "a", "b"]
     near = (left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(pair, f"series_id {sid}, t int, distance double")
             .groupBy("series_id", "t").agg(F.min("distance").alias("distance")).where(F.col("distance") < float("inf")))
-    return near.groupBy("series_id").agg(F.max(F.struct("distance", (-F.col("t")).alias("n"))).alias("m")).select(
+    # Two windows may be each other's nearest match; the earlier one is the discord.
+    return near.groupBy("series_id").agg(F.max(F.struct(F.round("distance", 9).alias("distance"), (-F.col("t")).alias("n"))).alias("m")).select(
         "series_id", (-F.col("m.n")).cast("int").alias("t"), F.col("m.distance").alias("distance"))
 
 

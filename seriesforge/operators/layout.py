@@ -247,9 +247,7 @@ def boundaries_to_segments(boundaries: DataFrame, lengths: DataFrame) -> DataFra
     """Segments from a boundary list; the last one ends the series; numbered segment-001 on."""
     zero = lengths.select("series_id", F.lit(0).alias("boundary"))
     every = boundaries.select("series_id", F.col("boundary").cast("int").alias("boundary")).unionByName(zero)
-    w = W.partitionBy("series_id").orderBy("boundary")
-    return (every.join(lengths, "series_id")
-            .withColumn("end_index", (F.lead("boundary").over(w) - 1))
-            .withColumn("end_index", F.coalesce("end_index", F.col("series_length") - 1).cast("int"))
-            .select("series_id", F.format_string("segment-%03d", F.row_number().over(w)).alias("segment_id"),
-                    F.col("boundary").alias("start_index"), "end_index"))
+    n = neighbours(every, "boundary", ["boundary"], back=False)
+    n = index_series(n, "series_id", ["boundary"], F.floor(F.col("boundary") / CHUNK), "_no").join(lengths, "series_id")
+    return n.select("series_id", F.format_string("segment-%03d", F.col("_no") + 1).alias("segment_id"), F.col("boundary").alias("start_index"),
+                    (F.coalesce("next_boundary", "series_length") - 1).cast("int").alias("end_index"))
