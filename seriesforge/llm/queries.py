@@ -41,14 +41,17 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
 MARKS = len(chat.OPEN + chat.MID + chat.CLOSE)
 
 
-@query("op10_chat_format", rf"""
+CHAT_SQL = r"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')))
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
        CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
-       CAST(sum({MARKS} + length(role) + length(replace(replace(text, '\', '\\'), '<|', '<\|'))) AS BIGINT) AS formatted_chars
-FROM t GROUP BY conv_id""".replace("\\", "\"))
+       CAST(sum(MARKS + length(role) + length(replace(replace(text, '\', '\\'), '<|', '<\|'))) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id""".replace("MARKS", str(MARKS))
+
+
+@query("op10_chat_format", CHAT_SQL)
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-7, 0, "user", r"\### Assistant: </turn> ok"), (-7, 1, "assistant", r"\### Assistant: </turn> ok")],
