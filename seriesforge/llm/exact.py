@@ -140,7 +140,8 @@ def exact_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", bi
     base = with_uid(docs.select(F.col(id_col).alias("doc_id"), F.col(text).cast("string").alias("text")))
     rec = saved(verified_recipes(base, bits))
     first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("_uid"))
-    groups = rec.groupBy("recipe", "variants").agg(F.min(first).alias("_first"), F.count(F.lit(1)).alias("group_size"))
+    # written, so that the join has exchanges of its own, whose hot partitions it may split
+    groups = saved(rec.groupBy("recipe", "variants").agg(F.min(first).alias("_first"), F.count(F.lit(1)).alias("group_size")))
     return (rec.join(groups, ["recipe", "variants"])
             .select("_uid", "doc_id", F.col("_first.doc_id").alias("keep_id"), "group_size",
                     (F.col("_uid") == F.col("_first._uid")).alias("kept"), "text_sha256"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact, shard
+from . import bpe, chat, exact, langid, packing, shard
 from .common import table
 
 QUERIES: dict = {}
@@ -58,3 +58,21 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
                                   "conv_id long, turn long, role string, text string")
     records = chat.records_of_turns(turns.unionByName(extra))
     return chat.digests(chat.format_records(records))
+
+
+@query("op6_byte_bpe")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    return bpe.encode_texts(table(spark, sf, "documents"), ids=False)
+
+
+@query("op8_language_id")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    model = langid.train(docs, where=~langid.held_out())
+    told = langid.predict(docs, model, carry=["doc_id"])
+    return told.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query("op9_packing")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf, "documents"))
