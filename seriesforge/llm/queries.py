@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, exact, langid, packing, shard
+from . import bpe, chat, exact, langid, minhash, packing, shard
 from .common import table
 
 QUERIES: dict = {}
@@ -76,3 +76,8 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
 @query("op9_packing")
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf, "documents"))
+
+
+@query("op1_minhash_near_dedup")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    return minhash.near_classes(table(spark, sf, "documents")).drop("_uid")
