@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, exact, langid, minhash, packing, shard
+from . import bpe, chat, exact, langid, minhash, packing, passages, shard
 from .common import table
 
 QUERIES: dict = {}
@@ -81,3 +81,8 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 @query("op1_minhash_near_dedup")
 def op1(spark: SparkSession, sf: str) -> DataFrame:
     return minhash.near_classes(table(spark, sf, "documents")).drop("_uid")
+
+
+@query("op5_substring_dedup")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf, "documents")).drop("_uid")
