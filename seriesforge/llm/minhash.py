@@ -152,7 +152,8 @@ def near_classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", th
     label = needed.select(F.col("_uid").alias("x"), F.col("_uid").alias("c"))
     open_ = members.join(label, "x")
     for r in range(rounds + 1):
-        several = saved(open_.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min(F.struct(F.xxhash64("x", "key", F.lit(r)).alias("h"), F.col("x"), F.col("c"))).alias("lead"))
+        # one order of all texts per round, so that the buckets of a large group mostly share their leader
+        several = saved(open_.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min(F.struct(F.xxhash64("x", F.lit(r)).alias("h"), F.col("x"), F.col("c"))).alias("lead"))
                         .where("c0 < c1").select("key", F.col("lead.x").alias("lead"), F.col("lead.c").alias("lead_c")))
         inside = saved(open_.join(several, "key"))
         if r == rounds:

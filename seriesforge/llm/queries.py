@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, chat, exact, langid, minhash, packing, passages, shard
+from . import ann, bpe, chat, exact, langid, license, minhash, packing, passages, shard
 from .common import table
 
 QUERIES: dict = {}
@@ -86,3 +87,15 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
 @query("op5_substring_dedup")
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     return passages.repeated_passages(table(spark, sf, "documents")).drop("_uid")
+
+
+@query("op3_nearest_neighbours")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    found = ann.nearest(table(spark, sf, "embeddings"), F.col("id") % 20 == 0, 20)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+@query("op2_license_scan")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return license.scan(docs, license.train(docs))
