@@ -63,12 +63,19 @@ class Model:
         known = literal(sorted(self.weights))
         table = F.map_from_arrays(known, literal([self.weights[g] for g in sorted(self.weights)]))
         hits = F.array_intersect(F.concat("words", pairs_of(F.col("words"))), known)
-        df = df.withColumn("_w", F.transform(hits, lambda g: F.element_at(table, g)))
+        df = settled(df, "_w", F.transform(hits, lambda g: F.element_at(table, g)))
         start = literal(self.intercept)
-        df = df.withColumn("_l", F.aggregate("_w", start, lambda a, w: F.zip_with(a, w, lambda x, y: x + y)))
-        df = df.withColumn("_top", F.array_max("_l")).withColumn("_e", F.transform("_l", lambda x: F.exp((x - F.col("_top")) / F.lit(t))))
-        df = df.withColumn("_sum", F.aggregate("_e", F.lit(0.0), lambda a, x: a + x))
-        return df.withColumn("p", F.transform("_e", lambda x: x / F.col("_sum"))).drop("_w", "_l", "_top", "_e", "_sum")
+        df = settled(df, "_l", F.aggregate("_w", start, lambda a, w: F.zip_with(a, w, lambda x, y: x + y)))
+        df = settled(df, "_top", F.array_max("_l"))
+        df = settled(df, "_e", F.transform("_l", lambda x: F.exp((x - F.col("_top")) / F.lit(t))))
+        df = settled(df, "_sum", F.aggregate("_e", F.lit(0.0), lambda a, x: a + x))
+        return settled(df, "p", F.transform("_e", lambda x: x / F.col("_sum"))).drop("_w", "_l", "_top", "_e", "_sum")
+
+
+def settled(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that later filters and lambdas read but do not compute again: no expression moves through a
+    generator."""
+    return df.withColumn(name, F.explode(F.array(value)))
 
 
 def literal(x) -> Column:
