@@ -105,7 +105,8 @@ def render(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int]]]:
     """Formatted text and the (start, length) spans of assistant texts in it, in code points."""
     out, at, spans = [], 0, []
     for role, text in turns:
-        head, body = f"{OPEN}{escape(role)}{MID}", escape(text)
+        name = escape(role).replace("|>", "|\\>")
+        head, body = f"{OPEN}{name}{MID}", escape(text)
         if role == "assistant":
             spans.append((at + len(head), len(body)))
         out += [head, body, CLOSE]

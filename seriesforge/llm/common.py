@@ -39,8 +39,12 @@ def with_uid(df: DataFrame, uid: str = "_uid") -> DataFrame:
     return df.withColumn(uid, F.monotonically_increasing_id())
 
 
-def some(c: str, other: str = "") -> Column:
-    return F.coalesce(F.col(c), F.lit(other))
+def fresh(name: str, df: DataFrame) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def mix64(x: np.ndarray, seed: int = 0) -> np.ndarray:

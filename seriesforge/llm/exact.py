@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import buffer, mix64, saved, slices, with_uid
+from .common import buffer, fresh, mix64, saved, slices, with_uid
 
 SPACE = re.compile(rb"[\t-\r][ \t-\r]*| [ \t-\r]+")  # all runs but a single blank, which stays as it is
 MIN_CHUNK, MEAN_BITS, MAX_CHUNK = 256, 11, 16384
@@ -150,5 +150,5 @@ def exact_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", bi
 def drop_exact(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Rows of ``docs`` that stay, all columns as they came."""
     kept = exact_groups(docs, text, id_col).where("kept").select("_uid")
-    uid = "_uid_" + "".join(c for c in "".join(docs.columns) if c.isalnum())[:40]
+    uid = fresh("_row", docs)
     return with_uid(docs, uid).join(kept.withColumnRenamed("_uid", uid), uid, "left_semi").drop(uid)

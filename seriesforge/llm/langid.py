@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffer, saved, slices, with_uid
+from .common import buffer, fresh, saved, slices, with_uid
 
 ORDER = 3
 UNIFORM = 8.0               # bits of a byte without any model
@@ -163,30 +163,32 @@ def predict(docs: DataFrame, model: Counts, text: str = "text", carry: list[str]
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
     state: dict = {}
 
+    raw, letters = fresh("_text", docs), fresh("_letters", docs)
+
     def run(batches):
         if "model" not in state:
             state["model"] = pickle.loads(shared.value)
         m = state["model"]
         for whole in batches:
-            for batch in slices(whole, "_text"):
-                data, off = buffer(batch.column("_text"))
+            for batch in slices(whole, raw):
+                data, off = buffer(batch.column(raw))
                 bits = code_lengths(m, data, off)
                 size = np.diff(off)
                 mean = bits / np.maximum(size, 1)[:, None]
                 best = mean.argmin(axis=1)
                 p = np.exp2(-(mean - mean.min(axis=1, keepdims=True)) * np.minimum(size, EVIDENCE)[:, None])
                 score = 1.0 / p.sum(axis=1)
-                ok = np.array(batch.column("_letters").to_pylist(), bool)
+                ok = np.array(batch.column(letters).to_pylist(), bool)
                 names = [m.langs[b] if k else "und" for b, k in zip(best.tolist(), ok.tolist())]
-                rest = [batch.column(i) for i, n in enumerate(batch.schema.names) if n not in ("_text", "_letters")]
+                rest = [batch.column(i) for i, n in enumerate(batch.schema.names) if n not in (raw, letters)]
                 yield pa.RecordBatch.from_arrays(
                     rest + [pa.array(names, pa.string()), pa.array(np.where(ok, score, 0.0)), pa.array(mean.min(axis=1), mask=~ok)],
-                    [n for n in batch.schema.names if n not in ("_text", "_letters")] + ["lang_pred", "score", "bits_per_byte"])
+                    [n for n in batch.schema.names if n not in (raw, letters)] + ["lang_pred", "score", "bits_per_byte"])
 
     t = F.col(text).cast("string")
     named = docs.select(*[c for c in carry if c.lower() not in ("lang_pred", "score", "bits_per_byte")])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in named.schema.fields)
-    fed = docs.select(*named.columns, F.coalesce(t, F.lit("")).alias("_text"), F.coalesce(t.rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
+    fed = docs.select(*named.columns, F.coalesce(t, F.lit("")).alias(raw), F.coalesce(t.rlike(r"\p{L}"), F.lit(False)).alias(letters))
     return fed.mapInArrow(run, f"{schema}{', ' if schema else ''}lang_pred string, score double, bits_per_byte double")
 
 
@@ -197,7 +199,7 @@ def held_out(id_col: str = "doc_id") -> Column:
 def keep_known(docs: DataFrame, model: Counts, text: str = "text") -> DataFrame:
     """Rows of ``docs`` in a language the model knows: rejected are texts without a letter and those that no learned
     language codes below a uniform byte (16 bits are allowed for the start of the text)."""
-    uid = "_uid_" + "".join(c for c in "".join(docs.columns) if c.isalnum())[:40]
+    uid = fresh("_row", docs)
     tagged = with_uid(docs, uid)
     told = saved(predict(tagged.select(uid, F.col(text).alias("text")), model, carry=[uid])
                  .join(tagged.select(uid, F.octet_length(text).alias("n")), uid))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import classes, mix64, saved, slices, with_uid
+from .common import classes, fresh, mix64, saved, slices, with_uid
 from .words import shingle_hashes, word_hashes
 
 ROWS, BANDS = 7, 50
@@ -199,5 +199,5 @@ def _remaining(inside: DataFrame, seen: DataFrame, rep: DataFrame, threshold: fl
 def drop_near(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Rows of ``docs`` that stay: one of each class, all columns as they came."""
     kept = near_classes(docs, text, id_col).where("kept").select("_uid")
-    uid = "_uid_" + "".join(c for c in "".join(docs.columns) if c.isalnum())[:40]
+    uid = fresh("_row", docs)
     return with_uid(docs, uid).join(kept.withColumnRenamed("_uid", uid), uid, "left_semi").drop(uid)
