@@ -77,7 +77,18 @@ def _(spark, sf):
     return X.invalidation_monte_carlo(v, P.means(v), 0.05, 10)
 
 
-BOOT = """bg AS (SELECT p.series_id, t, n, r AS rep, ((((r*1103515245+t*12345+7)%2147483648)*22695477+1)%2147483648) < 2147483648/5.0 OR t=0 AS rs, ((((r*1103515245+t*12345+108)%2147483648)*22695477+1)%2147483648)//64 % n AS st FROM pts p JOIN (SELECT series_id, count(*) AS n FROM pts GROUP BY 1) USING (series_id), range(20) g(r)),
+def mixed_sql(x: str) -> str:
+    for _ in range(2):
+        x = f"(xor({x}, ({x}) >> 16) * 73244475) % 4294967296"
+    return f"xor({x}, ({x}) >> 16)"
+
+
+def draw_sql(rep: str, t: str, seed: int) -> str:
+    inner = mixed_sql("x")
+    return f"list_transform([(list_transform([CAST({rep} AS BIGINT) + {seed * 7919}], lambda x: {inner})[1] + CAST({t} AS BIGINT) * 2654435761) % 4294967296], lambda x: {inner})[1]"
+
+
+BOOT = f"""bg AS (SELECT p.series_id, t, n, r AS rep, {draw_sql("r", "t", 7)} < 4294967296/5.0 OR t=0 AS rs, {draw_sql("r", "t", 108)} % n AS st FROM pts p JOIN (SELECT series_id, count(*) AS n FROM pts GROUP BY 1) USING (series_id), range(20) g(r)),
  bc AS (SELECT *, last_value(CASE WHEN rs THEN st END IGNORE NULLS) OVER w AS s0, last_value(CASE WHEN rs THEN t END IGNORE NULLS) OVER w AS t0 FROM bg WINDOW w AS (PARTITION BY series_id, rep ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
  bb AS (SELECT bc.series_id, rep, bc.t, p.value FROM bc JOIN pts p ON p.series_id=bc.series_id AND p.t=(s0+bc.t-t0)%n)"""
 

@@ -140,13 +140,20 @@ def invalidation_monte_carlo(vectors: DataFrame, prototypes: DataFrame, sigma: f
 
 # --- bootstrap -----------------------------------------------------------------------------------
 
-LCG = 2147483648
+# Multipliers of public 32-bit mixing hashes; products stay below 2**63.
+RANGE, MIX, SPREAD = 1 << 32, 73244475, 2654435761
 
 
-def arithmetic_hash(rep: Column, t: Column, seed: int) -> Column:
-    """Integer hash that other engines can repeat."""
-    x = (rep.cast("long") * 1103515245 + t.cast("long") * 12345 + seed) % LCG
-    return ((x * 22695477 + 1) % LCG)
+def mixed(x: Column) -> Column:
+    """32-bit mixing hash (xor-shift and multiply, twice) that other engines can repeat."""
+    for _ in range(2):
+        x = (x.bitwiseXOR(F.shiftright(x, 16)) * MIX) % RANGE
+    return x.bitwiseXOR(F.shiftright(x, 16))
+
+
+def draw(rep: Column, t: Column, seed: int) -> Column:
+    """Hash of (replicate, position, seed) in [0, 2**32)."""
+    return mixed((mixed(rep.cast("long") + seed * 7919) + t.cast("long") * SPREAD) % RANGE)
 
 
 def stationary_bootstrap(points: DataFrame, block: Column | float, replicates: int, seed: int = 7, key: str = "series_id",
@@ -161,9 +168,9 @@ def stationary_bootstrap(points: DataFrame, block: Column | float, replicates: i
     g = points.select(key, "t").join(n, key)
     g = g.withColumn("_b", block if isinstance(block, Column) else F.lit(float(block)))
     g = g.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    h1, h2 = arithmetic_hash(F.col("rep"), F.col("t"), seed), arithmetic_hash(F.col("rep"), F.col("t"), seed + 101)
-    restart = (F.col("t") == 0) | (h1 < LCG / F.col("_b"))
-    g = g.withColumns({"_s": F.when(restart, (F.floor(h2 / 64) % F.col("_n")).cast("long")), "_at": F.col("t")})
+    h1, h2 = draw(F.col("rep"), F.col("t"), seed), draw(F.col("rep"), F.col("t"), seed + 101)
+    restart = (F.col("t") == 0) | (h1 < float(RANGE) / F.col("_b"))
+    g = g.withColumns({"_s": F.when(restart, (h2 % F.col("_n")).cast("long")), "_at": F.col("t")})
     c = running_last(g, ["_s", "_at"], (key, "rep"))
     src = F.pmod(F.col("last__s") + F.col("t") - F.col("last__at"), F.col("_n")).cast("int")
     c = c.select(key, "rep", "t", src.alias("_src"))
@@ -399,17 +406,25 @@ def conservation_significance(pre: DataFrame, post: DataFrame, replicates: int =
     return ci.join(vr, key).join(mm, key)
 
 
-def donor_shift(windows: DataFrame, context: DataFrame, replicates: int = 50, block: float = 3.0, key: str = "edit_id") -> DataFrame:
-    """Linear discrepancy of a donor window against its context with a block-bootstrap p.
+def donor_shift(windows: DataFrame, context: DataFrame, replicates: int = 50, block: int = 3, key: str = "edit_id", seed: int = 7) -> DataFrame:
+    """Linear discrepancy of a donor window against its context with a block-permuted p.
 
-    Both: key, i (position), value.
+    Both: key, i (position), value.  Window and context stand one after another and are cut into blocks of ``block``
+    rows; every replicate orders the blocks by a hash, rows keep their order inside a block, and the first rows form the
+    window again.  Each value is used once per replicate.  Positions of a block follow from the sizes of the blocks
+    before it, so only blocks are ranked.
     """
     from .metrics import mmd_linear
     obs = mmd_linear(windows.withColumn("side", F.lit("x")).unionByName(context.withColumn("side", F.lit("y"))), [key])
     nw = windows.groupBy(key).agg(F.count(F.lit(1)).alias("_w"))
     pooled = windows.select(key, F.col("i").alias("t"), "value").unionByName(
         context.join(nw, key).select(key, (F.col("i") + F.col("_w")).cast("int").alias("t"), "value"))
-    b = stationary_bootstrap(pooled, block, replicates, key=key).join(nw, key)
+    pooled = pooled.withColumn("_k", F.floor(F.col("t") / block).cast("long"))
+    blocks = pooled.groupBy(key, "_k").agg(F.count(F.lit(1)).alias("_n"), F.min("t").alias("_t0"))
+    blocks = blocks.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    order = W.partitionBy(key, "rep").orderBy(draw(F.col("rep"), F.col("_k"), seed), "_k").rowsBetween(W.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_to", F.coalesce(F.sum("_n").over(order), F.lit(0))).select(key, "_k", "rep", "_t0", "_to")
+    b = pooled.join(blocks, [key, "_k"]).select(key, "rep", (F.col("_to") + F.col("t") - F.col("_t0")).cast("int").alias("t"), "value").join(nw, key)
     side = F.when(F.col("t") < F.col("_w"), "x").otherwise("y")
     s = b.select(key, "rep", side.alias("side"), F.when(F.col("t") < F.col("_w"), F.col("t")).otherwise(F.col("t") - F.col("_w")).alias("i"), "value")
     m = mmd_linear(s, [key, "rep"]).select(key, "rep", F.col("mmd2").alias("_m")).join(obs, key)

@@ -184,6 +184,38 @@ def test_bootstrap_interval_covers_the_mean(spark):
     assert c.where("ci_lower <= 0 and ci_upper >= 0").count() / 50 >= 0.85
 
 
+def test_bootstrap_blocks_are_geometric(spark):
+    p = spark.range(4000).selectExpr("1 AS series_id", "CAST(id AS int) AS t", "CAST(id AS double) AS value")
+    v = X.stationary_bootstrap(p, 5.0, 6).orderBy("rep", "t").toPandas()
+    lengths = []
+    for _, r in v.groupby("rep"):
+        x = r.value.to_numpy()
+        cuts = np.flatnonzero((np.diff(x) != 1) & (np.diff(x) != -3999)) + 1
+        lengths += np.diff(np.concatenate([[0], cuts])).tolist()
+    share = lambda k: np.mean(np.array(lengths) == k)
+    for k in range(1, 8):
+        assert abs(share(k) - 0.2 * 0.8 ** (k - 1)) < 0.02
+    assert abs(np.mean(lengths) - 5) < 0.3
+
+
+def test_bootstrap_interval_covers_the_mean_of_dependent_series(spark):
+    rng = np.random.default_rng(12)
+    e = rng.normal(size=(60, 400))
+    x = np.zeros_like(e)
+    for t in range(1, 400):
+        x[:, t] = 0.5 * x[:, t - 1] + e[:, t]
+    c = X.bootstrap_ci(X.stationary_bootstrap(series(spark, *x).drop("segment_id"), 20.0, 100), F.avg("value"))
+    assert c.where("ci_lower <= 0 and ci_upper >= 0").count() / 60 >= 0.85
+
+
+def test_block_permutation_uses_every_value_once(spark):
+    rng = np.random.default_rng(13)
+    rows_of = lambda a: spark.createDataFrame([(1, i, float(v)) for i, v in enumerate(a)], "edit_id int, i int, value double")
+    same, far = rng.normal(size=60), rng.normal(size=60)
+    assert X.donor_shift(rows_of(same[:20]), rows_of(same[20:]), 39).first()["p_value"] > 0.05
+    assert X.donor_shift(rows_of(far[:20] + 6), rows_of(far[20:]), 39).first()["p_value"] <= 0.05
+
+
 def test_f_tail():
     from seriesforge.operators.metrics import _betainc
     # F(2, d) has the closed tail (1 + 2 f / d) ** (-d / 2).
