@@ -9,10 +9,10 @@ with probability equal to its similarity.  Bands of ``ROWS`` coordinates are the
 shares none of them with probability below 1e-5.
 
 Texts with the same bag are first one node.  In each bucket a leader is compared with all members (exact similarity of
-the bags); classes are merged; buckets that still hold several classes repeat this with other leaders.  At last all
-remaining pairs of a bucket whose classes differ are compared, except those that the triangle inequality with the
-leader rules out; buckets with very many classes are first divided by their other bands.  So no link between
-candidates is lost, and large groups never yield all their pairs.
+the bags); classes are merged; buckets that still hold several classes repeat this with other leaders.  The texts of
+buckets that hold several classes even then are joined by their rarest units, which is exact, and pairs of different
+classes that can be alike enough are compared.  So no link between candidates is lost, and large groups never yield
+all their pairs.
 
 Null or empty texts and texts without a word are classes of their own; a text under five words is one shingle; repeated
 rows share a class.  Class ids are the smallest doc_id (null last); extra columns of the input play no part.
@@ -32,7 +32,7 @@ from .words import shingle_hashes, word_hashes
 
 ROWS, BANDS = 7, 50
 THRESHOLD = 0.8
-WIDE = 128                  # classes in a bucket from which it is divided
+MAP = 16                    # words of a bag's parity map
 GAP = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -146,7 +146,7 @@ def near_classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", th
     shared = flat.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     members = saved(flat.join(shared, "key"))
     needed = saved(members.select(F.col("x").alias("_uid")).distinct())
-    units = saved(bag_table(base.join(needed, "_uid", "left_semi").select("_uid", "text")))
+    units = saved(bag_table(base.join(needed.hint("merge"), "_uid", "left_semi").select("_uid", "text")))
 
     links = seen = None
     label = needed.select(F.col("_uid").alias("x"), F.col("_uid").alias("c"))
@@ -164,7 +164,7 @@ def near_classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", th
         links = seen.where(F.col("sim") >= threshold)
         label = saved(classes(needed, links).select(F.col("_uid").alias("x"), F.col("class").alias("c")))
         open_ = members.join(label, "x")
-    last = _remaining(inside, seen, rep, threshold)
+    last = _remaining(inside, units, threshold)
     if last is not None:
         more = saved(similarities(saved(last.join(seen.select("a", "b"), ["a", "b"], "left_anti")), units)).where(F.col("sim") >= threshold)
         label = saved(classes(needed, links.unionByName(more)).select(F.col("_uid").alias("x"), F.col("class").alias("c")))
@@ -175,25 +175,51 @@ def near_classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", th
     return full.join(groups, "c").select("_uid", "doc_id", F.col("_first.doc_id").alias("class_id"), "class_size", (F.col("_uid") == F.col("_first._uid")).alias("kept"))
 
 
-def _remaining(inside: DataFrame, seen: DataFrame, rep: DataFrame, threshold: float) -> DataFrame | None:
-    """Pairs of one bucket and different classes that the distances to its leader do not rule out."""
+def _remaining(inside: DataFrame, units: DataFrame, threshold: float) -> DataFrame | None:
+    """All pairs of different classes, among the texts of buckets that still hold several, that can be alike enough.
+
+    Exact prefix join: alike bags share one of their rarest units, of which a bag of n needs n - ceil(threshold n) + 1;
+    units that no other text has count first and never match, so texts with too many of them drop out.  The places of
+    the shared unit in both orders, and the bits in which parity maps of the bags differ, bound the shared part of a
+    pair from above before it is emitted.
+    """
     if inside.isEmpty():
         return None
-    wide = saved(inside.groupBy("key").agg(F.approx_count_distinct("c").alias("n")).where(F.col("n") > WIDE).select("key"))
-    rows = inside.select("key", "x", "c", "lead")
-    if not wide.isEmpty():
-        # a pair alike enough shares another band as well; members of a wide bucket meet there only
-        split = (rows.join(wide, "key").join(rep.select(F.col("_uid").alias("x"), "keys"), "x").withColumn("k2", F.explode("keys")).where("k2 != key")
-                 .select(F.xxhash64("key", "k2").alias("key"), "x", "c", "lead"))
-        rows = rows.join(wide, "key", "left_anti").unionByName(split)
-        rows = saved(rows.join(rows.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key"), "key"))
-    sims = seen.select("a", "b", "sim")
-    rows = (rows.withColumns({"a": F.least("x", "lead"), "b": F.greatest("x", "lead")}).join(sims, ["a", "b"], "left")
-            .select("key", "x", "c", F.when(F.col("x") == F.col("lead"), 0.0).otherwise(1.0 - F.col("sim")).alias("d")))
-    rows = saved(rows)
-    other = rows.select("key", F.col("x").alias("y"), F.col("c").alias("c2"), F.col("d").alias("d2"))
-    near = F.abs(F.col("d") - F.col("d2")) <= 1.0 - threshold + 1e-9
-    return rows.join(other, "key").where((F.col("x") < F.col("y")) & (F.col("c") != F.col("c2")) & F.coalesce(near, F.lit(True))).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    left = inside.select("x", "c").distinct()
+
+    def spread(batches):
+        for batch in batches:
+            for x, own in zip(batch.column("x"), batch.column("units")):
+                u = np.frombuffer(own.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), x.as_py())), pa.array(u)], ["x", "u"])
+
+    def maps(batches):
+        for batch in batches:
+            odd = []
+            for own in batch.column("units"):
+                u = np.frombuffer(own.as_buffer(), np.uint64)
+                bits = np.bincount((u >> np.uint64(20)).astype(np.int64) % (64 * MAP), minlength=64 * MAP) & 1
+                odd.append(np.packbits(bits.astype(np.uint8)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("c"), pa.array([len(o) // 8 for o in batch.column("units").to_pylist()], pa.int32()), pa.array(odd, pa.list_(pa.int64()))],
+                                             ["x", "c", "n", "map"])
+
+    bags_ = saved(left.join(units.withColumnRenamed("_uid", "x").hint("merge"), "x"))
+    about = saved(bags_.mapInArrow(maps, "x long, c long, n int, map array<long>"))
+    rows = saved(bags_.mapInArrow(spread, "x long, u long"))
+    often = rows.groupBy("u").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    rows = rows.join(often, "u")
+    known = rows.groupBy("x").agg(F.count(F.lit(1)).cast("int").alias("m"))
+    about = about.join(known, "x").withColumn("own", F.col("n") - F.col("m"))
+    rows = rows.join(about, "x")
+    need = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1 - F.col("own")
+    rows = rows.where(need > 0).withColumn("r", F.row_number().over(W.partitionBy("x").orderBy("df", "u"))).where(F.col("r") <= need)
+    rows = saved(rows.select("x", "c", "n", (F.col("n") - F.col("own") - F.col("r") + 1).alias("left"), "map", "u"))
+    other = rows.select(F.col("x").alias("y"), F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("left").alias("left2"), F.col("map").alias("map2"), "u")
+    least = threshold / (1.0 + threshold) * (F.col("n") + F.col("n2")) - 1e-9       # units that must be shared
+    apart = sum((F.bit_count(F.col("map")[i].bitwiseXOR(F.col("map2")[i])) for i in range(MAP)), F.lit(0))
+    can = ((F.col("x") < F.col("y")) & (F.col("c") != F.col("c2")) & (F.least("left", "left2") >= least)
+           & (F.col("n") + F.col("n2") - apart >= 2.0 * least))
+    return rows.join(other, "u").where(can).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
 
 
 def drop_near(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
