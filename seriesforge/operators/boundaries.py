@@ -156,26 +156,30 @@ def cross_match_profile(points: DataFrame, window: int, k: int = 3) -> DataFrame
         import numpy as np
         import pandas as pd
         pdf = pdf.sort_values("t")
-        t0, total = int(pdf["t"].iloc[0]), int(pdf["_n"].iloc[0])
-        x = pdf["value"].to_numpy()
-        wins = np.lib.stride_tricks.sliding_window_view(x, window) if len(x) >= window else np.empty((0, window))
-        out_t = pdf.loc[pdf["home"], "t"].to_numpy()
-        prof = np.zeros(len(out_t))
-        for i, t in enumerate(out_t):
-            if t < window or t > total - window:
-                continue
-            le, rs = t - window, t
-            ls, re = max(0, le - 2 * k * window), min(total - window, t + 2 * k * window)
-            left, right = np.arange(ls, le + 1), np.arange(rs, re + 1)
-            kl, kr = min(k, len(left)), min(k, len(right))
-            pick = np.concatenate([left[np.round(np.linspace(0, len(left) - 1, kl)).astype(int)],
-                                   right[np.round(np.linspace(0, len(right) - 1, kr)).astype(int)]]) - t0
-            side = np.arange(kl + kr) >= kl
-            pool = wins[pick]
-            d = ((pool[:, None, :] - pool[None, :, :]) ** 2).sum(-1)
-            np.fill_diagonal(d, np.inf)
-            prof[i] = (side[d.argmin(1)] != side).mean()
-        return pd.DataFrame({"series_id": pdf["series_id"].iloc[0], "t": out_t.astype("int32"), "profile": prof})
+        first, last = int(pdf["t"].iloc[0]), int(pdf["_n"].iloc[0]) - window
+        home = pdf.loc[pdf["home"], "t"].to_numpy()
+        share = np.zeros(len(home))
+        inner = (home >= window) & (home <= last)
+        t = home[inner].astype(np.int64)
+        if len(t):
+            # starts of the sampled windows: one column per sample, left of t and then from t on
+            begin = np.stack([np.maximum(t - (2 * k + 1) * window, 0), t], axis=1)
+            spare = np.stack([t - window, np.minimum(t + 2 * k * window, last)], axis=1) - begin
+            taken = np.minimum(spare + 1, k)
+            step = spare / np.maximum(taken - 1, 1)
+            no = np.arange(k)
+            starts = (begin[:, :, None] + np.rint(no * step[:, :, None]).astype(np.int64)).reshape(len(t), 2 * k)
+            real = (no < taken[:, :, None]).reshape(len(t), 2 * k)
+            side = np.repeat([False, True], k)
+            windows = np.lib.stride_tricks.sliding_window_view(pdf["value"].to_numpy(), window)
+            pool = windows[np.where(real, starts, begin[:, :1]) - first]
+            for i in range(2 * k):      # nearest other sample of sample i, for all t at once
+                apart = ((pool - pool[:, i:i + 1]) ** 2).sum(axis=2)
+                apart[~real] = np.inf
+                apart[:, i] = np.inf
+                share[inner] += real[:, i] & (side[apart.argmin(axis=1)] != side[i])
+            share[inner] /= real.sum(axis=1)
+        return pd.DataFrame({"series_id": pdf["series_id"].iloc[0], "t": home.astype("int32"), "profile": share})
 
     sid = dict(points.dtypes)["series_id"]
     return rows.groupBy("series_id", "chunk").applyInPandas(kernel, f"series_id {sid}, t int, profile double")
