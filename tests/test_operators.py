@@ -177,6 +177,20 @@ def test_surrogates_keep_values(spark):
     assert r["s"] == r["u"]
 
 
+def test_batched_entropy_equals_the_column_form(spark):
+    x = np.round(np.random.default_rng(14).normal(size=(20, 24)), 1)
+    cols = [r["q"] for r in rows(spark, *x).select(X.ordinal_entropy(F.col("v")).alias("q")).collect()]
+    np.testing.assert_allclose(sorted(cols), sorted(X.ordinal_entropies(x)), atol=1e-12)
+
+
+def test_surrogate_test_tells_order_from_noise(spark):
+    noise = np.random.default_rng(15).normal(size=64)
+    d = spark.createDataFrame([(1, 0, noise.tolist(), np.sort(noise).tolist()), (2, 0, noise.tolist(), noise.tolist())],
+                              "series_id int, segment_id int, v array<double>, edited array<double>")
+    p = {r["series_id"]: r["p_value"] for r in X.surrogate_test(d, 39).collect()}
+    assert p[1] == pytest.approx(1 / 40) and p[2] > 0.05
+
+
 def test_bootstrap_interval_covers_the_mean(spark):
     rng = np.random.default_rng(11)
     p = series(spark, *rng.normal(size=(50, 40))).drop("segment_id")
