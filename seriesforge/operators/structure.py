@@ -157,9 +157,12 @@ def value_edit_reason(label, op, params) -> "F.Column":
 
 
 def apply_value_edits(frames: DataFrame, edits: DataFrame) -> DataFrame:
-    """Governed value edits: six operations in one CASE; refused rows keep their values and a reason code."""
+    """Governed value edits: six operations in one CASE; refused rows keep their values and a reason code.
+
+    An edit of a segment that does not exist stays as a row with ``UNKNOWN_SEGMENT`` and no values.
+    """
     from . import edits as E
-    j = frames.join(edits, ["series_id", "segment_id"])
+    j = frames.join(edits, ["series_id", "segment_id"], "right")
     p = lambda k, d: F.coalesce(F.try_element_at("params", F.lit(k)), F.lit(float(d)))
     v, op = F.col("v"), F.col("op_name")
     left, right = F.when(F.size("pre") > 0, F.element_at("pre", -1)), F.get("post", F.lit(0))
@@ -168,5 +171,5 @@ def apply_value_edits(frames: DataFrame, edits: DataFrame) -> DataFrame:
            .when(op == "shift_event", E.shift_hold(v, p("offset", 0).cast("int"))).when(op == "remove_event", E.bridge(v, left, right)))
     reason = value_edit_reason(F.col("label"), op, F.col("params"))
     whole = F.when((op == "remove_event") & (reason == "LEGAL") & (F.size("pre") + F.size("post") == 0), "INVALID_PARAMETERS").otherwise(reason)
-    j = j.withColumn("reason_code", whole)
+    j = j.withColumn("reason_code", F.when(F.col("label").isNull(), "UNKNOWN_SEGMENT").otherwise(whole))
     return j.withColumn("edited", F.when(F.col("reason_code") == "LEGAL", new).otherwise(v))

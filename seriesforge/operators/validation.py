@@ -487,16 +487,21 @@ def coefficient_stability(fits: DataFrame, prototypes: DataFrame, target: Column
     ``fits``: id, x0, rate, sigma_x0, sigma_rate, residual array.  Noise is drawn by hash; the signal is rebuilt from
     the formula and scored against class prototypes.
     """
-    from .prototypes import chunk_probabilities
-    labels = tuple(r["label"] for r in prototypes.select("label").orderBy("label").limit(4096).collect())
+    from .prototypes import classify
+    from ..functions import vectors as V
+    temperature = 0.2
     f = fits.withColumn("target", target)
     s = f.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n))))
     a = F.when(F.col("rep") == 0, F.col("x0")).otherwise(F.col("x0") + F.col("sigma_x0") * normal(F.col("id"), F.col("rep"), F.lit("a")))
     b = F.when(F.col("rep") == 0, F.col("rate")).otherwise(F.col("rate") + F.col("sigma_rate") * normal(F.col("id"), F.col("rep"), F.lit("b")))
     s = s.withColumns({"_a": a, "_b": b}).withColumn("v", F.transform("residual", lambda r, i: F.col("_a") + F.col("_b") * i + r))
     s = s.select(F.struct("id", "rep", "target").alias("id"), "v")
-    c = chunk_probabilities(s, prototypes, labels).select("id.*", "label", F.col("probabilities").alias("_p"))
-    c = c.withColumn("p", F.element_at("_p", F.col("target")))
+    # softmax share of the target from its own score, the best score and the best label's share; a target without a
+    # prototype has none
+    own = s.select("id", "v", F.col("id.target").alias("_t")).join(prototypes.select(F.col("label").alias("_t"), "prototype"), "_t", "left")
+    own = own.select("id", (V.dot(F.col("v"), F.col("prototype")) / temperature).alias("_own"))
+    c = classify(s, prototypes, "cosine", temperature).join(own, "id")
+    c = c.select("id.*", "label", F.coalesce(F.exp(F.col("_own") - F.col("score")) * F.col("confidence"), F.lit(0.0)).alias("p"))
     base = c.where("rep = 0").select("id", F.col("label").alias("_l"))
     g = c.where("rep > 0").join(base, "id").groupBy("id").agg(F.avg("p").alias("mu"), F.stddev_pop("p").alias("sigma"),
                                                           F.avg((F.col("label") != F.col("_l")).cast("double")).alias("invalidation_rate"))
