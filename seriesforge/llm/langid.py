@@ -170,7 +170,7 @@ def predict(docs: DataFrame, model: Counts, text: str = "text", carry: list[str]
             state["model"] = pickle.loads(shared.value)
         m = state["model"]
         for whole in batches:
-            for batch in slices(whole, raw):
+            for batch in slices(whole, raw, 1_000_000):
                 data, off = buffer(batch.column(raw))
                 bits = code_lengths(m, data, off)
                 size = np.diff(off)
