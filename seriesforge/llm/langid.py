@@ -30,6 +30,7 @@ from .common import buffer, fresh, saved, slices, with_uid
 
 ORDER = 3
 UNIFORM = 8.0               # bits of a byte without any model
+FOREIGN = 12.0              # bits a byte from which no learned language explains a text (numbers and names cost less)
 EVIDENCE = 64               # bytes of evidence that a score counts at most
 _models: dict = {}
 
@@ -197,11 +198,11 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def keep_known(docs: DataFrame, model: Counts, text: str = "text") -> DataFrame:
-    """Rows of ``docs`` in a language the model knows: rejected are texts without a letter and those that no learned
-    language codes below a uniform byte (16 bits are allowed for the start of the text)."""
+    """Rows of ``docs`` in a language the model knows: rejected are texts without a letter and those that every
+    learned language codes above ``FOREIGN`` bits a byte (16 bits are allowed for the start of the text)."""
     uid = fresh("_row", docs)
     tagged = with_uid(docs, uid)
     told = saved(predict(tagged.select(uid, F.col(text).alias("text")), model, carry=[uid])
                  .join(tagged.select(uid, F.octet_length(text).alias("n")), uid))
-    ok = told.where((F.col("lang_pred") != "und") & (F.col("bits_per_byte") * F.col("n") <= UNIFORM * F.col("n") + 16)).select(uid)
+    ok = told.where((F.col("lang_pred") != "und") & (F.col("bits_per_byte") * F.col("n") <= FOREIGN * F.col("n") + 16)).select(uid)
     return tagged.join(ok, uid, "left_semi").drop(uid)
