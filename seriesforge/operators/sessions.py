@@ -227,17 +227,18 @@ def validity(results: DataFrame, clock: Column, order: list[str], window: int =
 def trailing_rate(results: DataFrame, key: str = "session_id", days: int = 7) -> DataFrame:
     """Validity over the trailing span at each event.
 
-    Every event enters at its time and leaves just after the span; a chunked
+    The events of one time enter together and leave just after the span; a chunked
     running sum over entries and exits gives the trailing counts without a
-    whole-session window.  Times must be unique within a session.
+    whole-session window.  Events of equal time count each other.
     """
-    v = F.col("is_valid").cast("int")
+    at = results.groupBy(key, "ts").agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col("is_valid").cast("int")).alias("_v"))
     t = F.unix_micros("ts") * 2
-    enter = results.select(key, "ts", t.alias("t"), F.lit(1).alias("_e"), F.lit(1).alias("_n"), v.alias("_v"))
-    leave = results.select(key, F.lit(None).cast("timestamp").alias("ts"), (t + 2 * days * DAY + 1).alias("t"), F.lit(0).alias("_e"),
-                           F.lit(-1).alias("_n"), (-v).alias("_v"))
+    enter = at.select(key, "ts", t.alias("t"), F.lit(1).alias("_e"), "_n", "_v")
+    leave = at.select(key, F.lit(None).cast("timestamp").alias("ts"), (t + 2 * days * DAY + 1).alias("t"), F.lit(0).alias("_e"),
+                      (-F.col("_n")).alias("_n"), (-F.col("_v")).alias("_v"))
     s = running_sums(enter.unionByName(leave), {"n": F.col("_n"), "k": F.col("_v")}, (key,), size=2 * DAY)
-    return s.where("_e = 1").select(key, "ts", F.col("n").alias("n_window"), (F.col("k") / F.col("n")).alias("rate"))
+    told = s.where("_e = 1").select(key, "ts", F.col("n").alias("n_window"), (F.col("k") / F.col("n")).alias("rate"))
+    return results.select(key, "ts").join(told, [key, "ts"], "left")
 
 
 def coverage(chips: DataFrame, key: str = "session_id", fraction: float = 0.4, skew: float = 0.6, min_edits: int = 10) -> DataFrame:

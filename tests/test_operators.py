@@ -15,8 +15,10 @@ from seriesforge.operators import edits as E
 from seriesforge.operators import fits as T
 from seriesforge.operators import shapes as H
 from seriesforge.operators import stats as S
+from seriesforge.operators import sessions as J
 from seriesforge.operators import validation as X
 from seriesforge.plans import pipelines as L
+from seriesforge.streaming.stateful import LogDet
 
 
 def series(spark, *xs):
@@ -298,3 +300,25 @@ def test_resample_and_softmax(spark):
     r = rows(spark, [0, 1, 4]).select(V.resample(F.col("v"), 5).alias("a"), V.softmax(F.col("v")).alias("b")).first()
     np.testing.assert_allclose(r["a"], np.interp(np.linspace(0, 2, 5), range(3), [0, 1, 4]))
     np.testing.assert_allclose(sum(r["b"]), 1.0)
+
+
+def test_log_determinant_of_repeated_vectors_stays_exact():
+    rng = np.random.default_rng(4)
+    few = rng.normal(size=(6, 3))
+    vectors = [few[i % 6] + 1e-9 * rng.normal(size=3) for i in range(240)]
+    for reg in (1e-6, 1e-13):
+        state = LogDet(reg)
+        got = [state.add(v) for v in vectors]
+        x = np.array(vectors)
+        kernel = np.exp(-((x[:, None] - x[None]) ** 2).sum(axis=2) / (2 * state.bw ** 2)) + reg * np.eye(len(x))
+        want = np.linalg.slogdet(kernel)[1]
+        assert got[0] is None and np.isfinite(got[1:]).all() and np.isfinite(state.root).all()
+        assert got[-1] == pytest.approx(want, rel=1e-6 if reg > 1e-9 else 0.05)
+
+
+def test_trailing_rate_counts_events_of_equal_time_together(spark):
+    at = ["2024-01-01 00:00:00", "2024-01-01 00:00:00", "2024-01-05 00:00:00", "2024-01-08 00:00:00", "2024-01-08 00:00:00", "2024-01-08 00:00:01"]
+    ok = [True, False, True, False, False, True]
+    r = spark.createDataFrame([("s", a, v) for a, v in zip(at, ok)], "session_id string, ts string, is_valid boolean").withColumn("ts", F.to_timestamp("ts"))
+    got = sorted((str(x.ts), x.n_window, round(x.rate, 6)) for x in J.trailing_rate(r).collect())
+    assert got == [(at[0], 2, 0.5), (at[1], 2, 0.5), (at[2], 3, 0.666667), (at[3], 5, 0.4), (at[4], 5, 0.4), (at[5], 4, 0.5)]
