@@ -161,6 +161,16 @@ def test_passages_found_and_clean_left_alone(spark, odd):
     assert passages.repeated_passages(docs.limit(0)).count() == 0
 
 
+def test_passage_whose_head_stands_earlier_in_the_source():
+    rng = np.random.default_rng(7)
+    draw = lambda n: rng.integers(0, 2**32, n, np.uint32)
+    for n, head in ((56, 26), (46, 1), (46, 20)):
+        p = draw(n)
+        a, b = np.concatenate([draw(9), p[:head], draw(4), draw(40), p, draw(5)]), np.concatenate([draw(8), p, draw(3)])
+        assert [x[:4] for x in passages.passages(a, b)] == [(53 + head, 53 + head + n, 8, 8 + n)]
+        assert [x[:4] for x in passages.passages(a, b, np.array([8]))] == [(53 + head, 53 + head + n, 8, 8 + n)]
+
+
 def test_wholly_repeated_text_goes(spark):
     t = prose(70, 90)
     assert [r.doc_id for r in passages.cut_passages(table(spark, [t, t + "."])).collect()] == [0]
