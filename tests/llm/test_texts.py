@@ -190,6 +190,21 @@ def test_short_passages_survive_one_edit_at_each_place(spark):
     assert len(want) > 250 and len(want - got) <= len(want) / 50, (len(want - got), len(want))
 
 
+def test_equal_passages_are_not_hidden_by_earlier_parts_of_them(spark):
+    """Earlier documents hold 49, 45 or 40 of the 50 words, or an edited passage; two later ones hold all of it."""
+    rng, texts, want = random.Random(3), [], set()
+    for trial in range(60):
+        for kind in ("49", "45", "40", "edited", "many"):
+            w = [f"p{trial}{kind}{i}" for i in range(50)]
+            early = [w[:int(kind)]] if kind.isdigit() else [[f"e{j}" if j in x else v for j, v in enumerate(w)] for x in ([(15, 33)] if kind == "edited" else [(j, j + 9) for j in range(8, 32, 4)])]
+            for v in early:
+                texts.append(f"{prose(rng.random(), 30)} {' '.join(v)} {prose(rng.random(), 30)}")
+            want.add((len(texts) + 1, len(texts)))
+            texts += [f"{prose(rng.random(), 30)} {' '.join(w)} {prose(rng.random(), 30)}" for _ in range(2)]
+    got = {(r.doc_id, r.source_id) for r in passages.repeated_passages(table(spark, texts)).collect() if r.similarity == 1 and r.end_word - r.start_word >= 50}
+    assert want <= got, (len(want - got), len(want))
+
+
 def test_wholly_repeated_text_goes(spark):
     t = prose(70, 90)
     assert [r.doc_id for r in passages.cut_passages(table(spark, [t, t + "."])).collect()] == [0]
