@@ -7,8 +7,9 @@ language with the shortest code for the whole text wins, ties going to the small
 
 The trees of all languages share one table (context, byte) -> code lengths, so that texts are scored by two array
 look-ups per byte.  Training reads labelled rows with a non-null text.  Its size is bounded by ``train_bytes`` per
-language: beyond it rows are taken by a hash of their text at the rate that meets the bound; longest contexts beyond
-``contexts`` keep the most frequent, as part of the model.
+language: beyond it parts of texts are taken by a hash of row and part number at the rate that meets the bound, so that
+neither long texts nor copies decide whether a language is learned; longest contexts beyond ``contexts`` keep the most
+frequent, as part of the model.
 
 Null text, empty text and text without a letter give ``und`` with score 0.  Without any training row everything is
 ``und``.  Long texts are scored whole.  Repeated rows are scored alike; further columns pass through.
@@ -26,11 +27,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffer, fresh, saved, slices, with_uid
+from .common import buffer, fresh, mix64, ragged, saved, slices, with_uid
 
 ORDER = 3
 UNIFORM = 8.0               # bits of a byte without any model
 FOREIGN = 12.0              # bits a byte from which no learned language explains a text (numbers and names cost less)
+PART = 4096                 # bytes of a part of a text that the training sample takes or leaves
 EVIDENCE = 64               # bytes of evidence that a score counts at most
 _models: dict = {}
 
@@ -46,8 +48,9 @@ class Counts:
     ident: str = ""
 
 
-def count_grams(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct grams of order + 1 bytes inside texts and their counts; the last byte is the lowest."""
+def count_grams(data: np.ndarray, offsets: np.ndarray, order: int, use: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams of order + 1 bytes inside texts that start at a byte of ``use`` (all, unless given) and their
+    counts; the last byte is the lowest."""
     if len(data) <= order:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     key = np.zeros(len(data) - order, np.int64)
@@ -60,33 +63,55 @@ def count_grams(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.n
     short = np.flatnonzero(np.diff(offsets) <= order)
     for s in short.tolist():
         inside[offsets[s]:offsets[s + 1]] = False
+    if use is not None:
+        inside[:-1] &= use
     return np.unique(key[inside[:len(key)]], return_counts=True)
 
 
+def drawn_parts(uid: np.ndarray, off: np.ndarray, share: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end) of the parts of ``size`` bytes that a hash of row and part number draws at each row's share."""
+    n = -(-np.diff(off) // size)
+    row = np.repeat(np.arange(len(n)), n)
+    part = ragged(np.zeros(len(n), np.int64), n)
+    with np.errstate(over="ignore"):
+        h = mix64(mix64(uid[row].astype(np.uint64), 41) + part.astype(np.uint64), 42)
+    ok = (h >> np.uint64(11)).astype(np.float64) * 2.0 ** -53 < share[row]
+    row, start = row[ok], off[:-1][row[ok]] + part[ok] * size
+    return row, start, np.minimum(start + size, off[1:][row])
+
+
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", where: Column | None = None, train_bytes: int = 4_000_000,
           contexts: int = 20_000) -> Counts:
-    rows = docs.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"), (F.lit(True) if where is None else where).alias("_use"))
+    rows = with_uid(docs.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"), (F.lit(True) if where is None else where).alias("_use")))
     rows = rows.where("_use and text is not null and lang is not null").drop("_use")
     totals = {r.lang: r.n for r in rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).collect() if r.n}
-    share = F.lit(1.0)
-    for k, n in totals.items():
-        share = F.when(F.col("lang") == k, F.lit(min(1.0, train_bytes / n))).otherwise(share)
-    taken = rows.where(F.pmod(F.xxhash64("text"), F.lit(2**30)) < share * 2**30)
+    share = {k: min(1.0, train_bytes / n) for k, n in totals.items()}
+    size = max(ORDER + 1, min(PART, train_bytes // 256))    # so many parts are drawn that no language goes without
 
     def run(batches):
         for whole in batches:
             for batch in slices(whole, "text"):
                 names = np.array(batch.column("lang").to_pylist(), object)
+                uids = batch.column("_uid").to_numpy(zero_copy_only=False)
                 for name in sorted(set(names)):
-                    data, off = buffer(batch.column("text").filter(pa.array(names == name)))
+                    own = names == name
+                    data, off = buffer(batch.column("text").filter(pa.array(own)))
+                    row, start, end = drawn_parts(uids[own], off, np.full(len(off) - 1, share.get(name, 0.0)), size)
+                    if not len(row):
+                        continue
+                    # a gram belongs to the part it starts in and may reach into the next one
+                    more = np.minimum(end + ORDER, off[1:][row])
+                    cut = np.append(0, np.cumsum(more - start))
+                    piece, use = data[ragged(start, more - start)], np.zeros(int(cut[-1]), bool)
+                    use[ragged(cut[:-1], end - start)] = True
                     for k in range(ORDER + 1):
-                        g, n = count_grams(data, off, k)
+                        g, n = count_grams(piece, cut, k, use)
                         yield pa.RecordBatch.from_arrays([pa.array([name] * len(g), pa.string()), pa.array([k] * len(g), pa.int32()), pa.array(g), pa.array(n)],
                                                          ["lang", "k", "gram", "n"])
 
-    counted = taken.mapInArrow(run, "lang string, k int, gram long, n long").groupBy("lang", "k", "gram").agg(F.sum("n").alias("n"))
+    counted = rows.mapInArrow(run, "lang string, k int, gram long, n long").groupBy("lang", "k", "gram").agg(F.sum("n").alias("n"))
     got = counted.toPandas()    # bounded by train_bytes per language
-    model = Counts(sorted(totals), np.zeros(256, np.int32), contexts=contexts, ident=uuid.uuid4().hex)
+    model = Counts(sorted(set(got.lang)), np.zeros(256, np.int32), contexts=contexts, ident=uuid.uuid4().hex)
     seen = np.unique(got.gram[got.k == 0].to_numpy(np.int64)) if len(got) else np.empty(0, np.int64)
     model.codes[seen] = np.arange(1, len(seen) + 1)
     base = len(seen) + 1

@@ -355,6 +355,17 @@ def test_language_id_equals_plain_partial_matching(spark, odd):
     assert kept.count() == 20
 
 
+def test_language_of_few_long_texts_or_copies_is_learned(spark):
+    words = {k: ["".join(random.Random(f"{k}{i}").choices(abc, k=5)) for i in range(80)] for k, abc in (("aa", "abcdefg"), ("bb", "hijklmn"), ("cc", "opqrstu"))}
+    rows = [(prose(i, 40000, words["aa"]), "aa") for i in range(2)] + [(prose(5, 40, words["bb"]), "bb")] * 2000 + [(prose(i, 40, words["cc"]), "cc") for i in range(50)]
+    model = langid.train(spark.createDataFrame(rows, "text string, lang string"), train_bytes=20_000)
+    assert model.langs == ["aa", "bb", "cc"]
+    for k in model.langs:
+        assert 10_000 < model.rows[k, 0][2].sum() < 40_000
+    told = langid.predict(table(spark, [prose(900 + i, 20, words[k]) for i, k in enumerate(model.langs)]), model).collect()
+    assert [r.lang_pred for r in sorted(told, key=lambda r: r.doc_id)] == model.langs
+
+
 def test_licence_scan(spark, odd):
     lines = ["Released under the MIT License.", "Licensed under CC BY-NC 4.0.", "This work is licensed under the GNU General Public License, version 3.",
              "Licensed under the Apache License, Version 2.0.", "He renewed his driving license at the city office."]
