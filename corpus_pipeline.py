@@ -13,8 +13,10 @@ from seriesforge.llm.common import saved
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language learned from the labelled ones stay; text without a letter or that no learned language
-    explains goes."""
-    return langid.keep_known(docs, langid.train(docs))
+    explains goes; how much a text may cost is measured on labelled documents held out of the training."""
+    out = langid.held_out()
+    bounds = langid.foreign_bounds(docs, langid.train(docs, where=~out), where=out)
+    return langid.keep_known(docs, langid.train(docs), bounds=bounds)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,7 +31,8 @@ from .common import buffer, fresh, mix64, ragged, saved, slices, with_uid
 
 ORDER = 3
 UNIFORM = 8.0               # bits of a byte without any model
-FOREIGN = 12.0              # bits a byte from which no learned language explains a text (numbers and names cost less)
+FOREIGN = 12.0              # bits a byte that a text of a learned language may cost where no labelled text was held out
+TAIL, BINS, ENOUGH = 0.999, 32, 1000    # quantile, histogram bins a bit, and texts that a length class is judged by at least
 PART = 4096                 # bytes of a part of a text that the training sample takes or leaves
 EVIDENCE = 64               # bytes of evidence that a score counts at most
 _models: dict = {}
@@ -222,12 +223,37 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def keep_known(docs: DataFrame, model: Counts, text: str = "text") -> DataFrame:
-    """Rows of ``docs`` in a language the model knows: rejected are texts without a letter and those that every
-    learned language codes above ``FOREIGN`` bits a byte (16 bits are allowed for the start of the text)."""
+def foreign_bounds(docs: DataFrame, model: Counts, text: str = "text", lang: str = "lang", where: Column | None = None) -> list[float]:
+    """Bits a byte above which a text is foreign, by length class (bits of its byte count), from all labelled texts of
+    ``where`` that ``model`` has not seen: their ``TAIL`` quantile, and beyond it as much as it lies above the median,
+    one bit at least.  A class of few texts is judged with its neighbours."""
+    rows = docs.where(F.lit(True) if where is None else where).where(F.col(lang).isin(model.langs))
+    rows = rows.select(F.col(text).cast("string").alias("text")).withColumn("n", F.octet_length("text"))
+    told = predict(rows, model, carry=["n"]).where("lang_pred != 'und'")
+    got = told.groupBy(F.length(F.bin("n")).alias("k"), F.round(F.col("bits_per_byte") * BINS).cast("int").alias("x")).agg(F.count(F.lit(1)).alias("n")).collect()
+    if not got:
+        return []
+    k, x, n = (np.array([r[i] for r in got], np.int64) for i in range(3))
+    out = []
+    for c in range(33):
+        for reach in range(34):
+            own = np.abs(k - c) <= reach
+            if n[own].sum() >= ENOUGH:
+                break
+        order = np.argsort(x[own], kind="stable")
+        upto = np.cumsum(n[own][order])
+        mid, high = (x[own][order][np.searchsorted(upto, q * upto[-1])] / BINS for q in (0.5, TAIL))
+        out.append(float(high + max(high - mid, 1.0)))
+    return out
+
+
+def keep_known(docs: DataFrame, model: Counts, text: str = "text", bounds: list[float] | None = None) -> DataFrame:
+    """Rows of ``docs`` in a language the model knows: rejected are texts without a letter and those that every learned
+    language codes above the bound of their length class (16 bits are allowed for the start of the text)."""
     uid = fresh("_row", docs)
     tagged = with_uid(docs, uid)
     told = saved(predict(tagged.select(uid, F.col(text).alias("text")), model, carry=[uid])
                  .join(tagged.select(uid, F.octet_length(text).alias("n")), uid))
-    ok = told.where((F.col("lang_pred") != "und") & (F.col("bits_per_byte") * F.col("n") <= FOREIGN * F.col("n") + 16)).select(uid)
+    bound = F.element_at(F.array(*map(F.lit, bounds)), F.length(F.bin("n")).cast("int") + 1) if bounds else F.lit(FOREIGN)
+    ok = told.where((F.col("lang_pred") != "und") & (F.col("bits_per_byte") * F.col("n") <= bound * F.col("n") + 16)).select(uid)
     return tagged.join(ok, uid, "left_semi").drop(uid)

@@ -366,6 +366,19 @@ def test_language_of_few_long_texts_or_copies_is_learned(spark):
     assert [r.lang_pred for r in sorted(told, key=lambda r: r.doc_id)] == model.langs
 
 
+def test_foreign_bound_comes_from_held_out_documents(spark):
+    words = {k: ["".join(random.Random(f"{k}{i}").choices(abc, k=6)) for i in range(60)] for k, abc in (("aa", "abcdefgh"), ("bb", "abcdefgijklm"), ("xx", "dmzyxwvuhgk"))}
+    rows = [(i, prose(i, 10 + i % 150, words[k]), k) for i, k in enumerate(["aa", "bb"] * 200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = langid.held_out()
+    model = langid.train(docs, where=~out)
+    bounds = langid.foreign_bounds(docs, model, where=out)
+    assert len(bounds) == 33 and max(bounds) < 8
+    new = [prose(5000 + i, 60, words["xx"]) for i in range(20)]
+    kept = langid.keep_known(docs.unionByName(spark.createDataFrame([(9000 + i, t, None) for i, t in enumerate(new)], docs.schema)), model, bounds=bounds)
+    assert {r.doc_id for r in kept.collect()} == set(range(400))
+
+
 def test_licence_scan(spark, odd):
     lines = ["Released under the MIT License.", "Licensed under CC BY-NC 4.0.", "This work is licensed under the GNU General Public License, version 3.",
              "Licensed under the Apache License, Version 2.0.", "He renewed his driving license at the city office."]
