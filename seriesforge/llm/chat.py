@@ -5,7 +5,7 @@ hashed; the fingerprint selects a declarative mapping, which says where turns, r
 turned into canonical turns, then into one string by a template that marks turns and escapes control strings, so that
 :func:`parse` gives back exactly the same turns whatever the texts say.  Loss spans cover the assistant texts.
 
-Defined cases: null text is empty; null role is ``user``; unknown roles stay as they are; a record that is null, not
+Defined cases: null text is empty; null role is ``user``; roles of ``messages`` stay as they are; a record that is null, not
 JSON or of no known layout yields null turns with its fingerprint, so it can be listed and mapped; turns with equal
 numbers are ordered by role and text; turns without a number come last.  A conversation is the unit of work and its
 text one value; copies of a conversation are separate rows.  Other columns pass through.
@@ -30,12 +30,14 @@ ROLE_OF = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assi
 @dataclass(frozen=True)
 class Mapping:
     """Where a layout keeps its turns: a list under ``turns`` with ``role`` and ``text`` fields, or ``parts``, an
-    ordered list of (role, field path, field path of an optional addition)."""
+    ordered list of (role, field path, field path of an optional addition).  Where ``rename`` holds, roles are stripped,
+    lowered and renamed by ``ROLE_OF``, an empty one being ``user``; elsewhere they stay as given."""
 
     turns: str = ""
     role: str = ""
     text: str = ""
     parts: tuple[tuple[str, str, str], ...] = ()
+    rename: bool = False
 
 
 def paths(value, at: str = "") -> set[str]:
@@ -56,7 +58,7 @@ LAYOUTS: dict[str, Mapping] = {fingerprint(f): m for f, m in (
     (["messages[].role", "messages[].content"], Mapping("messages", "role", "content")),
     (["messages[].role", "messages[].text"], Mapping("messages", "role", "text")),
     (["messages[]"], Mapping("messages", "role", "content")),
-    (["conversations[].from", "conversations[].value"], Mapping("conversations", "from", "value")),
+    (["conversations[].from", "conversations[].value"], Mapping("conversations", "from", "value", rename=True)),
     (["prompt", "completion"], Mapping(parts=(("user", "prompt", ""), ("assistant", "completion", "")))),
     (["prompt", "response"], Mapping(parts=(("user", "prompt", ""), ("assistant", "response", "")))),
     (["instruction", "output"], Mapping(parts=(("user", "instruction", ""), ("assistant", "output", "")))),
@@ -81,8 +83,11 @@ def canonical(record: dict, m: Mapping) -> list[tuple[str, str]]:
     if m.turns:
         out = []
         for t in _get(record, m.turns) or []:
-            role = _text(t.get(m.role)).strip().lower() or "user"
-            out.append((ROLE_OF.get(role, role), _text(t.get(m.text))))
+            role = "user" if t.get(m.role) is None else _text(t[m.role])
+            if m.rename:
+                role = role.strip().lower() or "user"
+                role = ROLE_OF.get(role, role)
+            out.append((role, _text(t.get(m.text))))
         return out
     out = []
     for role, main, more in m.parts:

@@ -78,6 +78,18 @@ def test_turn_rows_with_nulls_and_ties(spark):
     assert chat.digests(chat.format_records(chat.records_of_turns(df.limit(0)))).count() == 0
 
 
+def test_roles_of_turn_rows_stay_as_given_like_in_the_sql(spark):
+    import duckdb
+    from seriesforge.llm.queries import CHAT_SQL
+    rows = [(i, k, role, f"t{k}") for i, roles in enumerate((["Human", " gpt", ""], ["gpt", "Assistant", "assistant"], [None, "bot", "model"])) for k, role in enumerate(roles)]
+    got = chat.digests(chat.format_records(chat.records_of_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))))
+    db = duckdb.connect()
+    db.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    db.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    want = [r for r in db.execute(CHAT_SQL).fetchall() if r[0] >= 0]
+    assert sorted(tuple(r) for r in got.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars").collect()) == sorted(want)
+
+
 def test_pipeline_keeps_clean_documents_and_columns(spark, tmp_path):
     import corpus_pipeline
     from tests.llm.test_texts import prose, vocabulary
