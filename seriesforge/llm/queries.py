@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, exact, langid, license, minhash, packing, passages, shard
+from . import ann, bpe, chat, exact, langid, license, minhash, packing, passages, runs, shard
 from .common import table
 
 QUERIES: dict = {}
@@ -99,3 +99,14 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
 def op2(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     return license.scan(docs, license.train(docs))
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    found = runs.periodic_runs(docs.select("doc_id", runs.planted_period(F.col("doc_id"), F.col("text")).alias("text")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("best", runs.strongest(F.col("runs"))).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
