@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, exact, langid, license, minhash, packing, passages, phrases, runs, shard
+from . import ann, bpe, chat, exact, langid, license, minhash, packing, pages, passages, phrases, runs, shard
 from .common import table
 
 QUERIES: dict = {}
@@ -131,3 +131,9 @@ FROM b QUALIFY rank <= 2000"""
 @query("op12_phrase_mining", PHRASE_SQL)
 def op12(spark: SparkSession, sf: str) -> DataFrame:
     return phrases.collocations(table(spark, sf, "documents"))
+
+
+@query("op11_html_extraction")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    found = pages.extract(table(spark, sf, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
