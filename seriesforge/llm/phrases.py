@@ -27,7 +27,7 @@ from .common import buffer, mix64, saved, slices
 
 LEAST, LONGEST, TOP = 100, 5, 2000
 RATE = 8                        # one text in so many is in the sample
-STEP_BYTES = 8_000_000          # text bytes counted together before rows leave a task
+STEP_BYTES = 3_000_000          # text bytes counted together before rows leave a task
 MOST_BITS = 1 << 28
 SALTS = 64
 BLANK, STOP = 1, 2
@@ -192,9 +192,10 @@ def count_pass(docs: DataFrame, longest: int, least: int, proposed: Bits, freque
         for batch in batches:
             for lang, texts in by_lang(batch):
                 w = Words(texts, lang)
-                rows = [(0, pa.array([""]), np.array([len(w.h)]))] if b is None else []
-                for k, phrase, c in [*rows, *((k, w.phrases(at, k), c) for k, at, c in counted(w, longest, a, b))]:
-                    yield pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(len(c), np.int64))), pa.array(np.full(len(c), k, np.int32)), phrase, pa.array(c)], ["lang", "k", "phrase", "c"])
+                if b is None:
+                    yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([0], pa.int32()), pa.array([""]), pa.array([len(w.h)])], ["lang", "k", "phrase", "c"])
+                for k, at, c in counted(w, longest, a, b):
+                    yield pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(len(c), np.int64))), pa.array(np.full(len(c), k, np.int32)), w.phrases(at, k), pa.array(c)], ["lang", "k", "phrase", "c"])
 
     rows = docs.mapInArrow(go, COUNTS)
     return rows.groupBy("lang", "k", "phrase").agg(F.sum("c").alias("c")).where((F.col("k") == 0) | (F.col("c") >= least))
