@@ -27,7 +27,7 @@ from .common import buffer, mix64, saved, slices
 
 LEAST, LONGEST, TOP = 100, 5, 2000
 RATE = 8                        # one text in so many is in the sample
-STEP_BYTES = 3_000_000          # text bytes counted together before rows leave a task
+STEP_BYTES = 2_000_000          # text bytes counted together before rows leave a task
 MOST_BITS = 1 << 28
 SALTS = 64
 BLANK, STOP = 1, 2
@@ -285,12 +285,13 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     known = counts.where("k > 0")
     cuts = cuts.join(known.select("lang", F.col("phrase").alias("_first"), F.col("c").alias("l")), ["lang", "_first"])
     cuts = cuts.join(known.select("lang", F.col("phrase").alias("_rest"), F.col("c").alias("r")), ["lang", "_rest"])
-    cuts = cuts.join(counts.where("k = 0").select("lang", F.col("c").alias("n")), "lang")
+    salted = counts.where("k = 0").select("lang", F.col("c").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    cuts = cuts.withColumn("_salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)).cast("int")).join(salted, ["lang", "_salt"])
     score = F.expr("(cast(a as decimal(19,0)) * cast(n as decimal(19,0)) * cast(1000 as decimal(4,0))) div (cast(l as decimal(19,0)) * cast(r as decimal(19,0)))")
     best = cuts.withColumn("score", score).groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct("score", "cut", "l", "r")).alias("b"))
     best = best.select("lang", "phrase", "a", "b.l", "b.r", "n", "b.score")
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     near = Window.partitionBy("lang", "_salt").orderBy(*order)
-    best = best.withColumn("_salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS))).withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= top).drop("_salt")
+    best = best.withColumn("_salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)).cast("int")).withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= top).drop("_salt")
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
     return ranked.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
