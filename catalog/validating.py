@@ -53,6 +53,19 @@ def _(spark, sf):
     return X.adaptive_band(r, X.calibrate_band(r)).withColumn("q", r6("q"))
 
 
+TWO = RESI.replace("user_id AS series_id", "user_id % 2 AS series_id").replace("PARTITION BY user_id", "PARTITION BY user_id % 2")
+
+
+@query("v03_adaptive_band_long_series", f"WITH RECURSIVE {TWO}, {BAND} SELECT series_id, CAST(t AS INT) AS t, {q6('q')} AS q FROM bd WHERE t>=0")
+def _(spark, sf):
+    from seriesforge.operators.layout import framed, index_series
+    e = spark.read.parquet(f"{sf}/events.parquet").select((F.col("user_id") % 2).alias("series_id"), "ts", "event_id", (F.col("value") / 50.0).alias("value"))
+    p = index_series(e, "series_id", ["ts", "event_id"], F.to_date("ts"))
+    p = framed(p, 1, 0, {"_p": lambda w: F.lag("value").over(w())})
+    r = p.select("series_id", "t", (F.col("value") - F.coalesce("_p", F.lit(0.0))).alias("residual"))
+    return X.adaptive_band(r, X.calibrate_band(r), chunk=512).withColumn("q", r6("q"))
+
+
 @query("v04_band_check", f"WITH RECURSIVE {RESI}, {BAND}, e AS (SELECT series_id, t, value AS y_pre, value*1.2+0.2 AS y_post, (t//5)*5 AS tb FROM pts) SELECT e.series_id, e.t, {q6('abs(y_post-y_pre)')} AS delta, CASE WHEN abs(y_post-y_pre)<q THEN 'within' WHEN abs(y_post-y_pre)<2*q THEN 'exceeds_alpha=0.1' ELSE 'exceeds_alpha=0.05' END AS verdict FROM e JOIN bd ON bd.series_id=e.series_id AND bd.t=e.tb")
 def _(spark, sf):
     r = residuals(spark, sf)

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import math
+
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from ..streaming.kernels import RunLengths
 from .layout import CHUNK, boundaries_to_segments, cut_lineage, framed, running_sums
+from .scan import Recursion, run_ordered
 from . import windows as X
 
 
@@ -185,25 +190,17 @@ def cross_match_profile(points: DataFrame, window: int, k: int = 3) -> DataFrame
     return rows.groupBy("series_id", "chunk").applyInPandas(kernel, f"series_id {sid}, t int, profile double")
 
 
-def change_probabilities(points: DataFrame, mean_run_length: float = 50.0) -> DataFrame:
+def change_probabilities(points: DataFrame, mean_run_length: float = 50.0, chunk: int = CHUNK) -> DataFrame:
     """Bayesian online change probability (constant hazard, normal-inverse-gamma).
 
-    The recursion is sequential per series, so ordered batches stream through a
-    kernel that carries one bounded state; no series is held in memory.
+    At most five mean run lengths are open at a time, each with the moments of the points it covers, so what lies further
+    back only reaches a state through the weights and fades; a long series runs by chunks (see ``scan``), entry weights
+    equal to nine decimals.
     """
-    sid = dict(points.dtypes)["series_id"]
-    ordered = points.select("series_id", "t", "value").repartition("series_id").sortWithinPartitions("series_id", "t")
-
-    def run(batches):
-        import pandas as pd
-        from ..streaming.kernels import RunLengths
-        state, current = None, None
-        for pdf in batches:
-            probs = []
-            for s, x in zip(pdf["series_id"], pdf["value"]):
-                if s != current:
-                    state, current = RunLengths(1.0 / mean_run_length), s
-                probs.append(state.step(x))
-            yield pd.DataFrame({"series_id": pdf["series_id"], "t": pdf["t"], "prob": probs})
-
-    return ordered.mapInPandas(run, f"series_id {sid}, t int, prob double")
+    hazard = 1.0 / mean_run_length
+    fresh = lambda row: RunLengths(hazard)
+    mark = lambda s: json.dumps([[round(x, 9) + 0.0 for x in part] for part in s.dump()])
+    lengths = Recursion("prob double", fresh, lambda row: [RunLengths(hazard)], lambda s, row: [(s.step(row.value),)], lambda s: json.dumps(s.dump()),
+                        lambda text: RunLengths(hazard).load(json.loads(text)), mark)
+    halo = math.ceil(20 * mean_run_length)
+    return run_ordered(points.select("series_id", "t", "value"), ["series_id"], lengths, chunk=max(chunk, halo), halo=halo)

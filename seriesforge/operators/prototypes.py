@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import json
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import vectors as V
+from ..streaming.stateful import MemoryBuffer
+from .layout import CHUNK, index_series
+from .scan import Recursion, run_ordered
 
 MANY = 4096      # labels one scalar subquery may carry; beyond it the scoring joins on label buckets
 BUCKET_LABELS = 256
@@ -145,27 +150,18 @@ def support_snapshots(accepted: DataFrame, gate: float = 0.7, cap: int = 50, eve
         F.coalesce(F.max("_d"), F.lit(0.0)).alias("drift"), F.count(F.lit(1)).alias("n_labels"))
 
 
-def update_memory(accepted: DataFrame, gate: float = 0.75, cap: int = 8, max_drift: float = 0.45) -> DataFrame:
+def update_memory(accepted: DataFrame, gate: float = 0.75, cap: int = 8, max_drift: float = 0.45, chunk: int = CHUNK) -> DataFrame:
     """Bounded prototype memory per (session, label): gate, last ``cap`` vectors, drift guard.
 
-    Each step depends on the state before it, so updates stream through an
-    ordered kernel that holds one buffer of ``cap`` vectors per key.
+    Each step depends on the state before it, ``cap`` vectors; a long session runs by chunks (see ``scan``).
     """
-    from ..streaming.stateful import MemoryBuffer
-    rows = accepted.select("session_id", "label", "seq", "confidence", "v").repartition(
-        "session_id", "label").sortWithinPartitions("session_id", "label", "seq")
-
-    def run(batches):
-        import pandas as pd
-        key, buf = None, None
-        for pdf in batches:
-            out = []
-            for s, l, q, c, v in zip(pdf["session_id"], pdf["label"], pdf["seq"], pdf["confidence"], pdf["v"]):
-                if (s, l) != key:
-                    key, buf = (s, l), MemoryBuffer(gate, cap, max_drift)
-                out.append((s, l, q, *buf.update(v, c)))
-            yield pd.DataFrame(out, columns=["session_id", "label", "seq", "applied", "reason", "drift", "buffer_size"])
-
-    t = dict(accepted.dtypes)
-    return rows.mapInPandas(run, f"session_id {t['session_id']}, label string, seq {t['seq']}, applied boolean, "
-                                 "reason string, drift double, buffer_size int")
+    keys = ["session_id", "label"]
+    rows = index_series(accepted.select(*keys, "seq", "confidence", "v"), keys, ["seq"], F.floor(F.col("seq") / CHUNK), "_n")
+
+    def load(text: str) -> MemoryBuffer:
+        buffer = MemoryBuffer(gate, cap, max_drift)
+        buffer.rows = [np.array(x) for x in json.loads(text)]
+        return buffer
+    memory = Recursion("applied boolean, reason string, drift double, buffer_size int", lambda row: MemoryBuffer(gate, cap, max_drift), lambda row: [MemoryBuffer(gate, cap, max_drift)],
+                       lambda b, row: [b.update(row.v, row.confidence)], lambda b: json.dumps([x.tolist() for x in b.rows]), load)
+    return run_ordered(rows, keys, memory, "seq", "_n", chunk=chunk)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import scores as S
-from .layout import index_series, running_sums
+from ..streaming.stateful import TipState
+from .layout import CHUNK, index_series, running_sums
+from .scan import Recursion, run_ordered
 from .validation import percentile_rank
 
 DAY = 86_400_000_000
@@ -337,29 +341,17 @@ def fired_tips(metrics: DataFrame, keys: list[str], rules=TIP_RULES) -> DataFram
     return t.select(*keys, F.posexplode("_t").alias("rank", "_e")).select(*keys, "rank", "_e.rule_id", "_e.degree", "_e.modality", "_e.severity", "_e.message")
 
 
-def emit_tips(fired: DataFrame, session: str = "session_id", order: str = "seq", max_tips: int = 3) -> DataFrame:
+def emit_tips(fired: DataFrame, session: str = "session_id", order: str = "seq", max_tips: int = 3, chunk: int = CHUNK) -> DataFrame:
     """Tips actually shown: at most ``max_tips`` per edit, repeats suppressed, modality switched.
 
-    Emission depends on the last few emissions, so rows stream in order through a
-    kernel with a bounded state per session.
+    Emission depends on the last few emissions; a long session runs by chunks (see ``scan``).
     """
-    from ..streaming.stateful import TipState
     g = fired.groupBy(session, order).agg(F.array_sort(F.collect_list(F.struct("rank", "rule_id", "modality", "severity"))).alias("c"))
-    g = g.repartition(session).sortWithinPartitions(session, order)
-
-    def run(batches):
-        import pandas as pd
-        key, st = None, None
-        for pdf in batches:
-            out = []
-            for s, o, c in zip(pdf[session], pdf[order], pdf["c"]):
-                if s != key:
-                    key, st = s, TipState(max_tips)
-                for tip in st.emit([(r["rule_id"], r["modality"], int(r["severity"])) for r in c]):
-                    out.append((s, o, *tip))
-            yield pd.DataFrame(out, columns=[session, order, "rule_id", "modality", "severity"])
-    t = dict(fired.dtypes)
-    return g.mapInPandas(run, f"{session} {t[session]}, {order} {t[order]}, rule_id string, modality string, severity int")
+    g = index_series(g, session, [order], F.floor(F.col(order) / CHUNK), "_n")
+    state = Recursion("rule_id string, modality string, severity int", lambda row: TipState(max_tips), lambda row: [TipState(max_tips)],
+                      lambda s, row: s.emit([(x["rule_id"], x["modality"], int(x["severity"])) for x in row.c]), lambda s: json.dumps([s.recent, s.modalities]),
+                      lambda text: TipState(max_tips, recent=json.loads(text)[0], modalities=json.loads(text)[1]))
+    return run_ordered(g, [session], state, order, "_n", chunk=chunk)
 
 
 # --- study tables --------------------------------------------------------------------------

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from .scan import CHUNK, HALO, Recursion, run_ordered
+
 
 def neighbour_thresholds(distances: DataFrame, key: str = "dataset", quantile: float = 0.9) -> DataFrame:
     """q90 of the unlike-neighbour distances per dataset; the distribution itself stays a table."""
@@ -71,24 +75,15 @@ def calibrate_band(residuals: DataFrame, key: str = "series_id", alpha: float =
 
 
 def adaptive_band(residuals: DataFrame, q0: DataFrame, key: str = "series_id", alpha: float = 0.1, kp: float = 0.5,
-                  ki: float = 0.1, window: int = 10) -> DataFrame:
-    """Half-width after each update.  The state feeds back through a threshold, so rows stream in order through a
-    kernel holding one number and ten errors per key."""
+                  ki: float = 0.1, window: int = 10, chunk: int = CHUNK, halo: int = HALO) -> DataFrame:
+    """Half-width after each update.  The state, one number and ten errors, feeds back through a threshold; a long series
+    runs by chunks (see ``scan``)."""
     from ..streaming.stateful import Band
-    j = residuals.join(q0, key).select(key, "t", F.abs("residual").alias("r"), "q0").repartition(key).sortWithinPartitions(key, "t")
-
-    def run(batches):
-        import pandas as pd
-        cur, band = None, None
-        for pdf in batches:
-            out = []
-            for s, r, q in zip(pdf[key], pdf["r"], pdf["q0"]):
-                if s != cur:
-                    cur, band = s, Band(q, alpha, kp, ki, window)
-                out.append(band.step(r))
-            yield pd.DataFrame({key: pdf[key], "t": pdf["t"], "q": out})
-    t = dict(residuals.dtypes)
-    return j.mapInPandas(run, f"{key} {t[key]}, t {t['t']}, q double")
+    rows = residuals.join(q0, key).select(key, "t", F.abs("residual").alias("r"), "q0")
+    make = lambda q, errors=(): Band(q, alpha, kp, ki, window, errors)
+    band = Recursion("q double", lambda row: make(row.q0), lambda row: [make(row.q0), make(0.0)], lambda b, row: [(b.step(row.r),)],
+                     lambda b: json.dumps([b.q, b.errors]), lambda text: make(*json.loads(text)))
+    return run_ordered(rows, [key], band, chunk=chunk, halo=halo)
 
 
 def band_check(edits: DataFrame, bands: DataFrame, key: str = "series_id") -> DataFrame:
