@@ -2,9 +2,8 @@
 
 Vectors are (id, label, v).  Base rows are cut into blocks and query rows into
 chunks of bounded size; a (block, chunk) pair is one task that emits only its k
-best rows per query, and a second step keeps the k best overall.  For metric
-distances a fixed number of pivots skips blocks that cannot hold a neighbour
-(triangle inequality), so hot cells are split but never dropped.
+best rows per query, and a second step keeps the k best overall.  Metric
+distances route each query to the blocks its bound reaches (``metric_join``).
 """
 
 from __future__ import annotations
@@ -18,45 +17,31 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels as N
 from ..functions import vectors as V
+from .metric_join import BLOCK, metric_join
 
-BLOCK = 2048
-
-
-def _cells(df: DataFrame, pivots: np.ndarray, metric: str) -> DataFrame:
-    """Nearest pivot of each vector and the distances to all pivots."""
-    def run(batches):
-        for pdf in batches:
-            x = np.stack(pdf["v"].to_numpy()) if len(pdf) else np.empty((0, pivots.shape[1]))
-            d = np.stack([np.sqrt(((x - p) ** 2).sum(1)) if metric == "l2" else np.abs(x - p).sum(1) for p in pivots], 1)
-            yield pdf.assign(cell=d.argmin(1).astype("int32"), dp=list(d))
-    from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
-    schema = StructType(df.schema.fields + [StructField("cell", IntegerType()), StructField("dp", ArrayType(DoubleType()))])
-    return df.mapInPandas(run, schema)
 
 
 def nearest(queries: DataFrame, base: DataFrame, k: int, metric: str = "l2", rule: str = "other",
-            radius: int | None = None, pivots: int = 16, block: int = BLOCK, zone: int = 0) -> DataFrame:
+            radius: int | None = None, pivots: int | None = None, block: int = BLOCK) -> DataFrame:
     """k nearest base rows of each query row: id, nn_id, nn_label, distance, rank.
 
     ``rule``: 'other' skips the row itself, 'unlike' takes other labels only,
     'target' takes base rows whose label equals the query's ``target``, 'any'
-    takes all.  Metrics 'l2' and 'l1' prune by pivots; 'lb_keogh' and 'dtw' scan
-    all blocks.
+    takes all.  Metrics 'l2' and 'l1' go through ``metric_join``; 'lb_keogh' and
+    'dtw' scan all blocks.
     """
+    if metric in ("l2", "l1"):
+        return top_per_id(metric_join(queries, base, k, metric, rule, pivots, block), k)
     q = queries.select("id", "label", *(["target"] if rule == "target" else []), "v")
     # Fresh attributes: query and base rows often come from one table.
     b = base.select(*[F.col(c).alias(c) for c in ("id", "label", "v")])
-    if metric in ("l2", "l1"):
-        q, b = _pruned(q, b, k, metric, rule, pivots, block)
-    else:
-        block = min(block, 128) if metric == "dtw" else block
-        n = b.agg(F.count(F.lit(1))).first()[0]
-        m = q.agg(F.count(F.lit(1))).first()[0]
-        nb, nq = max(1, math.ceil(n / block)), max(1, math.ceil(m / block))
-        h = lambda parts: F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
-        b = b.withColumn("slot", h(nb)).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
-        q = q.withColumn("chunk", h(nq)).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
-        q, b = q.withColumn("cell", F.lit(0)), b.withColumn("cell", F.lit(0))
+    block = min(block, 128) if metric == "dtw" else block
+    n = b.agg(F.count(F.lit(1))).first()[0]
+    m = q.agg(F.count(F.lit(1))).first()[0]
+    nb, nq = max(1, math.ceil(n / block)), max(1, math.ceil(m / block))
+    h = lambda parts: F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
+    b = b.withColumn("slot", h(nb)).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
+    q = q.withColumn("chunk", h(nq)).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
 
     def pair(qs: pd.DataFrame, bs: pd.DataFrame) -> pd.DataFrame:
         cols = {"id": [], "nn_id": [], "nn_label": [], "distance": []}
@@ -74,9 +59,9 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, metric: str = "l2", rul
                 cols["nn_id"] += list(bid[rows])
                 cols["nn_label"] += list(bl[rows])
                 cols["distance"] += list(d)
-        return pd.DataFrame(cols)
+        return pd.DataFrame(cols, dtype=None if cols["id"] else object)
 
-    keys = ["cell", "slot", "chunk"]
+    keys = ["slot", "chunk"]
     tq, tb = dict(queries.dtypes), dict(base.dtypes)
     found = q.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(
         pair, f"id {tq['id']}, nn_id {tb['id']}, nn_label {tb['label']}, distance double")
@@ -93,66 +78,6 @@ def top_per_id(found: DataFrame, k: int) -> DataFrame:
             .where(F.col("rank") <= k).drop("_p", "_r"))
 
 
-def _pruned(q: DataFrame, b: DataFrame, k: int, metric: str, rule: str, pivots: int, block: int):
-    # Bounded driver data: at most ``pivots`` vectors and per cell 2 (k + 1) distances.
-    chosen = b.orderBy(F.xxhash64("id")).limit(pivots).select("v").collect()
-    pv = np.array([r["v"] for r in chosen])
-    bc, qc = _cells(b, pv, metric), _cells(q, pv, metric)
-    d_own = F.get("dp", F.col("cell"))
-    stats = bc.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max(d_own).alias("radius")).collect()
-    info = {r["cell"]: (r["n"], r["radius"]) for r in stats}
-    near = _cell_heads(bc.select("cell", "id", "label", d_own.alias("d")), k + 1)
-    total = sum(n for n, _ in info.values())
-    slots = {c: max(1, math.ceil(n / block)) for c, (n, _) in info.items()}
-    cells = sorted(info)
-    radii = np.array([info[c][1] for c in cells])
-
-    def route(batches):
-        for pdf in batches:
-            want = []
-            for lab, dp in zip(pdf["label"], pdf["dp"]):
-                dq = np.asarray(dp)
-                bound = np.inf
-                if rule in ("other", "any"):
-                    ups = np.sort(np.concatenate([dq[c] + np.array([d for d, _ in near[c]]) for c in cells]))
-                    need = k + (rule == "other")
-                    bound = ups[need - 1] if len(ups) >= need else np.inf
-                elif rule == "unlike":
-                    ups = np.sort(np.concatenate([[dq[c] + d for d, l in near[c] if l != lab] for c in cells]))
-                    bound = ups[k - 1] if len(ups) >= k else np.inf
-                hit = dq[cells] - radii <= bound * (1 + 1e-9) + 1e-12
-                want.append([c for c, h in zip(cells, hit) if h])
-            yield pdf.drop(columns=["dp", "cell"]).assign(want=want)
-
-    from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
-    routed = qc.mapInPandas(route, StructType(
-        [f for f in qc.schema.fields if f.name not in ("dp", "cell")] + [StructField("want", ArrayType(IntegerType()))]))
-    routed = routed.select("*", F.explode("want").alias("cell")).drop("want")
-    m = q.agg(F.count(F.lit(1))).first()[0]
-    chunks = max(1, math.ceil(m / block))
-    slot_of = F.create_map(*[x for c in cells for x in (F.lit(c), F.lit(slots[c]))])
-    n_slots = F.element_at(slot_of, F.col("cell"))
-    h = lambda parts: F.pmod(F.xxhash64("id"), parts).cast("int")
-    q2 = routed.withColumn("chunk", h(F.lit(chunks))).withColumn("slot", F.explode(F.sequence(F.lit(0), n_slots - 1)))
-    b2 = (bc.drop("dp").withColumn("slot", h(n_slots))
-          .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))))
-    return q2, b2
-
-
-def _cell_heads(members: DataFrame, k: int) -> dict:
-    """Per cell the k smallest pivot distances of its two nearest-label groups."""
-    w = W.partitionBy("cell", "label").orderBy("d", "id")
-    pre = members.withColumn("_p", F.pmod(F.xxhash64("id"), F.lit(32)))
-    pre = pre.withColumn("_r", F.row_number().over(W.partitionBy("cell", "label", "_p").orderBy("d", "id"))).where(F.col("_r") <= k)
-    top = pre.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
-    g = top.groupBy("cell", "label").agg(F.array_sort(F.collect_list("d")).alias("ds"))
-    g = g.withColumn("_o", F.row_number().over(W.partitionBy("cell").orderBy(F.get("ds", F.lit(0))))).where("_o <= 2")
-    out: dict = {}
-    for r in g.collect():
-        out.setdefault(r["cell"], []).extend((d, r["label"]) for d in r["ds"])
-    return out
-
-
 def unlike_neighbour(vectors: DataFrame, metric: str = "l2", radius: int | None = None) -> DataFrame:
     """Least distance of each vector to one of another label."""
     return nearest(vectors, vectors, 1, metric, "unlike", radius).select("id", "distance")
