@@ -140,10 +140,14 @@ RANGE, MIX, SPREAD = 1 << 32, 73244475, 2654435761
 
 
 def mixed(x: Column) -> Column:
-    """32-bit mixing hash (xor-shift and multiply, twice) that other engines can repeat."""
+    """32-bit mixing hash (xor-shift and multiply, twice) that other engines can repeat.
+
+    Each step binds its argument, which it uses twice; written out, the expression would double with every step.
+    """
+    bound = lambda y, f: F.get(F.transform(F.array(y), f), F.lit(0))
     for _ in range(2):
-        x = (x.bitwiseXOR(F.shiftright(x, 16)) * MIX) % RANGE
-    return x.bitwiseXOR(F.shiftright(x, 16))
+        x = bound(x, lambda y: (y.bitwiseXOR(F.shiftright(y, 16)) * MIX) % RANGE)
+    return bound(x, lambda y: y.bitwiseXOR(F.shiftright(y, 16)))
 
 
 def draw(rep: Column, t: Column, seed: int) -> Column:
