@@ -1,6 +1,7 @@
 """Streams that arrive out of order, and recursions that run by chunks."""
 
 import datetime as dt
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -98,3 +99,30 @@ def test_state_that_never_forgets_is_finished_in_order(spark):
         s += t % 7
         want[t] = s
     assert got == want
+
+
+@pytest.mark.parametrize("q", [0.01, 1e-9, 0.0])
+def test_smoother_gains_at_any_step(spark, q):
+    from seriesforge.operators import edits
+    n, r = 6000, 2.0
+    got = {x.t: (x.filtered, x.smoothed) for x in edits.kalman_smooth(spark.range(n).select(F.lit(1).alias("series_id"), F.col("id").cast("int").alias("t"), F.sin(F.col("id") * 0.37).alias("value")), q, r).collect()}
+    values = [math.sin(t * 0.37) for t in range(n)]
+    x, p, forward, after = None, r, [], []
+    for v in values:
+        g = p / (p + r)
+        x = v if x is None else x + g * (v - x)
+        forward.append(x)
+        after.append((1 - g) * p)
+        p = after[-1] + q
+    s, back = forward[-1], [forward[-1]]
+    for t in range(n - 2, -1, -1):
+        s = forward[t] + after[t] / (after[t] + q) * (s - forward[t])
+        back.append(s)
+    for t in range(n):
+        assert got[t] == pytest.approx((forward[t], back[n - 1 - t]), rel=1e-9, abs=1e-9)
+
+
+def test_taper_of_the_phase_shift():
+    from seriesforge.operators.edits import turned_share
+    assert turned_share(20).tolist() == pytest.approx([0, 1 / 3, 2 / 3] + [1] * 13 + [0, 1 / 3, 2 / 3, 1])
+    assert turned_share(3).tolist() == [1, 1, 1] and turned_share(4).tolist() == [0, 1, 1, 1]
