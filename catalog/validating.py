@@ -113,16 +113,20 @@ def _(spark, sf):
 
 @query("v07_bootstrap_interval", f"WITH {PTS}, {BOOT}, s AS (SELECT series_id, rep, avg(value-1) AS s FROM bb GROUP BY 1,2) SELECT series_id, {q6('quantile_cont(s, 0.025)')} AS ci_lower, {q6('quantile_cont(s, 0.975)')} AS ci_upper, {q6('least(1.0, 2*least(avg((s>=0)::INT), avg((s<=0)::INT)))')} AS p_value FROM s GROUP BY 1")
 def _(spark, sf):
-    b = X.stationary_bootstrap(points(spark, sf), 5.0, 20)
-    c = X.bootstrap_ci(b, F.avg(F.col("value") - 1))
+    c = X.bootstrap_mean_ci(points(spark, sf), 5.0, 20, less=1.0)
     return c.select("series_id", *[r6(k).alias(k) for k in ("ci_lower", "ci_upper", "p_value")])
 
 
-@query("v08_coefficient_interval")
+FIT = f"""{PTS}, ln AS (SELECT series_id, regr_intercept(value, t) AS a, regr_slope(value, t) AS b FROM pts GROUP BY 1), {BOOT}, rl AS (SELECT bc.series_id, bc.rep, bc.t, a + b*bc.t + (p.value - a - b*p.t) AS y FROM bc JOIN ln USING (series_id) JOIN pts p ON p.series_id=bc.series_id AND p.t=(s0+bc.t-t0)%n),
+ co AS (SELECT series_id, rep, regr_intercept(y, t) AS x0, regr_slope(y, t) AS linear_rate FROM rl GROUP BY 1,2), cu AS (SELECT series_id, 'x0' AS name, x0 AS v FROM co UNION ALL SELECT series_id, 'linear_rate', linear_rate FROM co),
+ ed AS (SELECT series_id, 'x0' AS name, a + 0.5 AS edited FROM ln UNION ALL SELECT series_id, 'linear_rate', b * 3 FROM ln)"""
+
+
+@query("v08_coefficient_interval", f"WITH {FIT} SELECT series_id, name, {q6('quantile_cont(v, 0.025)')} AS ci_lower, {q6('quantile_cont(v, 0.975)')} AS ci_upper, {q6('max(edited)')} AS edited, abs((max(edited)-avg(v))/greatest(stddev_pop(v), 1e-12)) > 3 AS is_extreme FROM cu JOIN ed USING (series_id, name) GROUP BY 1,2")
 def _(spark, sf):
     p = points(spark, sf)
     e = p.groupBy("series_id").agg((F.regr_intercept("value", "t") + 0.5).alias("x0"), (F.regr_slope("value", "t") * 3).alias("linear_rate"))
-    return X.coefficient_ci(p, e, 20)
+    return X.coefficient_ci(p, e, 20).select("series_id", "name", *[r6(c).alias(c) for c in ("ci_lower", "ci_upper", "edited")], "is_extreme")
 
 
 @query("v09_surrogate_test")

@@ -155,47 +155,111 @@ def draw(rep: Column, t: Column, seed: int) -> Column:
     return mixed((mixed(rep.cast("long") + seed * 7919) + t.cast("long") * SPREAD) % RANGE)
 
 
+def mixed_number(x: int) -> int:
+    """``mixed`` of one number."""
+    for _ in range(2):
+        x = (x ^ x >> 16) * MIX % RANGE
+    return x ^ x >> 16
+
+
+def with_mixed(df: DataFrame, name: str) -> DataFrame:
+    """``mixed`` of a column, one projection a step: a step uses its input twice and so is not folded into the next."""
+    x = F.col(name)
+    for _ in range(2):
+        df = df.withColumn(name, (x.bitwiseXOR(F.shiftright(x, 16)) * MIX) % RANGE)
+    return df.withColumn(name, x.bitwiseXOR(F.shiftright(x, 16)))
+
+
+def restarts(points: DataFrame, block: Column | float, replicates: int, seed: int, key: str) -> DataFrame:
+    """(key, rep, t, n, s): places where a block of a replicate begins, and the source it begins at; the draws are those of
+    ``draw`` under ``seed`` and ``seed + 101``."""
+    n = points.groupBy(key).agg((F.max("t") + 1).alias("n"))
+    g = points.select(key, "t").join(n, key)
+    g = g.withColumn("_b", block if isinstance(block, Column) else F.lit(float(block)))
+    of_rep = [F.struct(F.lit(k).alias("rep"), *(F.lit(mixed_number(k + s * 7919)).cast("long").alias(c) for c, s in (("_h", seed), ("_s", seed + 101)))) for k in range(replicates)]
+    g = g.withColumn("_r", F.explode(F.array(*of_rep))).select(key, "t", "n", "_b", "_r.*")
+    for c in ("_h", "_s"):
+        g = with_mixed(g.withColumn(c, (F.col(c) + F.col("t").cast("long") * SPREAD) % RANGE), c)
+    # an outer explode keeps the filter above the projections, which it would otherwise repeat
+    g = g.withColumn("_at", F.explode_outer(F.array("_h"))).where((F.col("t") == 0) | (F.col("_at") < float(RANGE) / F.col("_b")))
+    return g.select(key, "rep", "t", "n", (F.col("_s") % F.col("n")).cast("long").alias("s"))
+
+
 def stationary_bootstrap(points: DataFrame, block: Column | float, replicates: int, seed: int = 7, key: str = "series_id",
                          value: str = "value") -> DataFrame:
     """Resampled series (key, rep, t, value): geometric blocks with wrap-around.
 
-    Each grid row restarts by a hash; the latest restart is carried per chunk, and
-    the source value comes from one equi-join on the wrapped index.
+    Each grid row takes the latest restart, carried per chunk, and its source value from one equi-join on the wrapped
+    index.
     """
     from .layout import running_last
-    n = points.groupBy(key).agg((F.max("t") + 1).alias("_n"))
-    g = points.select(key, "t").join(n, key)
-    g = g.withColumn("_b", block if isinstance(block, Column) else F.lit(float(block)))
-    g = g.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    h1, h2 = draw(F.col("rep"), F.col("t"), seed), draw(F.col("rep"), F.col("t"), seed + 101)
-    restart = (F.col("t") == 0) | (h1 < float(RANGE) / F.col("_b"))
-    g = g.withColumns({"_s": F.when(restart, (h2 % F.col("_n")).cast("long")), "_at": F.col("t")})
-    c = running_last(g, ["_s", "_at"], (key, "rep"))
-    src = F.pmod(F.col("last__s") + F.col("t") - F.col("last__at"), F.col("_n")).cast("int")
+    r = restarts(points, block, replicates, seed, key)
+    grid = points.select(key, "t").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    g = grid.join(r.select(key, "rep", "t", F.struct("s", F.col("t").alias("at"), "n").alias("_r")), [key, "rep", "t"], "left")
+    c = running_last(g.select(key, "rep", "t", "_r.*"), ["s", "at", "n"], (key, "rep"))
+    src = F.pmod(F.col("last_s") + F.col("t") - F.col("last_at"), F.col("last_n")).cast("int")
     c = c.select(key, "rep", "t", src.alias("_src"))
     return c.join(points.select(key, F.col("t").alias("_src"), F.col(value).alias("value")), [key, "_src"]).drop("_src")
 
 
+def bootstrap_moments(points: DataFrame, block: Column | float, replicates: int, seed: int = 7, key: str = "series_id", value: str = "value") -> DataFrame:
+    """(key, rep, n, total, t_total): sums of value and of t * value over the replicates of ``stationary_bootstrap``.
+
+    A block is a stretch of the source, so prefix sums at its two ends give its share; only block ends meet the points,
+    never a replicate's rows.
+    """
+    from .layout import neighbours, running_sums
+    r = restarts(points, block, replicates, seed, key).withColumn("_kr", F.struct(key, "rep"))
+    r = neighbours(r, "t", ["t"], "_kr", back=False).withColumn("_last", F.col("s") + F.coalesce("next_t", "n") - F.col("t") - 1)
+    p = running_sums(points.select(key, "t", F.col(value).alias("v")), {"_v": F.col("v"), "_tv": F.col("t") * F.col("v")}, (key,))
+    # a stretch ends at its last source and takes off what lies before its first; one that wraps adds the whole series
+    shift = F.col("t") - F.col("s")
+    over = F.col("_last") >= F.col("n")
+    end = lambda at, sign, move: F.struct(at.cast("int").alias("u"), F.lit(sign).alias("sign"), move.cast("double").alias("move"), F.lit(sign < 0).alias("before"))
+    beyond = F.when(over, shift + F.col("n")).otherwise(shift)
+    ends = F.array(end(F.col("s"), -1, shift), end(F.col("_last") % F.col("n"), 1, beyond))
+    whole = F.when(over, F.array(end(F.col("n") - 1, 1, shift))).otherwise(F.array().cast("array<struct<u:int,sign:int,move:double,before:boolean>>"))
+    e = r.select(key, "rep", "n", F.explode(F.concat(ends, whole)).alias("e")).select(key, "rep", "n", "e.*")
+    j = e.join(p.select(key, F.col("t").alias("u"), "v", "_v", "_tv"), [key, "u"])
+    own = F.when(F.col("before"), F.col("v")).otherwise(0.0)
+    total, t_total = F.col("_v") - own, F.col("_tv") - own * F.col("u")
+    return j.groupBy(key, "rep").agg(F.max("n").alias("n"), F.sum(F.col("sign") * total).alias("total"), F.sum(F.col("sign") * (t_total + F.col("move") * total)).alias("t_total"))
+
+
+def interval(stats: DataFrame, key: str = "series_id", alpha: float = 0.05, value: str = "_s") -> DataFrame:
+    """Percentile interval and two-sided p of one value per replicate."""
+    s = F.col(value)
+    pa, pb = F.avg((s >= 0).cast("double")), F.avg((s <= 0).cast("double"))
+    return stats.groupBy(key).agg(F.percentile(s, F.lit(alpha / 2)).alias("ci_lower"), F.percentile(s, F.lit(1 - alpha / 2)).alias("ci_upper"),
+                                  F.least(F.lit(1.0), 2.0 * F.least(pa, pb)).alias("p_value"), F.avg(s).alias("boot_mean"), F.stddev_pop(s).alias("boot_std"))
+
+
 def bootstrap_ci(boot: DataFrame, statistic: Column, key: str = "series_id", alpha: float = 0.05) -> DataFrame:
-    """Percentile interval and two-sided p of a replicate statistic (an aggregate column over the replicate)."""
-    s = boot.groupBy(key, "rep").agg(statistic.alias("_s"))
-    pa, pb = F.avg((F.col("_s") >= 0).cast("double")), F.avg((F.col("_s") <= 0).cast("double"))
-    return s.groupBy(key).agg(F.percentile("_s", F.lit(alpha / 2)).alias("ci_lower"), F.percentile("_s", F.lit(1 - alpha / 2)).alias("ci_upper"),
-                              F.least(F.lit(1.0), 2.0 * F.least(pa, pb)).alias("p_value"), F.avg("_s").alias("boot_mean"),
-                              F.stddev_pop("_s").alias("boot_std"))
+    """Interval of a replicate statistic (an aggregate column over the replicate's rows)."""
+    return interval(boot.groupBy(key, "rep").agg(statistic.alias("_s")), key, alpha)
+
+
+def bootstrap_mean_ci(points: DataFrame, block: Column | float, replicates: int, seed: int = 7, key: str = "series_id", alpha: float = 0.05,
+                      less: float = 0.0) -> DataFrame:
+    """Interval of the mean, minus ``less``, from block ends alone."""
+    m = bootstrap_moments(points, block, replicates, seed, key)
+    return interval(m.withColumn("_s", F.col("total") / F.col("n") - less), key, alpha)
 
 
 def coefficient_ci(points: DataFrame, edited: DataFrame, replicates: int = 50, block: float = 5.0, threshold: float = 3.0,
                    key: str = "series_id") -> DataFrame:
     """Residual bootstrap of a line fit: refit every replicate, z of the edited coefficients, extreme flag.
 
-    ``edited``: key, x0, linear_rate.
+    ``edited``: key, x0, linear_rate.  The fit is linear, so a replicate's coefficients are the line's plus those of its
+    residuals, which two moments give.
     """
     line = points.groupBy(key).agg(F.regr_intercept("value", "t").alias("a"), F.regr_slope("value", "t").alias("b"))
     r = points.join(line, key).withColumn("res", F.col("value") - F.col("a") - F.col("b") * F.col("t"))
-    boot = stationary_bootstrap(r, block, replicates, key=key, value="res").join(line, key)
-    y = F.col("a") + F.col("b") * F.col("t") + F.col("value")
-    c = boot.groupBy(key, "rep").agg(F.regr_intercept(y, F.col("t")).alias("x0"), F.regr_slope(y, F.col("t")).alias("linear_rate"))
+    m = bootstrap_moments(r, block, replicates, key=key, value="res").join(line, key)
+    n = F.col("n").cast("double")
+    st, stt = n * (n - 1) / 2, (n - 1) * n * (2 * n - 1) / 6
+    slope = (n * F.col("t_total") - st * F.col("total")) / (n * stt - st * st)
+    c = m.select(key, "rep", (F.col("a") + (F.col("total") - slope * st) / n).alias("x0"), (F.col("b") + slope).alias("linear_rate"))
     c = c.unpivot([key, "rep"], ["x0", "linear_rate"], "name", "value")
     s = c.groupBy(key, "name").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("sd"), F.percentile("value", F.lit(0.025)).alias("ci_lower"),
                                    F.percentile("value", F.lit(0.975)).alias("ci_upper"))
@@ -444,7 +508,7 @@ def permutation_p(samples: DataFrame, keys: list[str], replicates: int = 100, ca
 def conservation_significance(pre: DataFrame, post: DataFrame, replicates: int = 50, permutations: int = 50, key: str = "series_id") -> DataFrame:
     """Residual interval after, energy ratio test, and discrepancy of before against after, one row per key."""
     from .metrics import variance_ratio
-    ci = bootstrap_ci(stationary_bootstrap(post, 5.0, replicates, key=key), F.avg("value"), key)
+    ci = bootstrap_mean_ci(post, 5.0, replicates, key=key)
     both = pre.select(key, F.lit("pre").alias("side"), "value").unionByName(post.select(key, F.lit("post").alias("side"), "value"))
     vr = variance_ratio(both, [key]).select(key, "ratio", "f_statistic", F.col("p_value").alias("ratio_p"))
     s = pre.select(key, F.lit("x").alias("side"), F.col("t").alias("id"), "value").unionByName(post.select(key, F.lit("y").alias("side"), F.col("t").alias("id"), "value"))

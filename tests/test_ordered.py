@@ -126,3 +126,15 @@ def test_taper_of_the_phase_shift():
     from seriesforge.operators.edits import turned_share
     assert turned_share(20).tolist() == pytest.approx([0, 1 / 3, 2 / 3] + [1] * 13 + [0, 1 / 3, 2 / 3, 1])
     assert turned_share(3).tolist() == [1, 1, 1] and turned_share(4).tolist() == [0, 1, 1, 1]
+
+
+def test_moments_of_block_ends_equal_the_replicates(spark):
+    points = cut_lineage(spark.range(700).select((F.col("id") % 2).alias("series_id"), F.floor(F.col("id") / 2).cast("int").alias("t"), F.randn(4).alias("value")).unionByName(
+        spark.createDataFrame([(9, 0, 2.5)], "series_id long, t int, value double")))
+    for block in (3.0, 60.0, 1e9):
+        rows = validation.stationary_bootstrap(points, block, 8).groupBy("series_id", "rep").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("a"), F.sum(F.col("t") * F.col("value")).alias("b"))
+        want = {(r.series_id, r.rep): (r.n, r.a, r.b) for r in rows.collect()}
+        got = {(r.series_id, r.rep): (r.n, r.total, r.t_total) for r in validation.bootstrap_moments(points, block, 8).collect()}
+        assert set(got) == set(want) and len(got) == 24
+        for k in want:
+            assert got[k] == pytest.approx(want[k], abs=1e-7)
