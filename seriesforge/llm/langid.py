@@ -250,10 +250,10 @@ def foreign_bounds(docs: DataFrame, model: Counts, text: str = "text", lang: str
 def keep_known(docs: DataFrame, model: Counts, text: str = "text", bounds: list[float] | None = None) -> DataFrame:
     """Rows of ``docs`` in a language the model knows: rejected are texts without a letter and those that every learned
     language codes above the bound of their length class (16 bits are allowed for the start of the text)."""
-    uid = fresh("_row", docs)
-    tagged = with_uid(docs, uid)
-    told = saved(predict(tagged.select(uid, F.col(text).alias("text")), model, carry=[uid])
-                 .join(tagged.select(uid, F.octet_length(text).alias("n")), uid))
-    bound = F.element_at(F.array(*map(F.lit, bounds)), F.length(F.bin("n")).cast("int") + 1) if bounds else F.lit(FOREIGN)
-    ok = told.where((F.col("lang_pred") != "und") & (F.col("bits_per_byte") * F.col("n") <= bound * F.col("n") + 16)).select(uid)
-    return tagged.join(ok, uid, "left_semi").drop(uid)
+    aside = {c: fresh(f"_{c}", docs) for c in docs.columns if c.lower() in ("lang_pred", "score", "bits_per_byte")}
+    own = docs.withColumnsRenamed(aside)
+    told = predict(own, model, aside.get(text, text))
+    n = F.octet_length(F.col(aside.get(text, text)).cast("string"))
+    bound = F.element_at(F.array(*map(F.lit, bounds)), F.length(F.bin(n)).cast("int") + 1) if bounds else F.lit(FOREIGN)
+    ok = told.where((F.col("lang_pred") != "und") & (F.col("bits_per_byte") * n <= bound * n + 16))
+    return ok.select(*own.columns).withColumnsRenamed({new: c for c, new in aside.items()})
