@@ -22,13 +22,14 @@ from .metric_join import BLOCK, metric_join
 
 
 def nearest(queries: DataFrame, base: DataFrame, k: int, metric: str = "l2", rule: str = "other",
-            radius: int | None = None, pivots: int | None = None, block: int = BLOCK) -> DataFrame:
+            radius: int | None = None, pivots: int | None = None, block: int = BLOCK, band: float | None = None) -> DataFrame:
     """k nearest base rows of each query row: id, nn_id, nn_label, distance, rank.
 
     ``rule``: 'other' skips the row itself, 'unlike' takes other labels only,
     'target' takes base rows whose label equals the query's ``target``, 'any'
     takes all.  Metrics 'l2' and 'l1' go through ``metric_join``; 'lb_keogh' and
-    'dtw' scan all blocks.
+    'dtw' scan all blocks and compare rows of one length, ``band`` being the
+    radius as a share of it.
     """
     if metric in ("l2", "l1"):
         return top_per_id(metric_join(queries, base, k, metric, rule, pivots, block), k)
@@ -45,14 +46,17 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, metric: str = "l2", rul
 
     def pair(qs: pd.DataFrame, bs: pd.DataFrame) -> pd.DataFrame:
         cols = {"id": [], "nn_id": [], "nn_label": [], "distance": []}
-        if len(qs) and len(bs):
-            qv, bv = np.stack(qs["v"].to_numpy()), np.stack(bs["v"].to_numpy())
-            bid, bl = bs["id"].to_numpy(), bs["label"].to_numpy()
-            qid, ql = qs["id"].to_numpy(), qs["label"].to_numpy()
-            tgt = qs["target"].to_numpy() if "target" in qs else None
+        for n, own in qs.groupby(qs["v"].map(len)):
+            same = bs[bs["v"].map(len) == n]
+            if not len(same):
+                continue
+            qv, bv = np.stack(own["v"].to_numpy()), np.stack(same["v"].to_numpy())
+            bid, bl = same["id"].to_numpy(), same["label"].to_numpy()
+            qid, ql = own["id"].to_numpy(), own["label"].to_numpy()
+            tgt = own["target"].to_numpy() if "target" in own else None
             ok = {"other": lambda i: bid != qid[i], "unlike": lambda i: bl != ql[i], "any": lambda i: np.ones(len(bid), bool),
                   "target": lambda i: bl == tgt[i]}[rule]
-            for i, rows, d in N.nearest_rows(qv, bv, k, metric, ok, radius):
+            for i, rows, d in N.nearest_rows(qv, bv, k, metric, ok, radius if band is None else max(1, round(band * n))):
                 keep = np.lexsort((bid[rows], d))[:k]
                 rows, d = rows[keep], d[keep]
                 cols["id"] += [qid[i]] * len(rows)
@@ -93,26 +97,26 @@ def ynn(queries: DataFrame, base: DataFrame, k: int = 5, rule: str = "other") ->
 
 def ynn_dtw(queries: DataFrame, base: DataFrame, k: int = 5, band: float = 0.1, multiplier: int = 4,
             rule: str = "other") -> DataFrame:
-    """Keogh-bound shortlist of multiplier * k rows, exact banded DTW on the shortlist, class share of the k best."""
-    n = queries.select(F.size("v")).first()[0]
-    radius = max(1, round(band * n))
-    short = nearest(queries.drop("target"), base, multiplier * k, "lb_keogh", rule, radius).select("id", "nn_id", "nn_label")
+    """Keogh-bound shortlist of multiplier * k rows, exact banded DTW on the shortlist, class share of the k best; the band
+    is a share of each query's own length."""
+    short = nearest(queries.drop("target"), base, multiplier * k, "lb_keogh", rule, band=band).select("id", "nn_id", "nn_label")
     pairs = (short.join(queries.select("id", "target", F.col("v").alias("a")), "id")
              .join(base.select(F.col("id").alias("nn_id"), F.col("v").alias("b")), "nn_id"))
-    d = pairs.select("id", "nn_id", "nn_label", "target", dtw_distance("a", "b", radius).alias("distance"))
+    d = pairs.select("id", "nn_id", "nn_label", "target", dtw_distance("a", "b", band=band).alias("distance"))
     best = top_per_id(d, k)
     return best.groupBy("id").agg(F.avg((F.col("nn_label") == F.col("target")).cast("double")).alias("ynn"),
                                   F.count(F.lit(1)).alias("n_neighbours"))
 
 
-def dtw_distance(a: str, b: str, radius: int | None = None) -> Column:
-    """Banded DTW of two array columns, vectorised over each Arrow batch."""
+def dtw_distance(a: str, b: str, radius: int | None = None, band: float | None = None) -> Column:
+    """Banded DTW of two array columns, vectorised over each Arrow batch; ``band`` is a radius as a share of the length of
+    ``a``."""
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
         out = np.empty(len(x))
         shape = pd.Series(list(zip(x.map(len), y.map(len))))
-        for _, idx in shape.groupby(shape).groups.items():
+        for (n, _), idx in shape.groupby(shape).groups.items():
             i = np.asarray(idx)
-            out[i] = N.dtw(np.stack(x.iloc[i].to_numpy()), np.stack(y.iloc[i].to_numpy()), radius)
+            out[i] = N.dtw(np.stack(x.iloc[i].to_numpy()), np.stack(y.iloc[i].to_numpy()), radius if band is None else max(1, round(band * n)))
         return pd.Series(out)
     return F.pandas_udf(run, "double")(F.col(a), F.col(b))
 

@@ -205,19 +205,26 @@ def seasonal_split(points: DataFrame, period: int, robust: bool = False, key: st
 
 
 def multi_seasonal(points: DataFrame, periods: list[int], key: str = "series_id") -> DataFrame:
-    """Seasonal splits in turn, ascending; the caller drops periods with 2 p >= n via ``valid_periods``."""
-    work = points.withColumn("_y", F.col("value"))
+    """Seasonal splits in turn, ascending.  Each series takes the periods that fit in it twice (2 p < n); a season it
+    cannot have is null, and without any its trend is null and its residual the value."""
+    n = points.groupBy(key).agg((F.max("t") + 1).alias("_n"))
+    work = points.drop("trend", "residual").join(n, key).withColumns({"_y": F.col("value"), "_was": F.lit(None).cast("double")})
     names = []
-    for p in sorted(periods):
-        s = seasonal_split(work.drop("trend", "residual"), p, key=key, value="_y", tag=f"_{p}")
-        names.append(f"seasonal_{p}")
-        work = s.withColumn("_y", F.col("_y") - F.col(f"seasonal_{p}"))
-    return work.drop("_y", "residual").withColumn("residual", F.col("value") - F.col("trend") - sum(F.col(n) for n in names))
-
-
-def valid_periods(points: DataFrame, periods: list[int]) -> list[int]:
-    n = points.groupBy("series_id").agg(F.max("t").alias("m")).agg(F.min("m")).first()[0] + 1
-    return [p for p in sorted(periods) if 2 <= p and 2 * p < n]
+    for p in valid_periods(points, periods, key):
+        name = f"seasonal_{p}"
+        fits = 2 * p < F.col("_n")
+        s = seasonal_split(work, p, key=key, value="_y", tag=f"_{p}")
+        s = s.withColumns({name: F.when(fits, F.col(name)), "_was": F.when(fits, F.col("trend")).otherwise(F.col("_was"))})
+        work = s.withColumn("_y", F.col("_y") - F.coalesce(name, F.lit(0.0))).drop("trend", "residual")
+        names.append(name)
+    told = sum((F.coalesce(n, F.lit(0.0)) for n in names), F.coalesce("_was", F.lit(0.0)))
+    return work.withColumn("residual", F.col("value") - told).withColumnRenamed("_was", "trend").drop("_y", "_n")
+
+
+def valid_periods(points: DataFrame, periods: list[int], key: str = "series_id") -> list[int]:
+    """Periods that fit twice in the longest series, ascending; shorter series are judged by themselves."""
+    n = points.agg(F.max("t")).first()[0]
+    return [p for p in sorted(set(periods)) if n is not None and 2 <= p and 2 * p < n + 1]
 
 
 # --- baseflow --------------------------------------------------------------------------------

@@ -64,3 +64,27 @@ def test_few_rows_nulls_and_nothing(spark):
     got = sorted((r["id"], r["rank"], r["nn_id"], r["distance"]) for r in distance.nearest(df, df, 2).collect())
     assert got == [(0, 1, 1, 0.0), (0, 2, 3, 3.0), (1, 1, 0, 0.0), (1, 2, 3, 3.0), (3, 1, 0, 3.0), (3, 2, 1, 3.0)]
     assert distance.nearest(df, df.limit(0), 2).count() == 0 and distance.nearest(df.limit(0), df, 2).count() == 0
+
+
+def test_band_follows_each_querys_length(spark):
+    rng = np.random.default_rng(3)
+    x = [rng.normal(size=10 if i % 2 else 30) for i in range(40)]
+    df = table(spark, x, ["a" if i % 4 < 2 else "b" for i in range(40)]).withColumn("target", F.col("label"))
+    got = {r["id"]: r for r in distance.ynn_dtw(df, df, 3, band=0.2).collect()}
+    alone = {r["id"]: r for n in (0, 1) for r in distance.ynn_dtw(df.where(f"id % 2 = {n}"), df.where(f"id % 2 = {n}"), 3, band=0.2).collect()}
+    assert got == alone and len(got) == 40
+
+
+def test_each_series_takes_the_periods_that_fit_it(spark):
+    from seriesforge.operators import fits
+    t = np.arange(60)
+    y = np.sin(2 * np.pi * t / 4) + 0.1 * t
+    rows = [(1, int(i), float(v)) for i, v in zip(t, y)] + [(2, int(i), float(v)) for i, v in zip(t[:12], y)] + [(3, int(i), float(v)) for i, v in zip(t[:5], y)]
+    df = spark.createDataFrame(rows, "series_id long, t int, value double")
+    both = {(r.series_id, r.t): (r.trend, r.seasonal_4, r.seasonal_20, r.residual) for r in fits.multi_seasonal(df, [20, 4, 500]).collect()}
+    for one, periods in ((1, [4, 20]), (2, [4])):
+        for r in fits.multi_seasonal(df.where(F.col("series_id") == one), periods).collect():
+            got = both[one, r.t]
+            assert got[0] == pytest.approx(r.trend) and got[1] == pytest.approx(r.seasonal_4) and got[3] == pytest.approx(r.residual)
+            assert got[2] == (pytest.approx(r.seasonal_20) if one == 1 else None)
+    assert all(both[3, i] == (None, None, None, float(y[i])) for i in range(5))
