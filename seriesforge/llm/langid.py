@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffer, fresh, mix64, ragged, saved, slices, with_uid
+from .common import buffer, fresh, mix64, ragged, slices, with_uid
 
 ORDER = 3
 UNIFORM = 8.0               # bits of a byte without any model
@@ -211,6 +211,8 @@ def predict(docs: DataFrame, model: Counts, text: str = "text", carry: list[str]
                 yield pa.RecordBatch.from_arrays(
                     rest + [pa.array(names, pa.string()), pa.array(np.where(ok, score, 0.0)), pa.array(mean.min(axis=1), mask=~ok)],
                     [n for n in batch.schema.names if n not in (raw, letters)] + ["lang_pred", "score", "bits_per_byte"])
+        state.clear()       # workers outlive the stage
+        _models.clear()
 
     t = F.col(text).cast("string")
     named = docs.select(*[c for c in carry if c.lower() not in ("lang_pred", "score", "bits_per_byte")])
