@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from seriesforge import config as C
 from seriesforge.operators import sessions as X
+from seriesforge.sources import datasets as SO
 
 from .base import DAILY, PTS, SHAPE_OF, SP, case_col, case_sql, daily, points, q6, query, r6, seg_points, table
 from .windowed import MISS, gappy
@@ -20,7 +21,7 @@ def _(spark, sf):
 
 @query("p05_length_filter", f"WITH {SP} SELECT series_id, segment_id, count(*) AS n FROM sp GROUP BY 1,2 HAVING count(*) >= 10")
 def _(spark, sf):
-    return seg_points(spark, sf).groupBy("series_id", "segment_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 10")
+    return X.long_enough(seg_points(spark, sf), 10)
 
 
 @query("p14_traffic_light", "SELECT event_id, CASE WHEN value IS NULL THEN 'idle' WHEN value<15 THEN 'red' WHEN value<50 THEN 'amber' ELSE 'green' END AS validity, CASE WHEN value>100 THEN 'red' WHEN value>60 THEN 'amber' ELSE 'green' END AS forking FROM events")
@@ -270,9 +271,8 @@ def _(spark, sf):
 
 @query("a39_accuracy_by_shape", f"WITH {TRI} SELECT tool, shape, {q6('avg(accuracy)')} AS accuracy, count(*) AS n, {q6('(SELECT corr(confidence, accuracy) FROM tr)')} AS r FROM tr GROUP BY 1,2")
 def _(spark, sf):
-    t = trials(spark, sf)
-    r = t.agg(F.corr("confidence", "accuracy").alias("r")).scalar()
-    return t.groupBy("tool", "shape").agg(r6(F.avg("accuracy")).alias("accuracy"), F.count(F.lit(1)).alias("n")).withColumn("r", r6(r))
+    a = X.accuracy_by(trials(spark, sf), ["tool", "shape"])
+    return a.select("tool", "shape", r6("accuracy").alias("accuracy"), "n", r6("r").alias("r"))
 
 
 @query("a40_adjusted_p", f"""WITH p AS (SELECT user_id%10 AS family, event_id AS test, 1/(1+value) AS p FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY p, test) AS i, count(*) OVER (PARTITION BY family) AS n FROM p)
@@ -341,9 +341,7 @@ def _(spark, sf):
 
 @query("s03_split_sample", f"WITH {PRE} SELECT series_id, channel, t, {q6('value')} AS value, 'class_' || label AS class_name FROM pp WHERE split='test' AND series_id%8=0")
 def _(spark, sf):
-    p = prepared(spark, sf)
-    names = p.select("label").distinct().withColumn("class_name", F.concat(F.lit("class_"), "label"))
-    return p.where("split = 'test' and series_id % 8 = 0").join(names, "label").select("series_id", "channel", "t", r6("value").alias("value"), "class_name")
+    return SO.split_sample(prepared(spark, sf), "test", F.col("series_id") % 8 == 0).withColumn("value", r6("value"))
 
 
 @query("a41_dataset_summary", f"WITH {PRE} SELECT split, count(DISTINCT series_id) AS n_samples, count(DISTINCT channel) AS n_channels, count(DISTINCT t) AS series_length, count(DISTINCT label) AS n_classes, coalesce(bool_or(value IS NULL), false) AS has_missing FROM pp GROUP BY 1")

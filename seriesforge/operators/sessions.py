@@ -27,6 +27,13 @@ def missingness(points: DataFrame, keys=("series_id", "segment_id"), threshold_p
                           "blocks_dense_ops": F.col("missing_ratio") * 100 > threshold_pct})
 
 
+def long_enough(points: DataFrame, least: int, keys=("series_id", "segment_id"), channel: str | None = None) -> DataFrame:
+    """(keys, n) of the segments with ``least`` points or more; with ``channel``, of univariate ones only."""
+    g = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *([F.min(channel).alias("_a"), F.max(channel).alias("_b")] if channel else []))
+    g = g.where(F.col("n") >= least)
+    return g.where("_a = _b").drop("_a", "_b") if channel else g
+
+
 def traffic_light(value: Column, amber_below=None, red_below=None, amber_above=None, red_above=None) -> Column:
     out = F.when(value.isNull() | F.isnan(value), "idle")
     if red_below is not None:
@@ -356,6 +363,12 @@ def emit_tips(fired: DataFrame, session: str = "session_id", order: str = "seq",
 
 # --- study tables --------------------------------------------------------------------------
 
+def accuracy_by(trials: DataFrame, by: list[str]) -> DataFrame:
+    """Accuracy and count per group, with the correlation of confidence and accuracy over all trials."""
+    r = trials.agg(F.corr("confidence", "accuracy").alias("r")).scalar()
+    return trials.groupBy(*by).agg(F.avg("accuracy").alias("accuracy"), F.count(F.lit(1)).alias("n")).withColumn("r", r)
+
+
 def brier(trials: DataFrame, by: str) -> DataFrame:
     e = F.col("confidence") / 100.0 - F.col("accuracy")
     return trials.groupBy(by).agg(F.avg(e * e).alias("brier"), F.count(F.lit(1)).alias("n_trials"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -71,6 +71,12 @@ def compatibility(datasets: DataFrame, artifacts: DataFrame, families: DataFrame
     return j.select("dataset_name", "artifact_id", msg.alias("messages")).withColumn("is_compatible", F.size("messages") == 0)
 
 
+def split_sample(prepared: DataFrame, split: str, chosen: Column) -> DataFrame:
+    """Points of the chosen samples of one split, with the name of their class."""
+    names = prepared.select("label").distinct().withColumn("class_name", F.concat(F.lit("class_"), "label"))
+    return prepared.where((F.col("split") == split) & chosen).join(names, "label").select("series_id", "channel", "t", "value", "class_name")
+
+
 def read_labelled_csv(spark: SparkSession, path: str) -> DataFrame:
     """Labelled segments whose cells are JSON arrays: label, values, ctx_pre, ctx_post."""
     raw = spark.read.option("header", True).option("quote", '"').option("escape", '"').csv(path)
