@@ -9,8 +9,9 @@ from seriesforge.operators import fits as T
 from seriesforge.operators import stats as ST
 from seriesforge.operators import structure as U
 
-from .base import DAILY, PTS, SEGS, SP, blocks, daily, points, q6, query, r6, seg_points, segs_sql
+from .base import CHUNK_OF, DAILY, PTS, SEGS, SP, blocks, case_sql, daily, points, q6, query, r6, seg_points, segs_sql
 from .editing import BW, seg
+from .statistics import STATS, STATUS, VIOL
 
 ML = "CASE {l} WHEN 'event' THEN 3 WHEN 'transition' THEN 2 WHEN 'periodic' THEN 6 ELSE 2 END"
 
@@ -90,6 +91,20 @@ def _(spark, sf):
     return nxt.join(hist.select("series_id", F.col("after_version").alias("version"), "valid"), "series_id")
 
 
+# The first segment of every series is edited, by the operation of its label.
+FIRST = ("p0 AS " + PTS.removeprefix("pts AS ") + """, f0 AS (SELECT series_id, count(*) AS n, avg(value) AS m, list(value ORDER BY t) AS v, """ + case_sql("arg_min(event_type, t)", CHUNK_OF) + """ AS label FROM p0 WHERE t < 16 GROUP BY 1),
+ pts AS (SELECT p0.series_id, t, CASE WHEN t >= 16 THEN value WHEN label='plateau' THEN value + 2 WHEN label='trend' THEN value + (t-(n-1)/2.0)*2 WHEN label='spike' THEN m + 2*(value-m) WHEN label='event' THEN v[CAST(greatest(0, t-2) AS INT)+1] ELSE value END AS value, event_type, event_id, ts FROM p0 JOIN f0 USING (series_id))""")
+
+
+@query("e11_constraint_status", f"WITH {STATS.replace(PTS, FIRST)}, {VIOL}, {STATUS} SELECT f0.series_id, CASE WHEN label='transition' THEN 'OPERATION_NOT_ALLOWED' WHEN n_violations=0 THEN 'PASS' WHEN constraint_mode='hard' THEN 'CONSTRAINT_FAIL' ELSE 'WARN' END AS reason_code, CASE WHEN label<>'transition' THEN n_violations END AS n_violations, label<>'transition' AND NOT (n_violations>0 AND constraint_mode='hard') AS applied FROM f0 JOIN st USING (series_id)")
+def _(spark, sf):
+    b = blocks(spark, sf)
+    op = (F.when(F.col("label") == "trend", "change_slope").when(F.col("label") == "spike", "scale_spike").when(F.col("label") == "event", "shift_event").otherwise("shift_level"))
+    names = ("delta", "slope_delta", "scale_factor", "offset")
+    ed = b.where("segment_id = 0").select("series_id", "segment_id", op.alias("op_name"), F.create_map(*[x for n in names for x in (F.lit(n), F.lit(2.0))]).alias("params"))
+    return U.govern_value_edits(points(spark, sf), b, ed).select("series_id", "reason_code", "n_violations", "applied")
+
+
 VOP = ["shift_level", "change_slope", "scale_spike", "suppress_spike", "shift_event", "remove_event"]
 
 

@@ -173,3 +173,36 @@ def apply_value_edits(frames: DataFrame, edits: DataFrame) -> DataFrame:
     whole = F.when((op == "remove_event") & (reason == "LEGAL") & (F.size("pre") + F.size("post") == 0), "INVALID_PARAMETERS").otherwise(reason)
     j = j.withColumn("reason_code", F.when(F.col("label").isNull(), "UNKNOWN_SEGMENT").otherwise(whole))
     return j.withColumn("edited", F.when(F.col("reason_code") == "LEGAL", new).otherwise(v))
+
+
+def govern_value_edits(points: DataFrame, segments: DataFrame, edits: DataFrame, mode: str | None = None) -> DataFrame:
+    """Value edits checked against the constraints, each edit alone against its series as it stands.
+
+    An edit changes the values of one segment, so only that segment's statistics are new; the violations of the rest of
+    its series are those before.  A legal edit gets the status PASS, WARN or FAIL and its number of violations; FAIL
+    refuses it with ``CONSTRAINT_FAIL`` and the old values.  Adds status, n_violations, applied to ``apply_value_edits``.
+    """
+    from . import chunks as K
+    from . import stats as S
+    from .edits import frames
+    keys = ["series_id", "segment_id"]
+    done = apply_value_edits(frames(points, segments), edits).withColumn("_edit", F.to_json(F.struct(*keys, "op_name", "params")))
+    legal = done.where("reason_code = 'LEGAL'").select("_edit", *keys, "label", "edited").dropDuplicates(["_edit"])
+    own = legal.select(F.col("_edit").alias("series_id"), "segment_id", "label", "edited")
+    new_points = own.select("series_id", F.posexplode("edited").alias("t", "value"))
+    new_segments = own.select("series_id", "segment_id", F.lit(0).alias("start_index"), (F.size("edited") - 1).alias("end_index"), "label")
+    counted = lambda v, by: v.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("severity") == "hard").alias("hard"))
+    of_values = lambda s: K.trend_violations(s, mode).unionByName(K.plateau_violations(s, mode))
+    after = counted(of_values(S.segment_statistics(new_points, new_segments)), ["series_id"]).select(F.col("series_id").alias("_edit"), F.col("n").alias("_an"), F.col("hard").alias("_ah"))
+    stats = S.segment_statistics(points, segments)
+    before = counted(K.evaluate(segments, stats, mode), ["series_id"]).select("series_id", F.col("n").alias("_n"), F.col("hard").alias("_h"))
+    here = counted(of_values(stats).withColumn("_s", F.get("affected", F.lit(0))), ["series_id", "_s"]).select("series_id", "_s", F.col("n").alias("_on"), F.col("hard").alias("_oh"))
+    j = (legal.select("_edit", *keys).withColumn("_s", F.col("segment_id").cast("string")).join(before, "series_id", "left").join(here, ["series_id", "_s"], "left").join(after, "_edit", "left"))
+    z = lambda c: F.coalesce(c, F.lit(0))
+    n, hard = z("_n") - z("_on") + z("_an"), z("_h") - z("_oh") + z("_ah")
+    strict = F.lit(mode == "hard") if mode else hard > 0
+    told = j.select("_edit", n.alias("n_violations"), F.when(n == 0, "PASS").when(strict, "FAIL").otherwise("WARN").alias("status"))
+    out = done.join(told, "_edit", "left").drop("_edit")
+    fails = F.coalesce(F.col("status") == "FAIL", F.lit(False))
+    return out.withColumns({"reason_code": F.when(fails, "CONSTRAINT_FAIL").otherwise(F.coalesce("status", "reason_code")), "edited": F.when(fails, F.col("v")).otherwise(F.col("edited")),
+                            "applied": F.col("status").isNotNull() & ~fails})
