@@ -88,3 +88,24 @@ def test_each_series_takes_the_periods_that_fit_it(spark):
             assert got[0] == pytest.approx(r.trend) and got[1] == pytest.approx(r.seasonal_4) and got[3] == pytest.approx(r.residual)
             assert got[2] == (pytest.approx(r.seasonal_20) if one == 1 else None)
     assert all(both[3, i] == (None, None, None, float(y[i])) for i in range(5))
+
+
+@pytest.mark.parametrize("rule, metric", [("other", "l2"), ("unlike", "l1"), ("target", "l2")])
+def test_rows_without_clusters_meet_in_large_chunks(spark, monkeypatch, rule, metric):
+    rng = np.random.default_rng(5)
+    x, labels = rng.normal(size=(400, 24)), [("a", "b", "c")[i % 3] for i in range(400)]
+    df = table(spark, x, labels)
+    rounds, real = [], metric_join.with_copies
+    monkeypatch.setattr(metric_join, "with_copies", lambda *a: rounds.append(1) or real(*a))
+    monkeypatch.setattr(metric_join, "CHUNK_BYTES", 8 * 24 * 150)
+    q = df.withColumn("target", F.col("label")) if rule == "target" else df
+    got = {}
+    for r in distance.nearest(q, df, 4, metric, rule, block=32).collect():
+        got.setdefault(r["id"], {})[r["rank"]] = (r["nn_id"], r["distance"])
+    for i in range(len(x)):
+        ok = [j for j in range(len(x)) if (rule == "other" and j != i) or (rule == "unlike" and labels[j] != labels[i]) or (rule == "target" and labels[j] == labels[i])]
+        d = np.sqrt(((x[ok] - x[i]) ** 2).sum(1)) if metric == "l2" else np.abs(x[ok] - x[i]).sum(1)
+        best = np.lexsort((ok, d))[:4]
+        assert [got[i][n + 1][0] for n in range(4)] == [ok[j] for j in best]
+        np.testing.assert_allclose([got[i][n + 1][1] for n in range(4)], d[best], atol=1e-9)
+    assert len(rounds) == 1                             # no second round of queries by block
