@@ -475,16 +475,37 @@ def point_in_segment(segments: DataFrame, log: DataFrame, width: int = 512) -> D
     return segments.join(m, ["series_id", "segment_id"], "left").withColumn("has_log_entry", F.col("log_match").isNotNull())
 
 
+def network_sizes(residuals: DataFrame) -> DataFrame:
+    """(network, _by_t, _many): whether a network has fewer times than stations, and more than one station."""
+    n = residuals.groupBy("network").agg(F.approx_count_distinct("station").alias("_ns"), F.approx_count_distinct("t").alias("_nt"),
+                                         (F.min("station") < F.max("station")).alias("_many"))
+    return n.select("network", (F.col("_nt") < F.col("_ns")).alias("_by_t"), "_many")
+
+
+def product_sums(residuals: DataFrame, size: DataFrame) -> DataFrame:
+    """(network, i, j, c): upper triangle of the matrix of product sums between stations or between times of a network,
+    whichever are fewer, from residuals centred by station.  Pairs are summed in the task that forms them."""
+    m = residuals.groupBy("network", "station").agg(F.avg("value").alias("_m"))
+    r = residuals.join(m, ["network", "station"]).select("network", "station", "t", (F.col("value") - F.col("_m")).alias("x"))
+    r = r.join(size.select("network", "_by_t"), "network")
+
+    def pairs(of: DataFrame, own: str, other: str) -> DataFrame:
+        g = of.groupBy("network", own).agg(F.array_sort(F.collect_list(F.struct(F.col(other).cast("string").alias("k"), "x"))).alias("_s"))
+        p = g.select("network", F.posexplode("_s").alias("_i", "a"), "_s")
+        p = p.select("network", "a", F.explode(F.slice("_s", F.col("_i") + 1, F.size("_s"))).alias("b"))
+        return p.groupBy("network", F.col("a.k").alias("i"), F.col("b.k").alias("j")).agg(F.sum(F.col("a.x") * F.col("b.x")).alias("c"))
+
+    return pairs(r.where("_by_t"), "station", "t").unionByName(pairs(r.where("not _by_t"), "t", "station"))
+
+
 def leading_share(residuals: DataFrame) -> DataFrame:
     """Share of the leading eigenvalue of the station covariance per network (network, station, t, value).
 
-    Covariances come from a self-join on time of pre-centred residuals; only the small station matrix meets numpy.
+    A missing residual counts as zero, so the matrix between times has the same leading eigenvalue and trace as that between
+    stations; the smaller one meets numpy.
     """
-    m = residuals.groupBy("network", "station").agg(F.avg("value").alias("_m"))
-    r = residuals.join(m, ["network", "station"]).select("network", "station", "t", (F.col("value") - F.col("_m")).alias("x"))
-    at = r.groupBy("network", "t").agg(F.collect_list(F.struct("station", "x")).alias("_s"))
-    p = at.select("network", F.explode("_s").alias("a"), "_s").select("network", "a", F.explode("_s").alias("b")).where("a.station <= b.station")
-    c = p.groupBy("network", F.col("a.station").alias("i"), F.col("b.station").alias("j")).agg(F.sum(F.col("a.x") * F.col("b.x")).alias("c"))
+    size = network_sizes(residuals)
+    c = product_sums(residuals, size)
 
     def top(pdf):
         import numpy as np
@@ -493,5 +514,6 @@ def leading_share(residuals: DataFrame) -> DataFrame:
         for i, j, x in zip(pdf["i"], pdf["j"], pdf["c"]):
             M[ids[i], ids[j]] = M[ids[j], ids[i]] = x
         e = np.maximum(np.linalg.eigvalsh(M), 0)
-        return pd.DataFrame({"network": [pdf["network"].iloc[0]], "leading_share": [float(e[-1] / e.sum()) if len(e) > 1 and e.sum() > 0 else 0.0]})
-    return c.groupBy("network").applyInPandas(top, f"network {dict(residuals.dtypes)['network']}, leading_share double")
+        return pd.DataFrame({"network": [pdf["network"].iloc[0]], "_share": [float(e[-1] / e.sum()) if e.sum() > 0 else 0.0]})
+    shares = c.groupBy("network").applyInPandas(top, f"network {dict(residuals.dtypes)['network']}, _share double")
+    return shares.join(size.select("network", "_many"), "network").select("network", F.when(F.col("_many"), F.col("_share")).otherwise(0.0).alias("leading_share"))

@@ -322,3 +322,23 @@ def test_trailing_rate_counts_events_of_equal_time_together(spark):
     r = spark.createDataFrame([("s", a, v) for a, v in zip(at, ok)], "session_id string, ts string, is_valid boolean").withColumn("ts", F.to_timestamp("ts"))
     got = sorted((str(x.ts), x.n_window, round(x.rate, 6)) for x in J.trailing_rate(r).collect())
     assert got == [(at[0], 2, 0.5), (at[1], 2, 0.5), (at[2], 3, 0.666667), (at[3], 5, 0.4), (at[4], 5, 0.4), (at[5], 4, 0.5)]
+
+
+def test_leading_share_takes_the_smaller_matrix(spark):
+    import numpy as np
+    from seriesforge.operators import packs
+    rng = np.random.default_rng(4)
+    rows = [(0, s, t, float(rng.normal())) for s in range(60) for t in range(3 + s % 3)] + [(1, s, t, float(rng.normal())) for s in range(3) for t in range(40)] + [(2, 7, t, float(t)) for t in range(5)]
+    df = spark.createDataFrame(rows, "network int, station int, t int, value double")
+    got = {r["network"]: r["leading_share"] for r in packs.leading_share(df).collect()}
+    for n, stations, times in ((0, 60, 5), (1, 3, 40)):
+        x = np.full((stations, times), np.nan)
+        for w, s, t, v in rows:
+            if w == n:
+                x[s, t] = v
+        x = np.nan_to_num(x - np.nanmean(x, axis=1, keepdims=True))
+        e = np.linalg.eigvalsh(x @ x.T)
+        assert abs(got[n] - e[-1] / e.sum()) < 1e-9
+    assert got[2] == 0.0
+    sums = packs.product_sums(df, packs.network_sizes(df))
+    assert {r["network"]: r["count"] for r in sums.groupBy("network").count().collect()} == {0: 15, 1: 6, 2: 1}
