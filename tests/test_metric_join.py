@@ -109,3 +109,17 @@ def test_rows_without_clusters_meet_in_large_chunks(spark, monkeypatch, rule, me
         assert [got[i][n + 1][0] for n in range(4)] == [ok[j] for j in best]
         np.testing.assert_allclose([got[i][n + 1][1] for n in range(4)], d[best], atol=1e-9)
     assert len(rounds) == 1                             # no second round of queries by block
+
+
+def test_batched_warping_and_bounds_equal_one_by_one():
+    from seriesforge.functions import kernels as N
+    rng = np.random.default_rng(6)
+    q, b, banned = rng.normal(size=(9, 20)).cumsum(1), rng.normal(size=(150, 20)).cumsum(1), rng.random((9, 150)) < 0.3
+    banned[3] = True
+    for metric, fast in (("dtw", N.near_dtw), ("lb_keogh", N.near_keogh)):
+        for k, r in ((1, 2), (4, 5), (200, 3)):
+            want = {i: sorted(zip(d, j))[:k] for i, j, d in N.nearest_rows(q, b, k, metric, lambda i: ~banned[i], r)}
+            got: dict = {}
+            for i, j, d in zip(*fast(q, b, k, banned, r)):
+                got.setdefault(i, []).append((d, j))
+            assert {i: sorted(x)[:k] for i, x in got.items()} == want and 3 not in want
