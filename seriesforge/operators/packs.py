@@ -66,7 +66,7 @@ def _slope_conf(slope: Column) -> Column:
 def _(r):
     from .fits import baseflow_array
     b = baseflow_array(v(), r.num("BFImax", 0.8), r.num("a", 0.98))
-    bfi = F.when(V.vsum(v()) > 0, V.vsum(b) / V.vsum(v())).otherwise(0.0)
+    bfi = F.when(V.vsum(v()) > 0, V.vsum(b) / V.vsum(v())).otherwise(r.num("dry_BFI", 0.0))
     return bfi > 0.5, bfi, {"Q_mean": V.vmean(v()), "Q_median": q_median(r), "BFI": bfi, "BFImax": F.lit(r.num("BFImax", 0.8))}, 1
 
 
