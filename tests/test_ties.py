@@ -25,7 +25,7 @@ def ties(tmp_path_factory):
     return str(d)
 
 
-@pytest.mark.parametrize("name", ["a06_peak_score", "a18_bump", "d01_baseflow", "f02_delta_fit", "g01_shape_classifier"])
+@pytest.mark.parametrize("name", ["a06_peak_score", "a18_bump", "d01_baseflow", "f02_delta_fit", "g01_shape_classifier", "v03_adaptive_band"])
 def test_ties_equal_sql(spark, ties, name):
     status, n, _, info = compare(spark, duck(ties), ties, name, QUERIES[name], ORACLE[name])
     assert status == "OK", (status, n, info)
