@@ -65,7 +65,7 @@ def quantile(df: DataFrame, key: str, value: Column, p: float, out: str, width:
     sizes = sizes.withColumns({"_off": F.coalesce(F.sum("_n").over(before), F.lit(0)), "_at": at})
     held = sizes.where((F.col("_off") <= F.ceil("_at")) & (F.floor("_at") < F.col("_off") + F.col("_n"))).drop("_n")
     rank = F.col("_off") + F.row_number().over(W.partitionBy(key, "_b").orderBy("_x")) - 1
-    near = rows.join(held, [key, "_b"]).withColumn("_r", rank)
+    near = rows.join(held.hint("merge"), [key, "_b"]).withColumn("_r", rank)
     ends = near.groupBy(key).agg(F.max(F.when(F.col("_r") == F.floor("_at"), F.col("_x"))).alias("_lo"),
                                  F.max(F.when(F.col("_r") == F.ceil("_at"), F.col("_x"))).alias("_hi"), F.max(F.col("_at") - F.floor("_at")).alias("_w"))
     return ends.select(key, fused(1.0 - F.col("_w"), F.col("_lo"), F.col("_w") * F.col("_hi")).alias(out))
@@ -130,7 +130,7 @@ def running_last(rows: DataFrame, cols: list[str], keys=("series_id",), t: str =
     before = W.partitionBy(*keys).orderBy("_c").rowsBetween(W.unboundedPreceding, -1)
     every = every.select(*keys, "_c", F.last("_e", ignorenulls=True).over(before).alias("_carry"))
     inside = W.partitionBy(*keys, "_c").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    r = r.withColumn("_here", F.last("_it", ignorenulls=True).over(inside)).join(every, [*keys, "_c"])
+    r = r.withColumn("_here", F.last("_it", ignorenulls=True).over(inside)).join(every.hint("merge"), [*keys, "_c"])   # rows lie by these keys already
     near = F.coalesce("_here", "_carry")
     return r.withColumns({f"last_{c}": near[c] for c in cols}).drop("_c", "_it", "_here", "_carry")
 
@@ -245,7 +245,7 @@ def neighbours(df: DataFrame, order: str, cols: list[str], key: str = "series_id
     chunks = W.partitionBy(key).orderBy("_c")
     edge = edge.select(key, "_c", (F.lag if back else F.lead)("_e").over(chunks).alias("_edge"))
     inside = W.partitionBy(key, "_c").orderBy(order)
-    rows = rows.withColumn("_near", (F.lag if back else F.lead)(item).over(inside)).join(edge, [key, "_c"])
+    rows = rows.withColumn("_near", (F.lag if back else F.lead)(item).over(inside)).join(edge.hint("merge"), [key, "_c"])    # rows lie by these keys already
     near = F.coalesce("_near", "_edge")
     return rows.withColumns({tag + c: near[c] for c in cols}).drop("_c", "_near", "_edge")
 

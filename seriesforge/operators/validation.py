@@ -191,16 +191,17 @@ def stationary_bootstrap(points: DataFrame, block: Column | float, replicates: i
     """Resampled series (key, rep, t, value): geometric blocks with wrap-around.
 
     Each grid row takes the latest restart, carried per chunk, and its source value from one equi-join on the wrapped
-    index.
+    index.  The joins are told to merge: sizes are estimated before rows are repeated per replicate, and a grid was
+    broadcast.
     """
     from .layout import running_last
     r = restarts(points, block, replicates, seed, key)
     grid = points.select(key, "t").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    g = grid.join(r.select(key, "rep", "t", F.struct("s", F.col("t").alias("at"), "n").alias("_r")), [key, "rep", "t"], "left")
+    g = grid.join(r.select(key, "rep", "t", F.struct("s", F.col("t").alias("at"), "n").alias("_r")).hint("merge"), [key, "rep", "t"], "left")
     c = running_last(g.select(key, "rep", "t", "_r.*"), ["s", "at", "n"], (key, "rep"))
     src = F.pmod(F.col("last_s") + F.col("t") - F.col("last_at"), F.col("last_n")).cast("int")
     c = c.select(key, "rep", "t", src.alias("_src"))
-    return c.join(points.select(key, F.col("t").alias("_src"), F.col(value).alias("value")), [key, "_src"]).drop("_src")
+    return c.join(points.select(key, F.col("t").alias("_src"), F.col(value).alias("value")).hint("merge"), [key, "_src"]).drop("_src")
 
 
 def bootstrap_moments(points: DataFrame, block: Column | float, replicates: int, seed: int = 7, key: str = "series_id", value: str = "value") -> DataFrame:
@@ -221,7 +222,8 @@ def bootstrap_moments(points: DataFrame, block: Column | float, replicates: int,
     ends = F.array(end(F.col("s"), -1, shift), end(F.col("_last") % F.col("n"), 1, beyond))
     whole = F.when(over, F.array(end(F.col("n") - 1, 1, shift))).otherwise(F.array().cast("array<struct<u:int,sign:int,move:double,before:boolean>>"))
     e = r.select(key, "rep", "n", F.explode(F.concat(ends, whole)).alias("e")).select(key, "rep", "n", "e.*")
-    j = e.join(p.select(key, F.col("t").alias("u"), "v", "_v", "_tv"), [key, "u"])
+    # merged as told: sizes are estimated before rows are repeated per replicate
+    j = e.join(p.select(key, F.col("t").alias("u"), "v", "_v", "_tv").hint("merge"), [key, "u"])
     own = F.when(F.col("before"), F.col("v")).otherwise(0.0)
     total, t_total = F.col("_v") - own, F.col("_tv") - own * F.col("u")
     return j.groupBy(key, "rep").agg(F.max("n").alias("n"), F.sum(F.col("sign") * total).alias("total"), F.sum(F.col("sign") * (t_total + F.col("move") * total)).alias("t_total"))

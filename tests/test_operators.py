@@ -342,3 +342,14 @@ def test_leading_share_takes_the_smaller_matrix(spark):
     assert got[2] == 0.0
     sums = packs.product_sums(df, packs.network_sizes(df))
     assert {r["network"]: r["count"] for r in sums.groupBy("network").count().collect()} == {0: 15, 1: 6, 2: 1}
+
+
+def test_bootstrap_broadcasts_no_repeated_rows(spark):
+    import re
+    rng = np.random.default_rng(4)
+    p = series(spark, *rng.normal(size=(40, 30))).select("series_id", "t", "value")
+    for df in (X.stationary_bootstrap(p, 5.0, 20), X.bootstrap_moments(p, 5.0, 20)):
+        q = df._jdf.queryExecution()
+        assert q.toRdd().count() == (40 * 30 * 20 if "t" in df.columns else 40 * 20)
+        final = q.executedPlan().toString().split("== Initial Plan ==")[0]
+        assert not re.search(r"Broadcast(HashJoin|NestedLoopJoin) \[[^\]]*(_src|\bt|\bu)#", final)
