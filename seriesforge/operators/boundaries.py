@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from ..streaming.kernels import RunLengths
-from .layout import CHUNK, boundaries_to_segments, cut_lineage, framed, running_sums
+from .layout import CHUNK, boundaries_to_segments, cut_lineage, framed, index_series, running_sums, with_halo
 from .scan import Recursion, run_ordered
 from . import windows as X
 
@@ -20,9 +20,13 @@ def spaced_top_k(cands: DataFrame, k: int, spacing: int, score: str = "score", p
 
     A chosen position has fewer than k * (2 * spacing - 1) + k better rivals, so
     keeping that many best per chunk and then per series is exact and bounds the
-    list one series hands to the final fold.
+    list one series hands to the final fold.  A k that grows with the series bounds
+    nothing: then ``spaced`` chooses by chunks and the k best are taken by rank.
     """
     need = k * (2 * spacing - 1) + k
+    if need > CHUNK:
+        kept = index_series(spaced(cands, spacing, score, pos, key).withColumn("_neg", -F.col(score)), key, ["_neg", pos], F.floor(F.col("_neg") * CHUNK), "_r")
+        return kept.where(F.col("_r") < k).select(key, pos, score)
     best = [F.col(score).desc(), F.col(pos)]
     c = cands.withColumn("_c", F.floor(F.col(pos) / CHUNK))
     c = c.withColumn("_r", F.row_number().over(W.partitionBy(key, "_c").orderBy(*best))).where(F.col("_r") <= need)
@@ -37,6 +41,49 @@ def spaced_top_k(cands: DataFrame, k: int, spacing: int, score: str = "score", p
         key, F.col("_e.p").alias(pos), (-F.col("_e.neg")).alias(score))
 
 
+def spaced(cands: DataFrame, spacing: int, score: str = "score", pos: str = "pos", key: str = "series_id", size: int = CHUNK) -> DataFrame:
+    """All positions that the greedy choice by score keeps, at least ``spacing`` apart, without a fold over the series.
+
+    A choice hangs on better rivals within ``spacing`` alone, so a chunk with a halo settles nearly all of its positions;
+    one that a rival outside the halo might decide stays open.  Taken and open positions run again in chunks twice as wide
+    until none is open; only a chain of falling scores or ties through many chunks takes more than a few rounds.
+    """
+    kind = dict(cands.dtypes)[key]
+    rows = cands.select(key, F.col(pos).cast("int").alias(pos), F.col(score).cast("double").alias(score), F.lit(False).alias("_taken"))
+    size = max(size, 16 * spacing)
+    while True:
+        halo = size // 4
+
+        def settle(pdf):
+            import numpy as np
+            pdf = pdf.sort_values(pos)
+            p, c = pdf[pos].to_numpy(np.int64), int(pdf["chunk"].iloc[0])
+            lo, hi = np.searchsorted(p, p - spacing, "right").tolist(), np.searchsorted(p, p + spacing, "left").tolist()
+            begin, end = c * size - halo, (c + 1) * size + halo
+            blind = ((begin > 0) & (p - spacing < begin - 1)) | (p + spacing > end)
+            state = bytearray(len(p))                           # 1 taken, 2 gone, 3 open
+            taken = pdf["_taken"].to_numpy(bool)
+            for i in np.flatnonzero(taken).tolist():
+                state[lo[i]:hi[i]] = b"\x02" * (hi[i] - lo[i])
+                state[i] = 1
+            for i in np.lexsort((p, -pdf[score].to_numpy())).tolist():
+                if state[i]:
+                    continue
+                if blind[i] or state.find(3, lo[i], hi[i]) >= 0:
+                    state[i] = 3
+                else:
+                    state[lo[i]:hi[i]] = b"\x02" * (hi[i] - lo[i])
+                    state[i] = 1
+            s = np.frombuffer(state, np.uint8)
+            keep = pdf["home"].to_numpy(bool) & (s != 2)
+            return pdf[keep].assign(_taken=s[keep] == 1)[[key, pos, score, "_taken"]]
+
+        rows = cut_lineage(with_halo(rows, halo, halo, size, pos).groupBy(key, "chunk").applyInPandas(settle, f"{key} {kind}, {pos} int, {score} double, _taken boolean"))
+        if rows.where("not _taken").isEmpty():
+            return rows.drop("_taken")
+        size *= 2
+
+
 def candidate_boundaries(scores: DataFrame, threshold: float = 0.35, min_length: int = 5,
                          max_boundaries: int = 8) -> DataFrame:
     """Local maxima of the boundary score, best first, spaced, capped by the caller's limit."""
@@ -154,7 +201,6 @@ def cross_match_profile(points: DataFrame, window: int, k: int = 3) -> DataFrame
     """
     reach = (2 * k + 1) * window
     n = points.groupBy("series_id").agg((F.max("t") + 1).cast("int").alias("_n"))
-    from .layout import with_halo
     rows = with_halo(points.select("series_id", "t", "value"), reach, reach + window).join(n, "series_id")
 
     def kernel(pdf):
