@@ -322,15 +322,20 @@ CYC = ", pm AS (SELECT series_id, segment_id, i%4 AS ph, avg(x-m) AS sv FROM bw
 
 def cycle_fit(spark, sf):
     from seriesforge.functions import vectors as V
-    d = seg(spark, sf).withColumn("m", V.vmean(F.col("v")))
-    phases = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: V.vmean(F.transform(F.filter(F.transform("v", lambda x, i: F.struct(
-        x.alias("x"), i.alias("i"))), lambda e: e["i"] % 4 == k), lambda e: e["x"] - F.col("m"))))
-    d = d.withColumn("ph", phases)
-    tr = F.transform("v", lambda x: F.col("m"))
-    se = F.transform("v", lambda x, i: F.get("ph", i % 4))
-    re = F.transform("v", lambda x, i: x - F.col("m") - F.get("ph", i % 4))
-    return d.select("series_id", "segment_id", F.lit("STL").alias("method"), F.create_map(F.lit("trend"), tr, F.lit("seasonal"), se, F.lit("residual"), re).alias("components"),
-                    F.create_map(F.lit("period"), F.lit(4.0)).alias("coefficients"))
+
+    def phases(s):
+        each = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: V.vmean(F.transform(F.filter(s["v"], lambda x, i: i % 4 == k), lambda x: x - s["m"])))
+        return F.struct(s["v"].alias("v"), s["m"].alias("m"), each.alias("ph"))
+
+    def parts(s):
+        tr = F.transform(s["v"], lambda x: s["m"])
+        se = F.transform(s["v"], lambda x, i: F.get(s["ph"], i % 4))
+        re = F.transform(s["v"], lambda x, i: x - s["m"] - F.get(s["ph"], i % 4))
+        return F.create_map(F.lit("trend"), tr, F.lit("seasonal"), se, F.lit("residual"), re)
+    # bound, not columns of their own: a column named in a lambda is worked out again for each element once projections merge
+    v = F.col("v")
+    comps = V.let(V.let(F.struct(v.alias("v"), V.vmean(v).alias("m")), phases), parts)
+    return seg(spark, sf).select("series_id", "segment_id", F.lit("STL").alias("method"), comps.alias("components"), F.create_map(F.lit("period"), F.lit(4.0)).alias("coefficients"))
 
 
 def cyc_sql(expr, cte="", src="bc"):
