@@ -41,9 +41,14 @@ def _stats(v: Column) -> Column:
     return F.struct(v.alias("v"), F.size(v).alias("n"), vmean(v).alias("m"))
 
 
+def _of_stats(v: Column, body) -> Column:
+    """``body`` of (v, n, mean); v itself is bound first, as the struct names it several times."""
+    return let(v, lambda w: let(_stats(w), body))
+
+
 def vvar(v: Column) -> Column:
     """Population variance, two passes."""
-    return let(_stats(v), lambda s: F.try_divide(F.aggregate(
+    return _of_stats(v, lambda s: F.try_divide(F.aggregate(
         s["v"], F.lit(0.0), lambda a, x: a + (x - s["m"]) * (x - s["m"])), s["n"]))
 
 
@@ -52,7 +57,7 @@ def vstd(v: Column) -> Column:
 
 
 def center(v: Column) -> Column:
-    return let(_stats(v), lambda s: F.transform(s["v"], lambda x: x - s["m"]))
+    return _of_stats(v, lambda s: F.transform(s["v"], lambda x: x - s["m"]))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -69,8 +74,8 @@ def norm(v: Column) -> Column:
 
 def unit(v: Column, floor: float = 1e-8) -> Column:
     """L2-normalised vector; null when the norm is near zero."""
-    return let(F.struct(v.alias("v"), norm(v).alias("n")),
-               lambda s: F.when(s["n"] > floor, F.transform(s["v"], lambda x: x / s["n"])))
+    return let(v, lambda w: let(F.struct(w.alias("v"), norm(w).alias("n")),
+                                lambda s: F.when(s["n"] > floor, F.transform(s["v"], lambda x: x / s["n"]))))
 
 
 def l2(a: Column, b: Column) -> Column:
@@ -84,7 +89,7 @@ def l1(a: Column, b: Column) -> Column:
 
 def znorm(v: Column, floor: float = 1e-8) -> Column:
     """z-normalised vector, all zeros when the deviation is below ``floor``."""
-    st = let(_stats(v), lambda s: F.struct(s["v"].alias("v"), s["m"].alias("m"), F.sqrt(F.aggregate(
+    st = _of_stats(v, lambda s: F.struct(s["v"].alias("v"), s["m"].alias("m"), F.sqrt(F.aggregate(
         s["v"], F.lit(0.0), lambda a, x: a + (x - s["m"]) * (x - s["m"])) / s["n"]).alias("sd")))
     return let(st, lambda s: F.transform(
         s["v"], lambda x: F.when(s["sd"] < floor, 0.0).otherwise((x - s["m"]) / s["sd"])))
@@ -92,7 +97,7 @@ def znorm(v: Column, floor: float = 1e-8) -> Column:
 
 def standardise(v: Column, floor: float = 1e-8) -> Column:
     """Centre, and divide by the deviation only when it exceeds ``floor``."""
-    st = let(_stats(v), lambda s: F.struct(s["v"].alias("v"), s["m"].alias("m"), F.sqrt(F.aggregate(
+    st = _of_stats(v, lambda s: F.struct(s["v"].alias("v"), s["m"].alias("m"), F.sqrt(F.aggregate(
         s["v"], F.lit(0.0), lambda a, x: a + (x - s["m"]) * (x - s["m"])) / s["n"]).alias("sd")))
     return let(st, lambda s: F.transform(
         s["v"], lambda x: (x - s["m"]) / F.when(s["sd"] > floor, s["sd"]).otherwise(1.0)))
@@ -140,10 +145,10 @@ def acf_abs_max(v: Column) -> Column:
 
 def softmax(v: Column) -> Column:
     """Stable softmax of an array."""
-    e = let(F.struct(v.alias("v"), F.array_max(v).alias("m")),
-            lambda s: F.transform(s["v"], lambda x: F.exp(x - s["m"])))
-    return let(F.struct(e.alias("e"), vsum(e).alias("t")),
-               lambda s: F.transform(s["e"], lambda x: x / s["t"]))
+    e = let(v, lambda w: let(F.struct(w.alias("v"), F.array_max(w).alias("m")),
+                             lambda s: F.transform(s["v"], lambda x: F.exp(x - s["m"]))))
+    return let(e, lambda w: let(F.struct(w.alias("e"), vsum(w).alias("t")),
+                                lambda s: F.transform(s["e"], lambda x: x / s["t"])))
 
 
 def entropy(p: Column) -> Column:

@@ -33,14 +33,15 @@ def label_segments(frames: DataFrame, support: DataFrame | None = None) -> DataF
     shaped = support.withColumn("label", F.coalesce(C.lookup(CHUNK_TO_SHAPE, F.col("label")), F.col("label")))
     rich = shaped.groupBy("label").count().where(F.col("count") >= MIN_CORRECTIONS).count() >= MIN_CLASSES
     rows = frames.where(F.size("v") >= 2).withColumn("id", F.struct("series_id", "segment_id"))
-    emb = rows.select("id", V.encode(F.col("v")).alias("v")).where("v is not null")
-    enc = lambda d: d.select("label", V.encode(F.col("v")).alias("v")).where("v is not null")
+    # an outer explode keeps the filter above the encoding, which it would otherwise repeat
+    enc = lambda d, key: d.select(key, F.explode_outer(F.array(V.encode(F.col("v")))).alias("v")).where("v is not null")
+    emb = enc(rows, "id")
     if rich:
-        c = P.classify(emb, P.build(enc(shaped)), "cosine", 0.1)
+        c = P.classify(emb, P.build(enc(shaped, "label")), "cosine", 0.1)
         out = c.select("id", F.coalesce(C.lookup(C.SHAPE_TO_CHUNK, F.col("label")), F.lit(C.CHUNK_TYPES[0])).alias("label"),
                        F.bround("confidence", 6).alias("confidence"), F.lit(None).cast("map<string,double>").alias("label_scores"))
     else:
-        c = P.chunk_probabilities(emb, P.build(enc(support)))
+        c = P.chunk_probabilities(emb, P.build(enc(support, "label")))
         out = c.select("id", "label", F.bround("confidence", 6).alias("confidence"), P.rounded_probabilities(F.col("probabilities")).alias("label_scores"))
     keep = rows.select("id", "start_index", "end_index")
     return keep.join(out, "id").select("id.*", "start_index", "end_index", "label", "confidence", "label_scores")
