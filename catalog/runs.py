@@ -265,13 +265,16 @@ def _(spark, sf):
 
 @query("x08_user_statistic")
 def _(spark, sf):
+    import numpy as np
     import pandas as pd
     from seriesforge.operators.validation import stationary_bootstrap
     G.register_functions(spark)
 
     @F.pandas_udf("double")
     def spread(v: pd.Series) -> float:
-        return float(v.quantile(0.75) - v.quantile(0.25))
+        x = v.to_numpy()
+        low, high = np.quantile(x[~np.isnan(x)], [0.25, 0.75])
+        return float(high - low)
     return G.user_statistic(stationary_bootstrap(points(spark, sf), 5.0, 10), spread)
 
 

@@ -7,6 +7,8 @@ DataFrames, kept by name.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -73,8 +75,41 @@ def linear_constraint(points: DataFrame, constraint_id: str, weight: Column, tar
 
 def user_statistic(boot: DataFrame, statistic, key: str = "series_id") -> DataFrame:
     """Bootstrap interval of a user statistic: an aggregate Column, or a grouped-aggregate pandas UDF on ``value``."""
-    from .operators.validation import bootstrap_ci
-    return bootstrap_ci(boot, statistic if isinstance(statistic, Column) else statistic("value"), key)
+    from .operators.validation import bootstrap_ci, interval
+    if isinstance(statistic, Column):
+        return bootstrap_ci(boot, statistic, key)
+    return interval(_by_replicate(boot, statistic.func, key), key)
+
+
+def _by_replicate(boot: DataFrame, statistic: Callable, key: str) -> DataFrame:
+    """(key, rep, _s): the function of each replicate's values; many small replicates share an Arrow batch, where a
+    grouped aggregate would send each in one of its own."""
+    rows = boot.select(key, "rep", "value").repartition(key, "rep").sortWithinPartitions(key, "rep")
+    kinds = dict(rows.dtypes)
+
+    def run(batches):
+        at, parts = None, []                    # the replicate that the next batch may go on with
+
+        def close():
+            return (*at, statistic(pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0]))
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            k, r = pdf[key].to_numpy(), pdf["rep"].to_numpy()
+            cuts = [0, *(np.flatnonzero((k[1:] != k[:-1]) | (r[1:] != r[:-1])) + 1).tolist(), len(pdf)]
+            out = []
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                head = (k[a], r[a])
+                if at is not None and head != at:
+                    out.append(close())
+                    parts = []
+                at = head
+                parts.append(pdf["value"].iloc[a:b].reset_index(drop=True))
+            yield pd.DataFrame(out, columns=[key, "rep", "_s"])
+        if at is not None:
+            yield pd.DataFrame([close()], columns=[key, "rep", "_s"])
+
+    return rows.mapInPandas(run, f"{key} {kinds[key]}, rep {kinds['rep']}, _s double")
 
 
 def register_functions(spark: SparkSession) -> list[str]:
