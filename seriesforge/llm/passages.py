@@ -1,14 +1,19 @@
 """Substring dedup by compact windows.
 
-The tokens of a text are its five-word shingles.  Under one min-hash function the Cartesian tree of the token hashes
-splits the subsequences of a text into compact windows (l, c, r): all that lie in [l, r] and hold c have token c as
-their minimum.  Only windows of at least ``LEAST`` tokens matter, about 2 n / LEAST per function; their centres are the
-minima of sliding windows, and left and right ends follow from the tree over these centres alone.
+The tokens of a text are its five-word shingles; ``GRAM`` of them in a row, ten words, are hashed together.  The Cartesian
+tree of these hashes splits the subsequences of a text into compact windows (l, c, r): all that lie in [l, r] and hold c
+have gram c as their minimum.  Only windows that hold all grams of ``RUN`` tokens matter, about one in eight tokens is a
+centre; the centres are the minima of sliding windows, and left and right ends follow from the tree over these alone.
 
-Windows meet by signature, the minimum alone, which no edit elsewhere in the passage disturbs.  Each signature links its
-windows to its first document; links of all functions are joined per pair of documents.  Pairs are then verified on
-their tokens: from each signature an alignment grows both ways over small edits, and a passage counts from 50 words and
-a similarity of 0.8 (Jaccard share of its shingles).
+Windows meet by signature, the minimum alone, so two texts with ``RUN`` equal tokens in a row always meet.  A passage of 0.8
+has such a run: a changed, new or lost word costs nine tokens at least (of both sides together), one gap leaves 41 equal
+tokens of 46, and m gaps leave 36 m in m + 1 runs.  (Where tokens repeat inside a passage a gap may cost less, and a passage
+without such a run is then not promised.)
+
+Each signature links its windows to its first documents, one after another; then equal stretches meet by their full hash,
+and what is still open meets every other document of its signature whose text is new and that has ``RUN`` equal tokens
+there.  Pairs are verified on their tokens: from each signature an alignment grows both ways over small edits, and a
+passage counts from 50 words and a similarity of 0.8 (Jaccard share of its shingles).
 
 Null and empty texts and texts below 50 words have no window and yield no rows, nor do passages repeated inside one
 text alone.  The document that comes first in the input is the source; repeated rows count as documents of their own.
@@ -27,8 +32,10 @@ from .words import IS_WORD, SHINGLE, shingle_hashes, word_hashes
 
 WORDS = 50
 LEAST = WORDS - SHINGLE + 1
-HASHES = 5
-ROUNDS = 3                  # documents of a signature that later ones are aligned with, one after another
+GRAM = SHINGLE + 1          # tokens of a gram: two shingles side by side
+RUN = 21                    # equal tokens in a row that every passage has
+SIDE = (RUN - GRAM + 2) // 2    # equal tokens that such a run has on one side of its gram at least
+ROUNDS = 3                  # documents of a signature that later ones are aligned with one after another, before all others
 THRESHOLD = 0.8
 GAP = 3 * SHINGLE           # tokens that an edit may disturb inside a passage
 
@@ -81,20 +88,26 @@ def compact_windows(g: np.ndarray, off: np.ndarray, least: int = LEAST) -> tuple
     return c, np.array(left, np.int64), np.array(right, np.int64)
 
 
-def windows(docs: DataFrame, hashes: int = HASHES) -> DataFrame:
-    """key, f, _uid, c, l, r: the signature of each window under function f and its token interval in the text."""
+def grams(sh: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each gram and gram offsets per text; gram i of a text starts at its token i."""
+    n = np.maximum(np.diff(off) - GRAM + 1, 0)
+    at = ragged(off[:-1], n)
+    with np.errstate(over="ignore"):
+        return mix64(sh[at] + mix64(sh[at + SHINGLE], 7), 100), np.append(0, np.cumsum(n))
+
+
+def windows(docs: DataFrame) -> DataFrame:
+    """key, _uid, c, l, r: the signature of each window and its interval of grams in the text."""
     def run(batches):
         for whole in batches:
             for batch in slices(whole, "text", 1_000_000):
-                sh, off = shingle_hashes(*word_hashes(batch.column("text"))[:2])
+                g, off = grams(*shingle_hashes(*word_hashes(batch.column("text"))[:2]))
                 uid = batch.column("_uid").to_numpy(zero_copy_only=False)
-                for f in range(hashes):
-                    c, l, r = compact_windows(mix64(sh, 100 + f), off)
-                    key = mix64(sh[c], f).view(np.int64)
-                    t = np.searchsorted(off, c, side="right") - 1
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(c), f, np.int8)), pa.array(uid[t]), *(pa.array((x - off[t]).astype(np.int32)) for x in (c, l, r))],
-                                                     ["key", "f", "_uid", "c", "l", "r"])
-    return docs.mapInArrow(run, "key long, f byte, _uid long, c int, l int, r int")
+                c, l, r = compact_windows(g, off, RUN - GRAM + 1)
+                t = np.searchsorted(off, c, side="right") - 1
+                yield pa.RecordBatch.from_arrays([pa.array(g[c].view(np.int64)), pa.array(uid[t]), *(pa.array((x - off[t]).astype(np.int32)) for x in (c, l, r))],
+                                                 ["key", "_uid", "c", "l", "r"])
+    return docs.mapInArrow(run, "key long, _uid long, c int, l int, r int")
 
 
 def shared_windows(docs: DataFrame) -> DataFrame:
@@ -103,23 +116,56 @@ def shared_windows(docs: DataFrame) -> DataFrame:
     return saved(windows(docs).join(several, "key"))
 
 
+def opened(rows: DataFrame, settled: DataFrame) -> DataFrame:
+    """``rows`` with ``open``: whether the centre lies outside all passages already found (``settled``: _uid, spans)."""
+    inside = F.exists("spans", lambda x: (x["s"] <= F.col("c")) & (F.col("c") < x["e"]))
+    return rows.join(settled, "_uid", "left").withColumn("open", ~F.coalesce(inside, F.lit(False))).drop("spans")
+
+
 def linked(members: DataFrame, settled: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) of each signature's first document with all later ones, and the windows of those later ones.
 
-    Windows whose centre lies in a passage already found (``settled``: _uid, spans) seek no source any more, but stay as
-    sources of others."""
+    Windows inside a passage already found seek no source any more, but stay as sources of others; a signature that
+    nobody seeks goes."""
+    if settled is not None:
+        marked = saved(opened(members, settled))
+        seeks = saved(marked.where("open").select("key").distinct())
+        members = marked.join(seeks, "key")
     lead = (members.groupBy("key").agg(F.min(F.struct("_uid", "c")).alias("f"), F.min(F.struct("_uid", -F.col("c"))).alias("g"), F.max("_uid").alias("last"))
             .where("last > f._uid").select("key", F.col("f._uid").alias("a"), F.col("f.c").alias("ca0"), (-F.col("g.col2")).alias("ca1")))
     rest = saved(members.join(saved(lead), "key").where("_uid > a"))
-    seek = rest
-    if settled is not None:
-        seek = rest.join(settled, "_uid", "left").where(~F.coalesce(F.exists("spans", lambda x: (x["s"] <= F.col("c")) & (F.col("c") < x["e"])), F.lit(False)))
-    return _pairs(seek), rest.select("key", "f", "_uid", "c", "l", "r")
+    seek = (rest if settled is None else rest.where("open")).withColumn("cs", F.array("c"))
+    return _pairs(seek), rest.select("key", "_uid", "c", "l", "r")
+
+
+def remaining(left: DataFrame, settled: DataFrame, tok: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the windows still open with all earlier documents of their signature, whatever their number.
+
+    Of documents with equal tokens the first stands for all.  A run of ``RUN`` tokens that holds the gram has ``SIDE``
+    tokens before or after it, so windows meet by these as well.  Stretches of one token alone (a word written many times)
+    do not meet: what is equal for ``LEAST`` tokens is found as that, and two runs around a gap hold 36 different tokens, so
+    one of them goes through such stretches and their surroundings meet."""
+    marked = saved(opened(left, settled))
+    marked = marked.join(saved(marked.where("open").select("key").distinct()), "key")
+    own = tok.join(saved(marked.select("_uid").distinct()).hint("merge"), "_uid", "left_semi")
+    text = saved(own.select("_uid", F.sha2("tokens", 256).alias("h")))
+    first = saved(text.groupBy("h").agg(F.min("_uid").alias("_uid")).select("_uid", F.lit(True).alias("new")))
+    size = (F.octet_length("tokens") / 4).cast("int")
+    part = lambda lo, n: F.substring(F.col("tokens"), lo * 4 + 1, F.lit(n * 4))
+    wide = lambda lo: F.when((lo >= 0) & (lo + GRAM + SIDE <= size) & (part(lo, GRAM + SIDE - 1) != part(lo + 1, GRAM + SIDE - 1)), F.xxhash64(part(lo, GRAM + SIDE)))
+    sides = F.array(F.struct(F.lit(0).alias("side"), wide(F.col("c") - SIDE).alias("h")), F.struct(F.lit(1).alias("side"), wide(F.col("c")).alias("h")))
+    rows = marked.join(tok, "_uid").join(first, "_uid", "left").select("key", "_uid", "c", "l", "r", "open", "new", F.explode(sides).alias("x"))
+    rows = saved(rows.where("x.h is not null").select("key", "x.side", "x.h", "_uid", "c", "l", "r", "open", "new"))
+    place = ["key", "side", "h"]        # a text may hold a stretch many times
+    source = saved(rows.where("new").groupBy(*place, F.col("_uid").alias("a")).agg(F.min("c").alias("ca0"), F.max("c").alias("ca1")))
+    seek = saved(rows.where("open").groupBy(*place, "_uid").agg(F.collect_set("c").alias("cs"), F.min("l").alias("l"), F.max("r").alias("r")))
+    return _pairs(seek.hint("merge").join(source, place).where("a < _uid"))
 
 
 def _pairs(met: DataFrame) -> DataFrame:
-    return saved(met.groupBy("a", F.col("_uid").alias("b")).agg(F.min("ca0").alias("a0"), F.max("ca1").alias("a1"), F.min("c").alias("b0"), F.max("c").alias("b1"),
-                                                                F.min("l").alias("bl"), F.max("r").alias("br"), F.collect_set("c").alias("cs")))
+    got = met.groupBy("a", F.col("_uid").alias("b")).agg(F.min("ca0").alias("a0"), F.max("ca1").alias("a1"), F.min("l").alias("bl"), F.max("r").alias("br"),
+                                                         F.array_distinct(F.flatten(F.collect_list("cs"))).alias("cs"))
+    return saved(got.withColumns({"b0": F.array_min("cs"), "b1": F.array_max("cs")}))
 
 
 def _run(a: np.ndarray, b: np.ndarray) -> int:
@@ -171,14 +217,28 @@ def _best(runs: np.ndarray, threshold: float) -> list[tuple[int, int]]:
     return out
 
 
+def _edges(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last place of the run of one repeated token that each place lies in."""
+    cut = np.flatnonzero(x[1:] != x[:-1]) + 1
+    first, last = np.append(0, cut), np.append(cut, len(x)) - 1
+    return np.repeat(first, last - first + 1), np.repeat(last, last - first + 1)
+
+
 def passages(a: np.ndarray, b: np.ndarray, anchors: np.ndarray | None = None, least: int = LEAST, threshold: float = THRESHOLD) -> list[tuple[int, int, int, int, float]]:
     """(start, end) in a and in b, in tokens, and similarity of the passages that ``b`` repeats from ``a``.
 
     From each place of b in ``anchors`` (all, unless given) and every place of that token in a the alignment grows both
-    ways, over edits of up to ``GAP`` tokens."""
-    order = np.argsort(a, kind="stable")
+    ways, over edits of up to ``GAP`` tokens.  Runs of one repeated token are laid on each other by their first or their last
+    places: what lies between shares no more."""
+    if not len(a) or not len(b):
+        return []
+    (first_a, last_a), (first_b, last_b) = _edges(a), _edges(b)
+    anchors = np.arange(len(b)) if anchors is None else anchors
+    anchors = np.unique(np.concatenate([first_b[anchors], last_b[anchors]]))
+    every = np.arange(len(a))
+    order = np.flatnonzero((first_a == every) | (last_a == every))
+    order = order[np.argsort(a[order], kind="stable")]
     ranked = a[order]
-    anchors = np.arange(len(b)) if anchors is None else np.unique(anchors)
     first, last = np.searchsorted(ranked, b[anchors], "left"), np.searchsorted(ranked, b[anchors], "right")
     out: list[tuple[int, int, int, int, float]] = []
     seen: set[tuple[int, int]] = set()          # (place in b, diagonal) of anchors inside alignments that were tried
@@ -186,7 +246,9 @@ def passages(a: np.ndarray, b: np.ndarray, anchors: np.ndarray | None = None, le
     for j, (lo, hi) in at.items():
         if any(p[2] <= j < p[3] for p in out):
             continue
-        for i in order[lo:hi].tolist():
+        at_i = order[lo:hi]
+        at_i = at_i[((first_b[j] == j) & (first_a[at_i] == at_i)) | ((last_b[j] == j) & (last_a[at_i] == at_i))]
+        for i in at_i.tolist():
             if (j, i - j) in seen:
                 continue
             back = [(i + 1 - x - n, j + 1 - y - n, n) for x, y, n in _grow(a[i::-1], b[j::-1], GAP)][::-1]
@@ -234,23 +296,32 @@ def _found(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def verified(pairs: DataFrame, tok: DataFrame) -> DataFrame:
-    """Passages of each pair around its signatures."""
-    # a passage that holds a shared signature lies inside b's windows; in a it reaches as far from the signature
-    reach = F.lit(2 * LEAST)
-    near = pairs.withColumns({"lo_b": F.greatest(F.col("bl"), F.lit(0)), "hi_b": F.col("br") + 1})
+    """Passages of each pair around its signatures; places inside a passage that ``b`` has from a document met before are
+    not tried again."""
+    # past its outermost runs of ``RUN`` tokens a passage goes on for less than twice what they hold
+    reach = F.lit(4 * LEAST)
+    wide = 2 * (F.col("b1") - F.col("b0")) + reach
+    near = pairs.withColumns({"lo_b": F.greatest(F.col("bl") - wide, F.lit(0)), "hi_b": F.col("br") + GRAM + wide})
     near = near.withColumns({"lo_a": F.greatest(F.col("a0") - F.ceil((F.col("b1") - F.col("lo_b")) * 1.25).cast("int") - reach, F.lit(0)),
                              "hi_a": F.col("a1") + F.ceil((F.col("hi_b") - F.col("b0")) * 1.25).cast("int") + reach})
     cut = lambda lo, hi: F.substring(F.col("tokens"), F.col(lo) * 4 + 1, (F.col(hi) - F.col(lo)) * 4)
     with_a = near.join(tok.withColumnRenamed("_uid", "a"), "a").select("a", "b", "lo_a", "lo_b", "hi_b", "cs", cut("lo_a", "hi_a").alias("ta"))
-    with_b = with_a.join(tok.withColumnRenamed("_uid", "b"), "b").select("a", "b", "lo_a", "lo_b", "cs", "ta", cut("lo_b", "hi_b").alias("tb"))
+    with_b = with_a.hint("merge").join(tok.withColumnRenamed("_uid", "b"), "b").select("a", "b", "lo_a", "lo_b", "cs", "ta", cut("lo_b", "hi_b").alias("tb")).sortWithinPartitions("b", "a")
 
     def run(batches):
+        now, spans = None, []
         for batch in batches:
             rows = []
             for a, b, lo_a, lo_b, cs, ta, tb in zip(*(batch.column(c) for c in ("a", "b", "lo_a", "lo_b", "cs", "ta", "tb"))):
                 x, y = np.frombuffer(ta.as_buffer(), np.uint32), np.frombuffer(tb.as_buffer(), np.uint32)
                 da, db = lo_a.as_py(), lo_b.as_py()
-                for a0, a1, b0, b1, sim in passages(x, y, np.array(cs.as_py()) - db):
+                if b.as_py() != now:
+                    now, spans = b.as_py(), []
+                at = np.array(cs.as_py(), np.int64)
+                for p, q in spans:
+                    at = at[(at < p) | (at >= q)]
+                for a0, a1, b0, b1, sim in passages(x, y, at - db) if len(at) else []:
+                    spans.append((b0 + db, b1 + db))
                     rows.append((a.as_py(), b.as_py(), a0 + da, a1 + da + SHINGLE - 1, b0 + db, b1 + db + SHINGLE - 1, sim))
             yield _found(rows)
 
@@ -266,13 +337,14 @@ def spans_of(found: DataFrame) -> DataFrame:
 def equal_stretches(members: DataFrame, tok: DataFrame, settled: DataFrame) -> DataFrame:
     """Equal passages that are not yet inside a found one, whatever other documents share their signatures.
 
-    A stretch of ``LEAST`` tokens has one minimum under a function, so it belongs to one window; the stretches of windows
-    whose signature still has an open one are joined by the hash of all their tokens."""
-    own = members.where("f = 0").groupBy("_uid").agg(F.collect_list(F.struct("key", "c", "l", "r")).alias("w"))
+    A stretch of ``LEAST`` tokens has one smallest gram, so it belongs to one window; the stretches of windows whose
+    signature still has an open one are joined by the hash of all their tokens."""
+    held = LEAST - GRAM + 1
+    members = members.where(F.col("r") - F.col("l") + 1 >= held)
 
     def starts(w):
         c, l, r = (np.array([x[k] for x in w], np.int64) for k in ("c", "l", "r"))
-        lo, hi = np.maximum(l, c - LEAST + 1), np.minimum(c, r - LEAST + 1)
+        lo, hi = np.maximum(l, c - held + 1), np.minimum(c, r - held + 1)
         n = np.maximum(hi - lo + 1, 0)
         return ragged(lo, n), np.repeat(np.array([x["key"] for x in w], np.int64), n)
 
@@ -302,11 +374,11 @@ def equal_stretches(members: DataFrame, tok: DataFrame, settled: DataFrame) -> D
                                                  ["h", "_uid", "i", "open"])
 
     # the first document of a signature has nothing before it
-    leads = saved(members.where("f = 0").groupBy("key").agg(F.min("_uid").alias("a")))
-    seeks = members.where("f = 0").join(leads, "key").where("_uid > a")
+    leads = saved(members.groupBy("key").agg(F.min("_uid").alias("a")))
+    seeks = members.join(leads, "key").where("_uid > a")
     seeks = seeks.groupBy("_uid").agg(F.collect_list(F.struct("key", "c", "l", "r")).alias("w"))
     open_ = saved(seeks.join(settled, "_uid", "left").mapInArrow(keys, "key long").distinct())
-    part = members.where("f = 0").join(open_, "key").groupBy("_uid").agg(F.collect_list(F.struct("key", "c", "l", "r")).alias("w"))
+    part = members.join(open_, "key").groupBy("_uid").agg(F.collect_list(F.struct("key", "c", "l", "r")).alias("w"))
     rows = saved(part.join(settled, "_uid", "left").join(tok, "_uid").mapInArrow(hashes, "h long, _uid long, i int, open boolean"))
     first = rows.groupBy("h").agg(F.min(F.struct("_uid", "i")).alias("f"), F.max("_uid").alias("last")).where("last > f._uid").select("h", F.col("f._uid").alias("a"), F.col("f.i").alias("ia"))
     met = rows.where("open").join(saved(first), "h").where("_uid > a").groupBy("a", F.col("_uid").alias("b")).agg(F.array_sort(F.collect_list(F.struct("i", "ia"))).alias("at"))
@@ -340,6 +412,8 @@ def repeated_passages(docs: DataFrame, text: str = "text", id_col: str = "doc_id
         found = new if found is None else found.unionByName(new)
         settled = spans_of(found)
     found = found.unionByName(equal_stretches(members, tok, settled))
+    settled = spans_of(found)
+    found = found.unionByName(verified(remaining(left, settled, tok), tok))
     ids = base.select("_uid", "doc_id")
     return (found.join(ids.select(F.col("_uid").alias("a"), F.col("doc_id").alias("source_id")), "a")
             .join(ids.withColumnRenamed("_uid", "b"), "b")

@@ -205,6 +205,20 @@ def test_equal_passages_are_not_hidden_by_earlier_parts_of_them(spark):
     assert want <= got, (len(want - got), len(want))
 
 
+def test_edited_passages_are_not_hidden_by_many_earlier_parts_of_them(spark):
+    """Five earlier documents hold two overlapping parts of a passage, a sixth all of it; a later one repeats it edited."""
+    texts, want = [], set()
+    for trial in range(12):
+        w = [f"q{trial}w{i}" for i in range(60)]
+        for k in range(5):
+            texts.append(f"{prose(100 * trial + k, 30)} {' '.join(w[:35])} {prose(100 * trial + k + 7, 30)} {' '.join(w[25:])} {prose(100 * trial + k + 14, 30)}")
+        want.add((len(texts) + 1, len(texts)))
+        place = 10 + 3 * trial
+        texts += [f"{prose(100 * trial + k, 30)} {' '.join(v)} {prose(100 * trial + k + 3, 30)}" for k, v in ((31, w), (42, w[:place] + ["new"] + w[place + 1:]))]
+    got = {(r.doc_id, r.source_id) for r in passages.repeated_passages(table(spark, texts)).collect()}
+    assert want <= got, (len(want - got), len(want))
+
+
 def test_wholly_repeated_text_goes(spark):
     t = prose(70, 90)
     assert [r.doc_id for r in passages.cut_passages(table(spark, [t, t + "."])).collect()] == [0]
