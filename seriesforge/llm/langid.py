@@ -34,6 +34,7 @@ UNIFORM = 8.0               # bits of a byte without any model
 FOREIGN = 12.0              # bits a byte that a text of a learned language may cost where no labelled text was held out
 TAIL, BINS, ENOUGH = 0.999, 32, 1000    # quantile, histogram bins a bit, and texts that a length class is judged by at least
 PART = 4096                 # bytes of a part of a text that the training sample takes or leaves
+CHUNK = 1024                # contexts whose code lengths are worked out at once
 EVIDENCE = 64               # bytes of evidence that a score counts at most
 _models: dict = {}
 
@@ -138,25 +139,32 @@ def tables(model: Counts) -> tuple[np.ndarray, np.ndarray]:
         if k == ORDER and len(keep) > model.contexts:
             size = np.bincount(n, weights=np.concatenate([r[2] for r in rows]))
             keep = np.sort(keep[np.lexsort((keep, -size))[:model.contexts]])
-        # a context's parent leaves out its oldest byte
-        grown = cost[node_of[keep % base ** (k - 1)] if k else np.zeros(len(keep), np.int64)].copy()
-        for j, (ctx, code, count) in enumerate(rows):
+        found = []
+        for ctx, code, count in rows:
             at = np.searchsorted(keep, ctx)
             ok = (at < len(keep)) & (keep[np.minimum(at, len(keep) - 1)] == ctx) if len(keep) else np.zeros(len(ctx), bool)
             at, code, count = at[ok], code[ok], count[ok]
-            total = np.bincount(at, weights=count, minlength=len(keep))
-            kinds = np.bincount(at, minlength=len(keep))
-            has = total > 0
-            grown[has, :, j] += -np.log2(kinds[has] / (total[has] + kinds[has]))[:, None]
-            grown[at, code, j] = -np.log2(count / (total + kinds)[at])
+            found.append((at, code, count, np.bincount(at, weights=count, minlength=len(keep)), np.bincount(at, minlength=len(keep))))
+        # a context's parent leaves out its oldest byte
+        parent = node_of[keep % base ** (k - 1)] if k else np.zeros(len(keep), np.int64)
+        grown = np.empty((len(keep), base, langs), np.float32 if k == ORDER else np.float64)
+        for lo in range(0, len(keep), CHUNK):   # the last order has most contexts; all at once in double precision cost a worker twice the table
+            some = slice(lo, lo + CHUNK)
+            part = cost[parent[some]]
+            for j, (at, code, count, total, kinds) in enumerate(found):
+                has = np.flatnonzero(total[some] > 0)
+                part[has, :, j] += -np.log2(kinds[some][has] / (total[some] + kinds[some])[has])[:, None]
+                own = (at >= lo) & (at < lo + CHUNK)
+                part[at[own] - lo, code[own], j] = -np.log2(count[own] / (total + kinds)[at[own]])
+            grown[some] = part
         if k == 0:
             cost, node_of = (grown if len(keep) else cost), np.zeros(1, np.int64)
         else:
             node = node_of[np.arange(base ** k) % base ** (k - 1)]      # unseen: what the shorter context has
             node[keep] = len(cost) + np.arange(len(keep))
-            cost, node_of = np.concatenate([cost, grown]), node
+            cost, node_of = np.concatenate([cost.astype(grown.dtype), grown]), node
     _models.clear()
-    _models[model.ident] = node_of.astype(np.int32), np.ascontiguousarray(cost.reshape(-1, langs).astype(np.float32))
+    _models[model.ident] = node_of.astype(np.int32), np.ascontiguousarray(cost.reshape(-1, langs), np.float32)
     return _models[model.ident]
 
 
@@ -197,7 +205,7 @@ def predict(docs: DataFrame, model: Counts, text: str = "text", carry: list[str]
             state["model"] = pickle.loads(shared.value)
         m = state["model"]
         for whole in batches:
-            for batch in slices(whole, raw, 1_000_000):
+            for batch in slices(whole, raw, 250_000):
                 data, off = buffer(batch.column(raw))
                 bits = code_lengths(m, data, off)
                 size = np.diff(off)
