@@ -38,6 +38,8 @@ SIDE = (RUN - GRAM + 2) // 2    # equal tokens that such a run has on one side o
 ROUNDS = 3                  # documents of a signature that later ones are aligned with one after another, before all others
 THRESHOLD = 0.8
 GAP = 3 * SHINGLE           # tokens that an edit may disturb inside a passage
+REACH = 8 * LEAST           # tokens around a gram by which pairs are told apart before they are aligned
+PART = 512                  # sources of a stretch that a task holds
 
 
 def _slide(x: np.ndarray, width: int, best) -> np.ndarray:
@@ -138,13 +140,71 @@ def linked(members: DataFrame, settled: DataFrame | None) -> tuple[DataFrame, Da
     return _pairs(seek), rest.select("key", "_uid", "c", "l", "r")
 
 
+class Around:
+    """Tokens of many sources around one gram: each token with its source and with how many different tokens of the source lie
+    between it and the gram, itself included (negative before the gram, 0 inside)."""
+
+    def __init__(self, held: list[np.ndarray], at: list[int], once: list[bool]):
+        far = []
+        for x, g in zip(held, at):
+            new = np.zeros(len(x), np.int32)
+            new[np.unique(x, return_index=True)[1]] = 1
+            far.append(np.concatenate([-np.cumsum(new[:g][::-1])[::-1], np.zeros(len(x[g:g + GRAM]), np.int32), np.cumsum(new[g + GRAM:])]))
+        all_, far = np.concatenate(held), np.concatenate(far)
+        order = np.lexsort((-np.abs(far), all_))
+        self.n, self.once = len(held), np.array(once)
+        self.ranked, self.far, self.owner = all_[order], far[order], np.repeat(np.arange(len(held)), [len(x) for x in held])[order]
+
+    def hopeful(self, x: np.ndarray, at: int, rest: tuple[int, int]) -> np.ndarray:
+        """Which sources may have a passage through the gram at ``at`` of the tokens ``x``.
+
+        A passage begins and ends with a token of the source, its shared tokens are ``THRESHOLD`` of all, and never more than
+        ``GAP`` side by side are none of the source's.  ``rest`` counts the tokens before and after ``x``, which may all be
+        equal.  Repeated tokens count once at most where they are lost, and where the source has the gram many times
+        (not ``once``) what it loses is not counted."""
+        lo, hi = np.searchsorted(self.ranked, x, "left"), np.searchsorted(self.ranked, x, "right")
+        hit = ragged(lo, hi - lo)
+        own, place, far = self.owner[hit], np.repeat(np.arange(len(x)), hi - lo), self.far[hit]
+        good = np.zeros((self.n, len(x)), bool)
+        good[own, place] = True
+        away = np.full((self.n, len(x)), np.inf, np.float32)
+        fits = ((place < at) & (far < 0)) | ((place >= at + GRAM) & (far > 0))
+        away[own[fits], place[fits]] = np.abs(far[fits])        # of many the nearest comes last
+        new = np.zeros(len(x), bool)
+        new[np.unique(x, return_index=True)[1]] = True
+
+        def side(cols: slice, turn: int, more: int) -> np.ndarray:
+            """Best balance of shared and lost tokens of the stretches of k tokens at least, for each k, outwards."""
+            ok, lost, away_ = good[:, cols][:, ::turn], (~good & new)[:, cols][:, ::turn], away[:, cols][:, ::turn]
+            size = ok.shape[1]
+            far = np.arange(1, size + 1)
+            dead = far - np.maximum.accumulate(np.where(ok, far, 0), axis=1) > GAP
+            dead = np.logical_or.accumulate(dead, axis=1)
+            shared, gone = np.cumsum(ok, axis=1, dtype=np.float32), np.cumsum(lost, axis=1, dtype=np.float32)
+            loose = (1 - THRESHOLD) * shared - THRESHOLD * gone
+            out = np.full((self.n, max(size + 1, LEAST - GRAM + 1) + 1), -np.inf, np.float32)
+            out[:, 0] = 0
+            out[:, 1:size + 1] = np.where(dead | ~ok, -np.inf, np.where(self.once[:, None], shared - THRESHOLD * (gone + away_), loose))
+            if more:                                # stretches that leave x count as long enough
+                out[:, -1] = np.where(dead[:, -1], -np.inf, loose[:, -1] + (1 - THRESHOLD) * more) if size else (1 - THRESHOLD) * more
+            return np.maximum.accumulate(out[:, ::-1], axis=1)[:, ::-1]
+
+        left, right = side(slice(0, at), -1, rest[0]), side(slice(at + GRAM, None), 1, rest[1])
+        i = np.arange(LEAST - GRAM + 1)
+        return (left[:, i] + right[:, LEAST - GRAM - i]).max(axis=1) + GRAM * (1 - THRESHOLD) >= -1e-3
+
+
 def remaining(left: DataFrame, settled: DataFrame, tok: DataFrame) -> DataFrame:
-    """Pairs (a, b) of the windows still open with all earlier documents of their signature, whatever their number.
+    """Pairs (a, b) of the windows still open with all earlier documents of their signature, whatever their number, that may
+    have a passage there.
 
     Of documents with equal tokens the first stands for all.  A run of ``RUN`` tokens that holds the gram has ``SIDE``
     tokens before or after it, so windows meet by these as well.  Stretches of one token alone (a word written many times)
     do not meet: what is equal for ``LEAST`` tokens is found as that, and two runs around a gap hold 36 different tokens, so
-    one of them goes through such stretches and their surroundings meet."""
+    one of them goes through such stretches and their surroundings meet.
+
+    Sources of a stretch are dealt into parts of about ``PART``; every open window meets every part, and only pairs that
+    ``Around.hopeful`` leaves become rows."""
     marked = saved(opened(left, settled))
     marked = marked.join(saved(marked.where("open").select("key").distinct()), "key")
     own = tok.join(saved(marked.select("_uid").distinct()).hint("merge"), "_uid", "left_semi")
@@ -157,9 +217,44 @@ def remaining(left: DataFrame, settled: DataFrame, tok: DataFrame) -> DataFrame:
     rows = marked.join(tok, "_uid").join(first, "_uid", "left").select("key", "_uid", "c", "l", "r", "open", "new", F.explode(sides).alias("x"))
     rows = saved(rows.where("x.h is not null").select("key", "x.side", "x.h", "_uid", "c", "l", "r", "open", "new"))
     place = ["key", "side", "h"]        # a text may hold a stretch many times
-    source = saved(rows.where("new").groupBy(*place, F.col("_uid").alias("a")).agg(F.min("c").alias("ca0"), F.max("c").alias("ca1")))
-    seek = saved(rows.where("open").groupBy(*place, "_uid").agg(F.collect_set("c").alias("cs"), F.min("l").alias("l"), F.max("r").alias("r")))
-    return _pairs(seek.hint("merge").join(source, place).where("a < _uid"))
+    source = saved(rows.where("new").groupBy(*place, F.col("_uid").alias("a")).agg(F.min("c").alias("c"), F.max("c").alias("last")))
+    several = saved(source.groupBy(*place).agg(F.min("a").alias("a"), F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
+                    .join(rows.where("open").groupBy(*place).agg(F.max("_uid").alias("b")).hint("merge"), place).where("a < b").select(*place, "a", "parts"))
+    seek = rows.where("open").join(several.hint("merge"), place).where("a < _uid").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    source = source.join(several.drop("a").hint("merge"), place).withColumn("part", F.pmod(F.xxhash64("a"), "parts").cast("int"))
+    cut = lambda lo, hi: F.substring(F.col("tokens"), lo * 4 + 1, (hi - lo) * 4)
+    seek = seek.withColumns({"lo": F.greatest(F.col("c") - REACH, F.lit(0)), "hi": F.col("c") + GRAM + REACH, "last": F.col("c"), "seeks": F.lit(True)})
+    source = source.withColumns({"lo": F.greatest(F.col("c") - 2 * REACH, F.lit(0)), "hi": F.col("last") + GRAM + 2 * REACH, "l": F.lit(0), "r": F.lit(0), "seeks": F.lit(False)}).withColumnRenamed("a", "_uid")
+    group = [*place, "part"]
+    cols = [*group, "seeks", "_uid", "c", "last", "l", "r", "lo"]
+    both = seek.select(*cols, "hi").unionByName(source.select(*cols, "hi")).hint("merge").join(tok, "_uid").select(*cols, size.alias("size"), cut(F.col("lo"), F.col("hi")).alias("t"))
+    both = both.repartition(*group).sortWithinPartitions(*group, "seeks")
+
+    def run(batches):
+        now, uid, spans, held, index = None, [], [], [], None
+        for batch in batches:
+            out = []
+            names = [batch.column(c).to_pylist() for c in [*group, "seeks", "_uid", "c", "last", "l", "r", "lo", "size"]]
+            for *g, seeks, u, c, last, l, r, lo, n, t in zip(*names, batch.column("t")):
+                if g != now:
+                    now, uid, spans, held, index = g, [], [], [], None
+                x = np.frombuffer(t.as_buffer(), np.uint32)
+                if not seeks:
+                    uid.append(u)
+                    spans.append((c, last, c - lo))
+                    held.append(x.copy())
+                    continue
+                if not uid:
+                    continue
+                if index is None:
+                    index, ids = Around(held, [p[2] for p in spans], [p[0] == p[1] for p in spans]), np.array(uid, np.int64)
+                for k in np.flatnonzero(index.hopeful(x, c - lo, (lo, n - lo - len(x))) & (ids < u)).tolist():
+                    out.append((uid[k], u, *spans[k][:2], c, l, r))
+            columns = list(zip(*out)) or [[]] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64() if k < 2 else pa.int32()) for k, v in enumerate(columns)], ["a", "_uid", "ca0", "ca1", "c", "l", "r"])
+
+    met = saved(both.mapInArrow(run, "a long, _uid long, ca0 int, ca1 int, c int, l int, r int"))
+    return _pairs(met.withColumn("cs", F.array("c")))
 
 
 def _pairs(met: DataFrame) -> DataFrame:
@@ -196,27 +291,50 @@ def _grow(a: np.ndarray, b: np.ndarray, gap: int) -> list[tuple[int, int, int]]:
         i, j = i + int(x[k]), j + int(y[k])
 
 
-def _best(runs: np.ndarray, threshold: float) -> list[tuple[int, int]]:
-    """Longest stretches of runs, first to last, whose shared tokens are ``threshold`` of all; the longest goes first."""
+def _balance(runs: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ends of the runs; for each run as the last and as the first of a stretch, the balance of shared and other tokens up to
+    there: a stretch holds ``threshold`` shared ones if it is no less at its last run than at its first."""
     ends = runs[:, :2] + runs[:, 2:]
     loss = np.append(0, (runs[1:, :2] - ends[:-1]).sum(axis=1) * threshold)
+    upto = np.cumsum((1.0 - threshold) * runs[:, 2] - loss)
+    return ends, upto, np.append(0.0, upto[:-1]) - loss
+
+
+def _longest(runs: np.ndarray, ends: np.ndarray, upto: np.ndarray, before: np.ndarray, lo: int, hi: int, s: int, e: int) -> tuple[int, int] | None:
+    """Longest stretch inside [lo, hi) that begins by run ``s`` and ends from run ``e`` on and holds enough shared tokens."""
+    high = np.maximum.accumulate(upto[e:hi][::-1])[::-1]        # falls, so the last run that still pays is found by bisection
+    last = hi - np.searchsorted(high[::-1], before[lo:s + 1] - 1e-9, side="left") - 1
+    last = np.where(last >= np.maximum(np.arange(lo, s + 1), e), last, -1)
+    size = np.where(last >= 0, ends[last, 1] - runs[lo:s + 1, 1], -1)
+    k = int(size.argmax())
+    return (lo + k, int(last[k]) + 1) if size[k] >= 0 else None
+
+
+def _best(runs: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Longest stretches of runs, first to last, whose shared tokens are ``threshold`` of all; the longest goes first."""
+    ends, upto, before = _balance(runs, threshold)
     out, todo = [], [(0, len(runs))]
     while todo:
         lo, hi = todo.pop()
         if lo >= hi:
             continue
-        n = hi - lo
-        upto = np.cumsum((1.0 - threshold) * runs[lo:hi, 2] - loss[lo:hi])
-        before = np.append(0.0, upto[:-1]) - loss[lo:hi]
-        high = np.maximum.accumulate(upto[::-1])[::-1]      # falls, so the last run that still pays is found by bisection
-        last = n - np.searchsorted(high[::-1], before - 1e-9, side="left") - 1
-        k = int((ends[lo + last, 1] - runs[lo:hi, 1]).argmax())
-        s, e = lo + k, lo + int(last[k]) + 1
+        s, e = _longest(runs, ends, upto, before, lo, hi, hi - 1, lo)
         out.append((s, e))
         todo += [(lo, s), (e, hi)]
     return out
 
 
+def _passage(a: np.ndarray, b: np.ndarray, runs: np.ndarray, least: int, threshold: float) -> tuple[int, int, int, int, float] | None:
+    """The stretch from the first to the last of ``runs``, if it is long and similar enough."""
+    (a0, b0), (a1, b1) = runs[0, :2].tolist(), (runs[-1, :2] + runs[-1, 2]).tolist()
+    if b1 - b0 < least or a1 - a0 < least:
+        return None
+    x, y = np.unique(a[a0:a1]), np.unique(b[b0:b1])
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    sim = both / (len(x) + len(y) - both)
+    return (a0, a1, b0, b1, sim) if sim >= threshold else None
+
+
 def passages(a: np.ndarray, b: np.ndarray, anchors: np.ndarray | None = None, least: int = LEAST, threshold: float = THRESHOLD) -> list[tuple[int, int, int, int, float]]:
     """(start, end) in a and in b, in tokens, and similarity of the passages that ``b`` repeats from ``a``.
 
@@ -244,15 +362,13 @@ def passages(a: np.ndarray, b: np.ndarray, anchors: np.ndarray | None = None, le
                 seen.update((k, x - y) for k in own.tolist())
             if runs[-1][1] + runs[-1][2] - runs[0][1] < least:
                 continue
-            for s, e in _best(np.array(runs, np.int64), threshold):
-                a0, b0, a1, b1 = runs[s][0], runs[s][1], runs[e - 1][0] + runs[e - 1][2], runs[e - 1][1] + runs[e - 1][2]
-                if b1 - b0 < least or a1 - a0 < least:
-                    continue
-                x, y = np.unique(a[a0:a1]), np.unique(b[b0:b1])
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                sim = both / (len(x) + len(y) - both)
-                if sim >= threshold:
-                    out.append((a0, a1, b0, b1, sim))
+            runs = np.array(runs, np.int64)
+            out += [p for s, e in _best(runs, threshold) if (p := _passage(a, b, runs[s:e], least, threshold))]
+            if not any(p[2] <= j < p[3] for p in out):          # the longest may lie beside the anchor and overlap one through it
+                k = int(np.searchsorted(runs[:, 1], j, "right")) - 1
+                through = _longest(runs, *_balance(runs, threshold), 0, len(runs), k, k)
+                if through and (p := _passage(a, b, runs[through[0]:through[1]], least, threshold)):
+                    out.append(p)
             if any(p[2] <= j < p[3] for p in out):
                 break
     return sorted(set(out), key=lambda p: p[2])

@@ -219,6 +219,54 @@ def test_edited_passages_are_not_hidden_by_many_earlier_parts_of_them(spark):
     assert want <= got, (len(want - got), len(want))
 
 
+def test_a_common_line_makes_no_pairs_without_a_passage(spark):
+    """40 texts share a line of 35 words and nothing else; one of them repeats an edited passage around it from another."""
+    line = [f"line{i}" for i in range(35)]
+    texts = [f"{prose(900 + k, 60)} {' '.join(line)} {prose(950 + k, 60)}" for k in range(40)]
+    whole = [*(f"h{i}" for i in range(20)), "old", *line, "old", *(f"t{i}" for i in range(20))]
+    texts += [f"{prose(990 + k, 60)} {' '.join(whole).replace('old', ('old', 'new')[k])} {prose(995 + k, 60)}" for k in range(2)]
+    docs = passages.with_uid(table(spark, texts).coalesce(1).select("doc_id", "text"))
+    tok = passages.saved(passages.tokens(docs))
+    settled = spark.createDataFrame([], "_uid long, spans array<struct<s: int, e: int>>")
+    assert [(r.a, r.b) for r in passages.remaining(passages.shared_windows(docs), settled, tok).collect()] == [(40, 41)]
+
+
+def test_pairs_with_a_passage_through_a_gram_are_hopeful():
+    """Any stretch of enough shared tokens through the gram, found by growing, is one that the rough test lets pass."""
+    rng, seen = np.random.default_rng(5), 0
+    for _ in range(1500):
+        a = rng.integers(1, 1 << 31, int(rng.integers(60, 900))).astype(np.uint32)
+        if rng.random() < 0.3:
+            a[rng.integers(0, len(a), 20)] = a[0]
+        b, i = [], 0
+        while i < len(a):
+            n = int(rng.integers(4, 60))
+            b += a[i:i + n].tolist() + rng.integers(1, 1 << 31, int(rng.integers(0, 12))).tolist()
+            i += n + int(rng.integers(0, 12))
+        b = np.array(b, np.uint32)
+        for c in rng.integers(0, len(b) - passages.GRAM, 3).tolist():
+            at = [j for j in np.flatnonzero(a == b[c]).tolist() if np.array_equal(a[j:j + passages.GRAM], b[c:c + passages.GRAM])]
+            if len(at) != 1 or not any(p[2] <= c and c + passages.GRAM <= p[3] for p in passages.passages(a, b, np.array([c]))):
+                continue
+            seen += 1
+            lo, first = max(c - passages.REACH, 0), max(at[0] - 2 * passages.REACH, 0)
+            x = b[lo:c + passages.GRAM + passages.REACH]
+            held = a[first:at[0] + passages.GRAM + 2 * passages.REACH]
+            other = rng.integers(1, 1 << 31, 50).astype(np.uint32)
+            got = passages.Around([other, held], [20, at[0] - first], [True, True]).hopeful(x, c - lo, (lo, len(b) - lo - len(x)))
+            assert got[1] and (not got[0] or lo + len(x) < len(b))
+    assert seen > 300
+
+
+def test_a_passage_beside_the_anchor_does_not_hide_one_through_it():
+    """The longest stretch begins after the anchor's run; a shorter one that overlaps it holds the anchor."""
+    rng = np.random.default_rng(8)
+    new = lambda n: rng.integers(1, 1 << 31, n).astype(np.uint32)
+    runs, gaps = [new(22), new(30), new(60)], [5, 11]
+    a, b = (np.concatenate([x for r, g in zip(runs, [*gaps, 0]) for x in (r, new(g))]) for _ in range(2))
+    assert any(p[2] <= 3 < p[3] for p in passages.passages(a, b, np.array([3])))
+
+
 def test_wholly_repeated_text_goes(spark):
     t = prose(70, 90)
     assert [r.doc_id for r in passages.cut_passages(table(spark, [t, t + "."])).collect()] == [0]
