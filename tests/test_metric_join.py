@@ -123,3 +123,26 @@ def test_batched_warping_and_bounds_equal_one_by_one():
             for i, j, d in zip(*fast(q, b, k, banned, r)):
                 got.setdefault(i, []).append((d, j))
             assert {i: sorted(x)[:k] for i, x in got.items()} == want and 3 not in want
+
+
+@pytest.mark.parametrize("scale, offset", [(1.0, 0.0), (1.0, 1e6), (1e-25, 0.0), (1e20, 0.0), (0.0, 3.0)])
+def test_warping_without_clusters_works_few_pairs_out_exactly(monkeypatch, scale, offset):
+    """Unit vectors without clusters, where no Keogh bound prunes; labels as masks, copies as ties."""
+    from seriesforge.functions import kernels as N
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(460, 32))
+    x = x / np.sqrt((x * x).sum(1, keepdims=True)) * scale + offset
+    q, b, label = x[:60], np.concatenate([x[60:], x[60:80]]), rng.integers(0, 3, 480)
+    worked, real = [], N.dtw_within
+    monkeypatch.setattr(N, "dtw_within", lambda a, *rest: worked.append(len(a)) or real(a, *rest))
+    for banned in (None, label[None, 60:] == label[:60, None], rng.random((60, 420)) < 0.2):
+        for k, r in ((1, 4), (3, 4), (2, None)):
+            worked.clear()
+            got: dict = {}
+            for i, j, d in zip(*N.near_dtw(q, b, k, banned, r)):
+                got.setdefault(i, []).append((d, j))
+            assert scale != 1.0 or offset or sum(worked) < 60 * 420 / 4
+            for i in range(0, 60, 7):
+                ok = np.arange(420) if banned is None else np.flatnonzero(~banned[i])
+                d = N.dtw(np.repeat(q[i][None], len(ok), 0), b[ok], r)
+                assert sorted(got[i])[:k] == sorted(zip(d, ok))[:k]
