@@ -146,3 +146,12 @@ def test_warping_without_clusters_works_few_pairs_out_exactly(monkeypatch, scale
                 ok = np.arange(420) if banned is None else np.flatnonzero(~banned[i])
                 d = N.dtw(np.repeat(q[i][None], len(ok), 0), b[ok], r)
                 assert sorted(got[i])[:k] == sorted(zip(d, ok))[:k]
+
+
+def test_keogh_blocks_grow_with_the_rows(spark):
+    """Copies of each row: 8 up to 16 blocks' rows, 19 for 615384 (151 with blocks of 4096); answers hang on no block size."""
+    assert [-(-n // distance.rows_together(n, metric_join.BLOCK, "lb_keogh")) for n in (2000, 102564, 615384)] == [1, 8, 19]
+    x = np.random.default_rng(4).normal(size=(90, 12))
+    df = table(spark, x, ["a", "b", "c"] * 30)
+    few, many = ({(r["id"], r["rank"]): (r["nn_id"], r["distance"]) for r in distance.nearest(df, df, 3, "lb_keogh", "other", 2, block=b).collect()} for b in (1, 2048))
+    assert few == many and len(few) == 270
